@@ -130,5 +130,6 @@ def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
     Texts without words are not part of a mix of words and go. The id has to be unique. Columns stay as they are.
     """
-    taken = mix_sources(df, id_col, text_col, source_col).select(F.col(id_col).alias("_id"), F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0))).cast("int").alias("_n"))
-    return df.join(taken.where("_n > 0"), F.col(id_col) == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).drop("_id", "_n", "_copy")
+    taken = mix_sources(df, id_col, text_col, source_col).select(F.col(id_col).alias("at"), F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0))).cast("int").alias("n")).where("n > 0")
+    rows = df.select(F.col(id_col).alias("at"), F.struct(*df.columns).alias("row"))  # so that no column of df can clash
+    return rows.join(taken, "at").select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")

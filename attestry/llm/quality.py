@@ -219,5 +219,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 
 def keep_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs that the classifier accepts, with their columns as they are."""
-    scored = with_score(docs, fit_quality(docs, labels, train_rows), out_col="_score")
-    return scored.where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    scored = with_score(docs, fit_quality(docs, labels, train_rows), out_col="_attestry_score")
+    return scored.where(F.col("_attestry_score") >= THRESHOLD).select(*docs.columns)
