@@ -1,2 +1,6 @@
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+"""All queries of the audit library and their SQL."""
+
+from attestry.plans import data, estimates, experiments, provenance, resampling, surveys
+from attestry.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "data", "estimates", "experiments", "provenance", "resampling", "surveys"]
