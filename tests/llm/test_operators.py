@@ -117,6 +117,23 @@ def test_near_text(spark, docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_parity_bound(spark):
+    """The bound never turns away a pair that is alike, and turns away most that are not."""
+    from attestry.llm.near_text import SIMILARITY, _may_reach, _Words, alignment, parity, shingles
+
+    w, rng, rows = _Words(), np.random.default_rng(11), []
+    for i in range(400):
+        a = prose(i, int(rng.integers(1, 400))).split()
+        b = list(a)
+        for at in rng.integers(0, len(a), int(rng.integers(0, 2 + len(a) // 12))):
+            b[at] = f"new{at}"
+        x, y = shingles(" ".join(a), w), shingles(" ".join(b), w)
+        rows.append((alignment(x, y) >= SIMILARITY, len(x), len(y), parity(x), parity(y)))
+    got = spark.createDataFrame(rows, "alike boolean, n int, m int, p array<bigint>, q array<bigint>").withColumn("may", _may_reach(SIMILARITY))
+    assert got.where("alike and not may").count() == 0 and got.where("alike").count() > 50
+    assert got.where("not alike and not may").count() > got.where("not alike and may").count()
+
+
 def test_near_text_chain_of_copies(spark):
     from attestry.llm.near_text import near_duplicates
 
