@@ -148,6 +148,34 @@ def test_near_text_chain_of_copies(spark):
     assert {r.component_id for r in got if r.doc_id < 60} == {0} and all(r.kept for r in got if r.doc_id >= 100)
 
 
+def brute_classes(texts):
+    """The class of each text by alignment of all pairs."""
+    from attestry.llm.near_text import SIMILARITY, _Words, alignment, shingles
+
+    cut = [shingles(t, w) for w in [_Words()] for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and alignment(cut[i], cut[j]) >= SIMILARITY:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_text_short(spark):
+    """Texts of 5 to 20 words, and of up to 80, with a word more, less or changed: the classes of brute force."""
+    from attestry.llm.near_text import near_duplicates
+
+    texts = []
+    for n in [*range(5, 21), *range(24, 80, 7)]:
+        for copy in range(3):
+            a = prose(1000 * n + copy, n).split()
+            texts += [" ".join(x) for x in (a, [*a, "more"], a[1:], [*a[:-1], "other"], [*a, "common", "line", "of", "all", "the", "texts"])]
+    want = brute_classes(texts)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(want)) < len(texts) and [got[i] for i in range(len(texts))] == want
+
+
 def test_components(spark):
     from attestry.llm.common import connected_components
 
