@@ -176,6 +176,17 @@ def test_near_text_short(spark):
     assert len(set(want)) < len(texts) and [got[i] for i in range(len(texts))] == want
 
 
+def test_near_text_link_beside_a_leader(spark):
+    """A text that leaves its buckets with their leaders is compared with one that stays."""
+    from attestry.llm.near_text import near_duplicates
+
+    words = prose(77, 104).split()
+    texts = [" ".join([*words, f"own{k}"]) for k in range(30)] + [" ".join(words), " ".join(words[:84])]
+    assert brute_classes(texts) == [0] * 32 and brute_classes([*texts[:30], texts[31]])[30] == 30
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+
+
 def test_components(spark):
     from attestry.llm.common import connected_components
 
