@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns plus a linear-chain conditional random field decoded by Viterbi.
 
 The field tags atoms (runs of letters, digits and + / _ = -) as secret begin, inside or outside. Only atoms of
-at least MIN_ATOM characters that hold a digit, and atoms under a pattern match, may carry begin or inside; all
-others are outside by a hard constraint of the field, so a text falls into short independent chains and decoding
+at least MIN_ATOM characters that hold a digit, atoms of LEAST["assign"] characters that a keyword names, atoms of MIN_MIXED
+letters whose case changes inside, and atoms under a pattern match may carry begin or inside; all others are outside by a hard constraint of the field, so a text falls into short independent chains and decoding
 each is exact for the whole text. Weights are learned here, by gradient ascent on the penalised likelihood, from
 a bounded sample of texts whose pattern matches serve as weak labels.
 """
@@ -30,13 +30,16 @@ KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key",
 
 #: Texts that the field is fitted on: those that hold a pattern's keyword or prefix, first by hash of their id.
 TRAIN_ROWS = 1500
-MIN_ATOM = 8
+MIN_ATOM, MIN_MIXED = 8, 16
 
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _DIGITS = re.compile(r"[0-9]+")
 _ATOM = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: A keyword with what assigns to it, or a bearer mark; the value follows.
+_NAMED = re.compile(r"""(?:(?:password|passwd|pwd|secret|token|key|auth|authorization|credentials?)["']?\x20*[:=]\x20*["']?(?:(?:bearer|basic)\x20+)?|bearer\x20+(?=(?-i:[a-z+/_=-]*[A-Z0-9])))([A-Za-z0-9+/_=-]+)""", re.IGNORECASE | re.ASCII)
+_MIXED = re.compile(r"[a-z][A-Z]")
 _INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 O, B, I = 0, 1, 2  # noqa: E741
 
@@ -49,6 +52,11 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def named(text: str) -> set[tuple[int, int]]:
+    """(start, end) of the atoms that a keyword names."""
+    return {m.span(1) for m in _NAMED.finditer(text) if m.end(1) - m.start(1) >= LEAST["assign"]}
+
+
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
     """(start, end) of the atoms that may be secret, in order."""
     out, last = set(), 0
@@ -62,6 +70,16 @@ def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, i
         last = e
         if e - s >= MIN_ATOM:
             out.add((s, e))
+    out.update(named(text))
+    last = 0
+    for m in _MIXED.finditer(text):
+        if m.start() < last:
+            continue
+        s, last = m.start(), _ATOM.match(text, m.start()).end()
+        while s and text[s - 1] in _INSIDE:
+            s -= 1
+        if last - s >= MIN_MIXED:
+            out.add((s, last))
     for s, _, e in base:
         out.update((m.start(), m.end()) for m in _ATOM.finditer(text, s, e) if m.end() - m.start() >= LEAST["assign"])
     merged: list[tuple[int, int]] = []
@@ -199,7 +217,9 @@ def fit_field(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tra
     examples = []
     for row in sample.select("text").toLocalIterator():
         base, found = chains(row.text)
-        examples += [(chain, labels_of(chain, base)) for chain in found]
+        # What a keyword names outside the patterns has no label, so its chain teaches nothing.
+        unlabelled = {at for at in named(row.text) if not any(a <= at[0] < z for a, _, z in base)}
+        examples += [(chain, labels_of(chain, base)) for chain in found if not any((s, e) in unlabelled for s, e, _ in chain)]
     return fit(examples)
 
 

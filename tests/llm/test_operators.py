@@ -73,6 +73,21 @@ def test_secrets(spark, docs):
     assert secret_report(docs.limit(0), field).count() == 0
 
 
+def test_secrets_of_letters_and_short_ones(spark):
+    """What a keyword names is found without a digit and below 8 characters; prose is left alone."""
+    from attestry.llm.secrets import fit_field, redact_secrets
+
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    train = [(i, f"{prose(i, 20)} {'token' if i % 2 else 'password'} = {''.join(rng.choice(letters[: 52 if i % 3 else 62], int(rng.integers(6, 40))))} id 2024{i:06d} {prose(i + 500, 20)}") for i in range(200)]
+    field = fit_field(spark.createDataFrame(train, "doc_id long, text string"))
+    texts = [("pwd: CorrectHorseBattery", "CorrectHorseBattery"), ("Authorization: Bearer AbcDefGhiJklMno", "AbcDefGhiJklMno"), ("pwd=ab12cd", "ab12cd"), ("auth: qWeRtYu", "qWeRtYu")]
+    texts = [(f"some words {t} and more", secret) for t, secret in texts]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(9, "the token of his author is a key to JavaScript and bearer")], "doc_id long, text string")
+    red = {r.doc_id: r.text for r in redact_secrets(df, field).collect()}
+    assert all(secret not in red[i] and "[secret]" in red[i] for i, (_, secret) in enumerate(texts)) and "[secret]" not in red[9]
+
+
 def test_urls(spark):
     from attestry.llm.urls import build_cascade, is_listed, judge_urls
 
