@@ -1,14 +1,17 @@
 """HTML extraction by two-pass block rules.
 
-Pass 1 labels each block from its stop-word density, its length and its link density, within what the markup
-around it says (menus, footers, adverts, forms, comments are noise; article and main hold content). Pass 2 gives
-blocks that are too short to tell the label of their nearest decided neighbours.
+Markup first cuts away whole regions that are not text of the article (menus, footers, adverts, forms, comments; where the
+page has an article or main element, all outside it). Every block that is left goes through the rules. Pass 1 labels it from its
+link density, its length and its stop-word density. Pass 2 gives blocks that are too short to tell, or neither full nor free of
+stop words, the label of their nearest decided neighbours. Inside an article element the rules start from a kinder prior: its
+borders count as text, and a block without links goes only where no neighbour is text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,31 +38,54 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Their content is never text of the page.
-RAW = frozenset("script style noscript template iframe textarea select option button svg math object head title video audio canvas noframes xmp".split())
+RAW = frozenset("script style noscript template iframe textarea select svg object head title video audio canvas noframes xmp".split())
 NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo|promotion|related|replies|reply|respond|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|widget|complementary|contentinfo|alert)(?:$|[\s_-])",
-    re.I,
+#: Their text counts as link text: alone in a block they are controls, inside a sentence they are words of it.
+CONTROLS = frozenset("button label option".split())
+# Names of regions that are not text, and words that only place or shape what they stand beside.
+NOISE_WORDS = frozenset(
+    """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav
+    navbar navigation newsletter notice notices pager pagination popup promo promotion related replies reply respond search share sharing sidebar signup social sponsor
+    sponsored subscribe subscription tags toolbar widget widgets complementary contentinfo alert""".split()
+)
+PLACE_WORDS = frozenset(
+    """area bar block body bottom box button buttons col column container content footer form group head icons inner item items left link links list main mobile module outer page
+    panel post posts primary right row secondary section site slot sticky sub top unit wrap wrapper""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-LINK_DENSITY, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.33, 0.20, 0.30, 70, 200
+LINK_DENSITY, STOP_LOW, STOP_HIGH, SHORT, LONG = 0.33, 0.15, 0.30, 70, 200
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _STRIP = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_PARTS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("content", "heading", "links", "noise", "parts")
+    __slots__ = ("content", "heading", "links", "noise", "parts", "solid")
 
     def __init__(self, noise: bool, content: bool, heading: bool):
         self.parts: list[str] = []
-        self.links = 0
+        self.links = self.solid = 0
         self.noise, self.content, self.heading = noise, content, heading
 
+    @property
+    def density(self) -> float:
+        """The share of its characters, without white space, that are link text."""
+        return self.links / self.solid if self.solid else 0.0
+
+
+def _names_noise(value: str) -> bool:
+    """Whether a whole name of a class, id or role list says noise: all of its words are noise or place, one at least noise."""
+    for name in value.lower().split():
+        words = _PARTS.findall(name)
+        if any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in PLACE_WORDS for w in words):
+            return True
+    return False
+
 
 def _noisy(tag: str, rest: str, inside: bool) -> bool:
     if tag in NOISE_TAGS or (tag == "header" and not inside):
@@ -69,7 +95,7 @@ def _noisy(tag: str, rest: str, inside: bool) -> bool:
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and NOISE.search(value):
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and _names_noise(value):
             return True
     return False
 
@@ -79,10 +105,17 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, noise, content, heading
     state = (False, False, False)
-    current, links, at, n = None, 0, 0, len(page)
+    current, links, control, at, n = None, False, False, 0, len(page)
+    open_tags: Counter[str] = Counter()
+
+    def leave() -> str:
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        return tag
 
     def refresh():
-        nonlocal state, current
+        nonlocal state, current, control
+        control = False  # one left open ends with its block
         state = stack[-1][1:] if stack else (False, False, False)
         current = None
 
@@ -95,8 +128,10 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
             out.append(current)
         piece = html.unescape(piece) if "&" in piece else piece
         current.parts.append(piece)
-        if links:
-            current.links += len("".join(piece.split()))
+        solid = len("".join(piece.split()))
+        current.solid += solid
+        if links or control:
+            current.links += solid
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -121,70 +156,81 @@ def blocks_of(page: str) -> list[tuple[str, Block]]:
             if current is not None:
                 current.parts.append(" ")
         elif tag == "a":
-            links = 0 if closes else 1
+            links = not closes and "href" in rest.lower()
+        elif tag in CONTROLS:
+            control = not closes
         elif tag in BLOCKS or (not closes and tag not in VOID and "class" in rest and _noisy(tag, rest, state[1])):
             if tag == "hr":
                 current = None
             elif closes:
-                if any(x[0] == tag for x in stack):
-                    while stack.pop()[0] != tag:
+                if open_tags[tag]:
+                    while leave() != tag:
                         pass
                 refresh()
             else:
                 while stack and stack[-1][0] in ("p", *HEADINGS) and tag in BLOCKS or (stack and stack[-1][0] == tag and tag in ("li", "td", "th", "dd", "dt", "tr")):
-                    stack.pop()
+                    leave()
                 noise, content, _ = stack[-1][1:] if stack else (False, False, False)
                 inner = content or tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b", rest))
                 stack.append((tag, noise or _noisy(tag, rest, content), inner, tag in HEADINGS))
+                open_tags[tag] += 1
                 refresh()
-        elif closes and any(x[0] == tag for x in stack):
-            while stack.pop()[0] != tag:
+        elif closes and open_tags[tag]:
+            while leave() != tag:
                 pass
             refresh()
     return [(t, b) for b in out if (t := " ".join("".join(b.parts).split()))]
 
 
 def stop_density(text: str) -> float:
-    words = text.lower().split()
-    return sum(_STRIP.sub("", w) in STOP_WORDS for w in words) / len(words)
+    words = [w for w in (_STRIP.sub("", w) for w in text.lower().split()) if w]
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _first_pass(text: str, block: Block) -> bool | None:
+    """True for text, False for not text, None where length and densities do not tell."""
+    if block.density > LINK_DENSITY:
+        return None if block.content and block.density <= 0.8 else False
+    if text.startswith("©") and not block.content:
+        return False
+    if len(text) < SHORT:
+        return None
+    stops = stop_density(text)
+    if stops >= STOP_HIGH or (stops >= STOP_LOW and len(text) >= LONG):
+        return True
+    return None if stops >= STOP_LOW or block.content or not block.links else False
 
 
 def labels_of(blocks: list[tuple[str, Block]]) -> list[bool]:
     """True for the blocks that are main text."""
     article = any(b.content and not b.noise for _, b in blocks)
-    first: list[bool | None] = []
-    for text, b in blocks:
-        solid = len(text) - text.count(" ")
-        density = b.links / solid if solid else 0
-        if b.noise or (article and not b.content):
-            first.append(False)
-        elif density > LINK_DENSITY:
-            first.append(False if not b.content or density > 0.8 else None)
-        elif b.content and not b.links:
-            first.append(True)
-        elif len(text) < SHORT:
-            first.append(None)
-        else:
-            stops = stop_density(text)
-            if stops >= STOP_HIGH or (stops >= STOP_LOW and len(text) >= LONG):
-                first.append(True)
-            else:
-                first.append(None if stops >= STOP_LOW or b.content else False)
+    cut = [b.noise or (article and not b.content) for _, b in blocks]
+    first = [False if gone else _first_pass(*block) for gone, block in zip(cut, blocks, strict=True)]
+    if not any(first) and (unsure := [i for i, x in enumerate(first) if x is None]):
+        if len(unsure) == len(first):
+            return [True] * len(first)  # nothing speaks against any block
+        first[max(unsure, key=lambda i: len(blocks[i][0]))] = True  # a page of short blocks only: its longest one leads
+    # The nearest decided neighbours of each block; what is cut away is a border, which is text's inside an article.
+    edge = article
     before: list[tuple[bool, int]] = []
-    last = (False, -1)
+    last = (edge, -1)
     for i, x in enumerate(first):
         before.append(last)
-        last = last if x is None else (x, i)
-    out, nxt = [False] * len(first), (False, len(first))
+        last = last if x is None else (edge if cut[i] else x, i)
+    out, nxt = [False] * len(first), (edge, len(first))
     for i in range(len(first) - 1, -1, -1):
+        block = blocks[i][1]
         if first[i] is not None:
-            out[i], nxt = first[i], (first[i], i)
+            out[i], nxt = first[i], (edge if cut[i] else first[i], i)
         elif before[i][0] == nxt[0]:
             out[i] = nxt[0]
-        elif blocks[i][1].heading:
+        elif block.content and block.density <= LINK_DENSITY:
+            out[i] = True
+        elif block.heading:
             out[i] = nxt[0]
         else:
-            out[i] = before[i][0] if i - before[i][1] < nxt[1] - i else nxt[0]
+            back, ahead = i - before[i][1], nxt[1] - i
+            out[i] = before[i][0] if back < ahead else nxt[0] if ahead < back else True
     return out
 
 
