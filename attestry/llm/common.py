@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +16,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session without one cannot hold intermediate tables."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="attestry-")
-        spark.sparkContext.setCheckpointDir(path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path
 
 
@@ -48,6 +46,35 @@ def drop_table(df: DataFrame | None) -> None:
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Stand-ins of rows without an id are at least this; ids are below it.
+NO_ID = 1 << 62
+#: A key with more than this share of all rows is joined by broadcast; there can be fewer than so many of them.
+HOT = 1024
+
+
+def join_told(rows: DataFrame, told: DataFrame, key: str, times: str) -> DataFrame:
+    """Inner join of rows with one told row a key, which says how many rows hold the key; the column times goes.
+
+    Keys that hold a large share of all rows, of which there are fewer than HOT, are sent to every task, so that no
+    task gets all rows of one key; all other keys are shuffled.
+    """
+    total = F.broadcast(told.agg(F.sum(times).alias("_all")))  # one row
+    hot = told.join(total).where(F.col(times) * HOT > F.col("_all")).drop("_all", times)
+    cold = told.join(total).where(F.col(times) * HOT <= F.col("_all")).drop("_all", times)
+    frequent = rows.join(F.broadcast(hot), key)
+    return frequent.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def hash_sample(df: DataFrame, by: list[str], number: int, rows: int | None = None) -> DataFrame:
+    """About number rows of df, by the hash of some columns: the same rows at every partitioning, chosen where they lie.
+
+    All rows where there are no more than number of them. rows is df's number of rows, counted if not given.
+    """
+    total = df.count() if rows is None else rows
+    share = 1 << 31
+    return df if total <= number else df.where(F.pmod(F.xxhash64(*by), F.lit(share)) < int(number / total * share))
+
+
 def text_of(column: str = "text"):
     """A null text counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -56,22 +83,29 @@ def text_of(column: str = "text"):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for an edge list (a, b) of bigints: component is the smallest node reachable.
 
-    Minimum labels spread along the edges and then jump to their label's label, so the number of rounds
-    grows with the logarithm of the longest path. Each round is a written table; nothing reaches the driver
-    but one count. An empty edge list gives an empty result; loops and repeated edges are harmless.
+    Large stars and small stars in turn: every node hands its larger neighbours, and then its smaller ones, to the
+    smallest node beside it. That leaves ever fewer edges and ends in one star a component. Each round is a written
+    table; nothing reaches the driver but a count and a sum. An empty edge list gives an empty result; loops and
+    repeated edges are harmless.
     """
-    both = write_table(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    )
-    labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    high, low = F.greatest("a", "b"), F.least("a", "b")
+    stars = write_table(edges.select(high.alias("u"), low.alias("v")).where("u <> v").distinct())
+    before = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        spread = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "seen").alias("mid"))
-        up = spread.select(F.col("node").alias("mid"), F.col("mid").alias("top"))
-        fresh = write_table(spread.join(up, "mid").select("node", "old", F.least("mid", "top").alias("component")))
-        moved = fresh.where("component <> old").limit(1).count()
-        drop_table(labels)
-        labels = fresh
-        if not moved:
-            drop_table(both)
-            return labels.select("node", "component")
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Every node of larger is above what it holds to, so a small star is a node, the least beside it, and the others.
+        smallest = larger.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        rest = larger.join(smallest.where("n > 1").select("u", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        fresh = write_table(smallest.select("u", F.col("m").alias("v")).unionByName(rest).distinct())
+        after = tuple(fresh.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+        drop_table(stars)
+        stars = fresh
+        if after == before or not after[0]:
+            break
+        before = after
+    ends = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = write_table(ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct()))
+    drop_table(stars)
+    return out

@@ -1,10 +1,13 @@
 """Secret scans: fixed patterns plus a linear-chain conditional random field decoded by Viterbi.
 
-The field tags atoms (runs of letters, digits and + / _ = -) as secret begin, inside or outside. Only atoms of
-at least MIN_ATOM characters that hold a digit, atoms of LEAST["assign"] characters that a keyword names, atoms of MIN_MIXED
-letters whose case changes inside, and atoms under a pattern match may carry begin or inside; all others are outside by a hard constraint of the field, so a text falls into short independent chains and decoding
-each is exact for the whole text. Weights are learned here, by gradient ascent on the penalised likelihood, from
-a bounded sample of texts whose pattern matches serve as weak labels.
+The field tags every token of a text (runs of word characters and + / -) as secret begin, inside or outside, from its
+shape, the words beside it and the marks between them, and features of the whole text. These come in few kinds, so scores are sums
+of small tables, looked up for whole texts at once. Decoding is exact: a token whose outside score leads by more than
+any path could win back is outside on the best path, and Viterbi runs over the chains of all other tokens.
+
+Weights are learned here, by gradient ascent on the penalised likelihood, from a bounded sample of texts. Their labels are the patterns'
+matches and secrets of many shapes planted among their words, with and without a keyword before them: so
+the field does not learn the patterns alone.
 """
 
 from __future__ import annotations
@@ -12,13 +15,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import text_of
+from attestry.llm.common import hash_sample, text_of
 
 # The patterns of the contract, and the least lengths of what they must hold.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,21 +30,23 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "crf")
-KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "bearer", "auth", "credential")
+# Words that name a secret, and words that may stand between one and its secret.
+KEYWORDS = frozenset("password passwd passphrase pwd pass secret secrets token tokens apikey api_key key keys bearer auth authorization credential credentials pin".split())
+BETWEEN = frozenset("is are was the my our your new id value basic".split())
 
-#: Texts that the field is fitted on: those that hold a pattern's keyword or prefix, first by hash of their id.
-TRAIN_ROWS = 1500
-MIN_ATOM, MIN_MIXED = 8, 16
+#: Texts that the field is fitted on, about (four times as many at most), by hash; tokens of a chain; chains at most.
+TRAIN_ROWS, CHAIN, TRAIN_CHAINS = 800, 32, 6_000
+#: What the outside label is ahead by, so that a doubtful token stays text.
+CAUTION = 0.5
 
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_DIGITS = re.compile(r"[0-9]+")
-_ATOM = re.compile(r"[A-Za-z0-9+/_=-]+")
-#: A keyword with what assigns to it, or a bearer mark; the value follows.
-_NAMED = re.compile(r"""(?:(?:password|passwd|pwd|secret|token|key|auth|authorization|credentials?)["']?\x20*[:=]\x20*["']?(?:(?:bearer|basic)\x20+)?|bearer\x20+(?=(?-i:[a-z+/_=-]*[A-Z0-9])))([A-Za-z0-9+/_=-]+)""", re.IGNORECASE | re.ASCII)
-_MIXED = re.compile(r"[a-z][A-Z]")
-_INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+#: A token: word characters, then + / - among them, and the padding of a long encoding at its end.
+_CUT = re.compile(r"([\w+](?:[\w+/-]*[\w+/])?(?:(?<=[\w+/-]{15})={1,2}(?![\w\"']))?)")
+_PREFIX = re.compile(r"[A-Za-z]{2,8}[_-](?:[a-z]{2,6}[_-])?(?=[A-Za-z0-9])")
+_CHANGE = re.compile(r"[a-z][A-Z]")
+_TURN = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 O, B, I = 0, 1, 2  # noqa: E741
 
 
@@ -52,215 +58,383 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def named(text: str) -> set[tuple[int, int]]:
-    """(start, end) of the atoms that a keyword names."""
-    return {m.span(1) for m in _NAMED.finditer(text) if m.end(1) - m.start(1) >= LEAST["assign"]}
-
-
-def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """(start, end) of the atoms that may be secret, in order."""
-    out, last = set(), 0
-    for m in _DIGITS.finditer(text):
-        if m.start() < last:
-            continue
-        s, e = m.start(), m.end()
-        while s > last and text[s - 1] in _INSIDE:
-            s -= 1
-        e = _ATOM.match(text, m.start()).end()
-        last = e
-        if e - s >= MIN_ATOM:
-            out.add((s, e))
-    out.update(named(text))
-    last = 0
-    for m in _MIXED.finditer(text):
-        if m.start() < last:
-            continue
-        s, last = m.start(), _ATOM.match(text, m.start()).end()
-        while s and text[s - 1] in _INSIDE:
-            s -= 1
-        if last - s >= MIN_MIXED:
-            out.add((s, last))
-    for s, _, e in base:
-        out.update((m.start(), m.end()) for m in _ATOM.finditer(text, s, e) if m.end() - m.start() >= LEAST["assign"])
-    merged: list[tuple[int, int]] = []
-    for s, e in sorted(out):
-        if merged and s < merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-        else:
-            merged.append((s, e))
-    return merged
-
-
-def features(text: str, s: int, e: int, doc: tuple[str, ...]) -> list[str]:
-    """Shape of the atom, its neighbouring words, and features of the whole text."""
-    atom = text[s:e]
-    n, digits = e - s, sum(c.isdigit() for c in atom)
-    upper, lower = sum(c.isupper() for c in atom), sum(c.islower() for c in atom)
-    hexes = all(c in "0123456789abcdef" for c in atom.lower())
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(atom, atom[1:], strict=False))
-    before = text[max(0, s - 40) : s]
-    words = re.findall(r"[A-Za-z_]+", before)
-    previous, gap = (words[-1].lower() if words else ""), re.sub(r"[A-Za-z0-9_\s]", "", before[-4:])
-    out = [
-        "bias", f"len={min(n // 4, 12)}", f"digits={digits * 4 // n}", f"upper={upper * 4 // n}", f"lower={lower * 4 // n}", f"hex={hexes}",
-        f"alldigit={digits == n}", f"turns={min(turns * 4 // n, 3)}", f"start={atom[:4] if atom[:4] == 'AKIA' else 'other'}", f"distinct={min(len(set(atom)) * 4 // n, 3)}",
-        f"prevkey={any(previous.endswith(k) for k in KEYWORDS)}", f"gap={gap[-2:] if set(gap) <= set('=:\"' + chr(39)) else 'other'}", f"next={text[e : e + 1] if text[e : e + 1] in '=:.,@' else 'other'}",
-        f"long={n >= 24}", f"both={bool(upper) and bool(lower) and bool(digits)}",
-    ]
-    return out + list(doc)
+def shape(token: str) -> tuple[str, ...]:
+    """Features of a token alone. Plain words have few shapes."""
+    n = len(token)
+    if token.isalpha() and (token.islower() or token[1:].islower()) and n < 40:
+        return ("word", f"wordlen={min(n // 3, 6)}", f"title={token[0].isupper()}", f"ascii={token.isascii()}")
+    digits, upper, lower = sum(map(str.isdigit, token)), sum(map(str.isupper, token)), sum(map(str.islower, token))
+    if digits + sum(map(token.count, "+-/=_")) == n:
+        return ("number", f"numlen={min(n // 3, 6)}")
+    vowels = sum(map(token.lower().count, "aeiou"))
+    changes, turns = len(_CHANGE.findall(token)), len(_TURN.findall(token))
+    mixed = f"{digits > 0:d}{upper > 0:d}{lower > 0:d}"
+    return (
+        "odd", f"len={min(n // 4, 10)}", f"mixed={mixed}", f"mixedlen={mixed}:{min(n // 8, 4)}", f"digits={digits * 4 // n}", f"upper={upper * 4 // n}", f"changes={min(changes, 4)}",
+        f"turns={min(turns, 4)}", f"distinct={min(len(set(token)), 24) // 4}", f"vowels={vowels * 6 // n}", f"prefixed={bool(_PREFIX.match(token))}", f"marks={min(sum(map(token.count, '_-')), 3)}",
+        f"slash={'/' in token}", f"pad={token.endswith('=')}", f"ascii={token.isascii()}", f"hex={n >= 12 and all(c in '0123456789abcdef' for c in token)}",
+    )
 
 
-def text_features(text: str, base: list, atoms: list) -> tuple[str, ...]:
-    return (f"docbase={min(len(base), 2)}", f"docatoms={min(len(atoms), 4)}", f"docsize={min(len(text).bit_length() // 2, 9)}", f"dockey={any(k in text for k in ('password', 'secret', 'token', 'api'))}")
+def role(token: str) -> int:
+    """0 for most tokens, 1 for words that name secrets, 2 for words that may stand between."""
+    low = token.lower().strip("_-=+/")
+    return 1 if low in KEYWORDS or (("_" in low or "-" in low) and re.split("[_-]", low)[-1] in KEYWORDS and low.isascii() and not any(map(str.isdigit, low))) else 2 if low in BETWEEN else 0
 
 
-def chains(text: str) -> tuple[list[tuple[int, str, int]], list[list[tuple[int, int, list[str]]]]]:
-    """The pattern spans, and chains of candidates with no other atom between them."""
-    base = base_spans(text)
-    atoms = candidates(text, base)
-    doc = text_features(text, base, atoms)
-    out: list[list[tuple[int, int, list[str]]]] = []
-    for s, e in atoms:
-        if not out or _ATOM.search(text, out[-1][-1][1], s):
-            out.append([])
-        out[-1].append((s, e, features(text, s, e, doc)))
-    return base, out
+# Classes of the marks between two tokens.
+GAPS = ("", " ", "line", "=", ":", "quote", "://", "@", ".", ",", "bracket", "wide", "other")
 
 
-class Field:
-    """Weights by feature (one row of three labels each) and transitions; outside never leads to inside."""
-
-    def __init__(self, weights: dict[str, list[float]], moves: list[list[float]]):
-        self.weights = {k: np.array(v) for k, v in weights.items()}
-        self.moves = np.array(moves)
-
-    def scores(self, chain: list[tuple[int, int, list[str]]]) -> np.ndarray:
-        none = np.zeros(3)
-        return np.array([sum((self.weights.get(f, none) for f in fs), none) for _, _, fs in chain])
-
-    def viterbi(self, chain: list[tuple[int, int, list[str]]]) -> list[int]:
-        e = self.scores(chain)
-        best, back = e[0] + np.array([0, 0, -1e9]), []
-        for row in e[1:]:
-            through = best[:, None] + self.moves
-            back.append(through.argmax(0))
-            best = through.max(0) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return path[::-1]
+def gap_class(gap: str) -> int:
+    bare = gap.strip()
+    if not gap or not bare:
+        name = "" if not gap else "line" if "\n" in gap else " "
+    elif bare in GAPS:
+        name = bare if not (bare in ".," and gap != bare) else ","
+    elif set(bare) <= set("=:\"'>"):
+        name = "=" if "=" in bare else ":" if ":" in bare else "quote"
+    elif set(bare) <= set("()[]{}<>"):
+        name = "bracket"
+    else:
+        name = "wide" if len(bare) > 2 else "other"
+    return GAPS.index(name)
+
+
+def text_kind(text: str, tokens: int) -> int:
+    """Features of the whole text: its size, and whether it looks like settings or code."""
+    marks = text.count("=") + text.count("{") + text.count(";")
+    return min(tokens.bit_length() // 3, 4) * 2 + (marks * 20 > tokens)
+
+
+G, KINDS_OF_TEXT = len(GAPS), 10
+
+
+class _Shapes(dict):
+    """Shape and role numbers of tokens; forgets tokens when it holds too many."""
+
+    def __init__(self, frozen: dict[tuple[str, ...], int] | None = None):
+        super().__init__()
+        self.numbers: dict[tuple[str, ...], int] = dict(frozen or {})
+
+    def __missing__(self, token: str) -> int:
+        """Four times the number of the shape, plus the role."""
+        if len(self) > 300_000:
+            self.clear()
+        out = self[token] = self.numbers.setdefault(shape(token), len(self.numbers)) * 4 + role(token)
+        return out
+
 
+class _Gaps(dict):
+    def __missing__(self, gap: str) -> int:
+        if len(self) > 50_000:
+            self.clear()
+        out = self[gap] = gap_class(gap)
+        return out
 
-def labels_of(chain: list, base: list[tuple[int, str, int]]) -> list[int]:
-    """Weak labels: the first atom under a pattern's value begins a secret, further ones under the same span are inside."""
-    out, owner = [], None
-    for s, e, _ in chain:
-        under = next(((a, z) for a, _, z in base if a <= s and e <= z + 1 and s < z), None)
-        out.append(O if under is None else I if under == owner else B)
-        owner = under
-    return out
 
+class Tokens:
+    """A text's pieces (mark, token, mark, ..., mark) and the numbers of what the field sees of each token."""
 
-def fit(examples: list[tuple[list, list[int]]], rounds: int = 60, rate: float = 0.5, penalty: float = 1e-3) -> Field:
-    """Penalised maximum likelihood by full gradients (forward-backward) with Adagrad steps."""
-    names = {f: i for i, f in enumerate(sorted({f for chain, _ in examples for _, _, fs in chain for f in fs}))}
-    w, t = np.zeros((max(1, len(names)), 3)), np.zeros((3, 3))
+    def __init__(self, text: str, shapes: _Shapes, gaps: _Gaps):
+        self.pieces = _CUT.split(text)
+        n = self.number = len(self.pieces) // 2
+        told = np.fromiter(map(shapes.__getitem__, self.pieces[1::2]), np.int32, n)
+        marks = np.fromiter(map(gaps.__getitem__, self.pieces[::2]), np.int32, n + 1)
+        roles = np.zeros(n + 4, np.int32)
+        roles[2:-2] = told & 3
+        self.shape = told >> 2
+        before, far, after = roles[1:-3], roles[:-4], roles[3:-1]
+        # What stands before: the word's role with its mark; a keyword one word further back counts where a filler is between.
+        self.before = before * G + marks[:n]
+        self.far = far * 3 + before
+        self.after = after * G + marks[1 : n + 1]
+        self.kind = text_kind(text, n)
+
+    def starts(self) -> np.ndarray:
+        """Where each token starts and, in the next row, ends."""
+        ends = np.cumsum([len(p) for p in self.pieces])
+        return np.stack([ends[:-1:2], ends[1::2]]) if self.number else np.zeros((2, 0), np.int64)
+
+
+def _roles_named(tokens: Tokens) -> np.ndarray:
+    """Tokens that a keyword names outside the patterns: what they are is not known when learning."""
+    b, f = tokens.before // G, tokens.far
+    mark = tokens.before % G
+    return ((b == 1) & np.isin(mark, [GAPS.index("="), GAPS.index(":")])) | ((b == 2) & (f // 3 == 1))
+
+
+class Field:
+    """Weights of shape features and of the other small tables, one row of three labels each; outside never leads to inside."""
+
+    def __init__(self, shapes: dict[str, list[float]], tables: dict[str, np.ndarray], moves: np.ndarray, caution: float = CAUTION):
+        self.shapes = {k: np.asarray(v, float) for k, v in shapes.items()}
+        self.tables = {k: np.asarray(v, float) for k, v in tables.items()}
+        self.moves, self.caution = np.asarray(moves, float), caution
+        finite = self.moves[self.moves > -1e8]
+        self.reach = 3 * float(finite.max() - finite.min())
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the scores of numbered shapes, for use with new numbers."""
+        self.known, self.number = np.zeros((64, 3)), 0
+
+    def of_shapes(self, numbers: dict[tuple[str, ...], int]) -> np.ndarray:
+        """The scores of all shapes numbered so far; those that come new are added."""
+        if len(numbers) > self.number:
+            while len(numbers) > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            none = np.zeros(3)
+            for i, key in enumerate(islice(numbers, self.number, None), self.number):
+                self.known[i] = sum((self.shapes.get(f, none) for f in key), none)
+            self.number = len(numbers)
+        return self.known
+
+    def scores(self, t: Tokens, numbers: dict) -> np.ndarray:
+        e = self.of_shapes(numbers)[t.shape] + self.tables["before"][t.before] + self.tables["far"][t.far] + self.tables["after"][t.after] + self.tables["kind"][t.kind]
+        e[:, O] += self.caution
+        return e
+
+    def viterbi(self, e: np.ndarray, first: bool = True, closed: bool = False) -> list[int]:
+        """The best labels for a chain of scores; first: nothing stands before it, else an outside token. closed: an outside token follows."""
+        m = self.moves.tolist()
+        rows = e.tolist()
+        best = [rows[0][y] + (-1e9 * (y == I) if first else m[O][y]) for y in (O, B, I)]
+        back = []
+        for row in rows[1:]:
+            step, here = [], []
+            for y in (O, B, I):
+                x = max((O, B, I), key=lambda z, y=y: best[z] + m[z][y])
+                step.append(x)
+                here.append(best[x] + m[x][y] + row[y])
+            back.append(step)
+            best = here
+        if closed:
+            best = [best[y] + m[y][O] for y in (O, B, I)]
+        path = [max((O, B, I), key=lambda y: best[y])]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        return path[::-1]
+
+    def tags(self, t: Tokens, numbers: dict) -> list[tuple[int, int]]:
+        """(first, last) token of each secret on the best path through the whole text."""
+        if not t.number:
+            return []
+        e = self.scores(t, numbers)
+        ahead = np.append(np.maximum(0, e[1:, I] - e[1:, B]), 0)
+        free = np.flatnonzero(e[:, O] - e[:, 1:].max(1) <= self.reach + ahead)
+        out = []
+        for run in np.split(free, np.flatnonzero(np.diff(free) > 1) + 1):
+            if len(run):
+                at, last = int(run[0]), int(run[-1])
+                labels = self.viterbi(e[at : last + 1], at == 0, last + 1 < t.number)
+                for i, y in enumerate(labels, at):
+                    if y == B:
+                        out.append((i, i))
+                    elif y == I:
+                        out[-1] = (out[-1][0], i)
+        return out
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_SETS = {"mixed": LETTERS + LETTERS.upper() + "0123456789", "lower": LETTERS + "0123456789", "upper": LETTERS.upper() + "0123456789", "hex": "0123456789abcdef", "letters": LETTERS + LETTERS.upper(), "url": LETTERS + LETTERS.upper() + "0123456789-_", "b64": LETTERS + LETTERS.upper() + "0123456789+/"}
+
+
+def plant(rng: np.random.Generator) -> tuple[str, str, str]:
+    """(text before, secret, text after) of one invented secret in one of many shapes and settings."""
+    draw = lambda kind, low, high: "".join(rng.choice(list(_SETS[kind]), int(rng.integers(low, high + 1))))
+    any_of = lambda *names: names[int(rng.integers(0, len(names)))]
+    lead = any_of("", "", any_of("the ", "my ", "old "))
+    key = any_of("pwd", "password", "pass", "secret", "api key", "access_token", "client_secret", "auth", "key", "credential", "token")
+    if rng.random() < 0.5:
+        key = key.capitalize() if rng.random() < 0.5 else key.upper()
+    ask = any_of(f"{key}: ", f"{key}=", f"{key} = ", f'"{key}": "', f"{key} is ", f"{lead}{key} is ")
+    bearer = any_of("Authorization: Bearer ", "Bearer ", "authorization: Basic ")
+    head = any_of(ask, ask, "", "use ", "with ", "run --with ", "as ")
+    shape = int(rng.integers(0, 7))
+    if shape == 0:
+        return head, draw("letters", 1, 1) + draw("lower", 1, 5) + any_of("_", "-") + any_of("", "live_", "test_", "prod-") + draw("mixed", 16, 44), ""
+    if shape == 1:
+        return any_of(bearer, ask, "cookie "), "eyJ" + draw("url", 12, 40) + "." + draw("url", 20, 90) + "." + draw("url", 20, 50), ""
+    if shape == 2:
+        return any_of("postgres", "mysql", "amqp", "ftp") + "://" + draw("lower", 3, 8) + ":", draw(any_of("mixed", "letters", "lower"), 8, 24), "@" + draw("lower", 4, 9) + ".example.com"
+    if shape == 3:
+        return head, draw(any_of("b64", "mixed", "upper"), 24, 60) + any_of("", "", "=", "=="), ""
+    if shape == 4:
+        return ask, draw(any_of("mixed", "mixed", "letters", "lower"), 6, 20), ""
+    if shape == 5:
+        return bearer, draw(any_of("mixed", "url", "letters"), 14, 60), ""
+    return head, draw(any_of("mixed", "letters"), 18, 40), ""
+
+
+def decoy(rng: np.random.Generator) -> str:
+    """Invented text that looks a little like a secret and is none."""
+    draw = lambda kind, low, high: "".join(rng.choice(list(_SETS[kind]), int(rng.integers(low, high + 1))))
+    word = lambda: draw("letters", 3, 9).lower()
+    made = [
+        lambda: f"{rng.integers(1990, 2040)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", lambda: f"+{rng.integers(1, 99)}-{rng.integers(100, 999)}-{rng.integers(1000000, 9999999)}", lambda: f"{word()}.{word()}{rng.integers(0, 99)}@{word()}.com",
+        lambda: f"https://www.{word()}.com/{word()}/{word()}-{word()}-{rng.integers(0, 9999)}?id={rng.integers(0, 99999)}", lambda: word() + word().capitalize() + word().capitalize(), lambda: f"/{word()}/{word()}/{word()}_{rng.integers(0, 99)}.txt", lambda: f"{word()}_{word()}_{word()}",
+        lambda: f"{rng.integers(10**8, 10**16)}", lambda: word().upper() + "-" + str(rng.integers(100, 99999)), lambda: f"the token of {word()} is a {word()}", lambda: f"key {word()} and {word()}-{word()}", lambda: f"v{rng.integers(0, 9)}.{rng.integers(0, 99)}.{rng.integers(0, 99)}-{word()}",
+        lambda: f"the bearer of {word()} {word()}", lambda: f"{word()}{rng.integers(1, 999)}", lambda: word() * 4, lambda: f"pass the {word()} to {word()}",
+    ]
+    return made[int(rng.integers(0, len(made)))]()
+
+
+def _labelled(text: str, shapes: _Shapes, gaps: _Gaps, planted: list[tuple[int, int]] = ()) -> tuple[Tokens, np.ndarray, np.ndarray]:
+    """Tokens, labels and which tokens teach nothing. Values under a pattern's match and planted spans are secret."""
+    t = Tokens(text, shapes, gaps)
+    starts, ends = t.starts()
+    labels = np.full(t.number, O)
+    base = [(m.start(2), m.end(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
+    base += [(s, e) for s, k, e in base_spans(text) if k != "assign"]
+    for s, e in sorted([*base, *planted]):
+        inside = np.flatnonzero((starts < e) & (ends > s))
+        labels[inside] = I
+        labels[inside[:1]] = B
+    return t, labels, _roles_named(t) & (labels == O)
+
+
+def examples_of(texts: list[str], seed: int = 20240229) -> tuple[list[tuple[Tokens, np.ndarray, int, int]], _Shapes]:
+    """Chains (tokens, labels, from, to) of at most CHAIN tokens: those of the texts as they are, and with planted secrets and decoys."""
+    rng, shapes, gaps, out = np.random.default_rng(seed), _Shapes(), _Gaps(), []
+    for text in texts:
+        words = text.split(" ")
+        at = int(rng.integers(0, len(words)))
+        near, spans = " ".join(words[max(0, at - 40) : at])[-400:], []
+        for _ in range(2):
+            before, secret, after = plant(rng)
+            near = f"{near}{' ' if rng.random() < 0.8 else chr(10)}{decoy(rng)} {before}"
+            spans.append((len(near), len(near) + len(secret)))
+            near = f"{near}{secret}{after} {decoy(rng)}"
+        near = f"{near} {' '.join(words[at : at + 12])[:200]}"
+        for whole, planted in ((text, ()), (near, spans)):
+            t, labels, unsure = _labelled(whole, shapes, gaps, list(planted))
+            for s in range(0, t.number, CHAIN):
+                part = slice(s, min(t.number, s + CHAIN))
+                # Chains without a secret are many and alike: one in eight of them teaches.
+                if (planted or labels[part].any() or rng.random() < 0.125) and not unsure[part].any():
+                    out.append((t, labels, part.start, part.stop))
+    if len(out) > TRAIN_CHAINS:
+        out = [out[i] for i in np.sort(rng.permutation(len(out))[:TRAIN_CHAINS])]
+    return out, shapes
+
+
+def fit(examples: list[tuple[Tokens, np.ndarray, int, int]], shapes: _Shapes, rounds: int = 60, rate: float = 0.4, penalty: float = 2e-5) -> Field:
+    """Penalised maximum likelihood by full gradients (forward-backward over all chains at once) with Adagrad steps."""
+    sizes = {"before": 3 * G, "far": 9, "after": 3 * G, "kind": KINDS_OF_TEXT}
+    keys = list(shapes.numbers)
+    names = {f: i for i, f in enumerate(sorted({f for k in keys for f in k}))}
+    holds = np.zeros((len(keys), max(1, len(names))))
+    for i, k in enumerate(keys):
+        holds[i, [names[f] for f in k]] = 1
+    c = len(examples)
+    width = np.array([e - s for _, _, s, e in examples], int)
+    column = {name: np.zeros((c, CHAIN), np.int64) for name in ("shape", "before", "far", "after", "kind", "y")}
+    for i, (t, labels, s, e) in enumerate(examples):
+        for name in ("shape", "before", "far", "after"):
+            column[name][i, : e - s] = getattr(t, name)[s:e]
+        column["kind"][i] = t.kind
+        column["y"][i, : e - s] = labels[s:e]
+    y, live = column["y"], np.arange(CHAIN)[None, :] < width[:, None]
+    y[:, 0][y[:, 0] == I] = B  # a chain cut inside a secret begins with it
+    w = {name: np.zeros((n, 3)) for name, n in (*sizes.items(), ("shape", holds.shape[1]))}
+    t = np.zeros((3, 3))
     wall = np.zeros((3, 3))
     wall[O, I] = -1e9
-    gw, gt = np.full_like(w, 1e-8), np.full_like(t, 1e-8)
-    grouped: dict[tuple, int] = {}
-    for chain, ys in examples:  # equal chains count once, with their number
-        key = (tuple(tuple(names[f] for f in fs) for _, _, fs in chain), tuple(ys))
-        grouped[key] = grouped.get(key, 0) + 1
-    total = sum(grouped.values()) or 1
-    for _ in range(rounds):
-        dw, dt = -penalty * w, -penalty * t
-        for (rows, ys), times in grouped.items():
-            e = np.array([w[list(r)].sum(0) for r in rows])
-            e[0, I] -= 1e9
-            m = t + wall
-            fwd, bwd = [e[0]], [np.zeros(3)]
-            for row in e[1:]:
-                x = fwd[-1][:, None] + m
-                top = x.max(0)
-                fwd.append(top + np.log(np.exp(x - top).sum(0)) + row)
-            for row in e[:0:-1]:
-                x = m + (row + bwd[-1])[None, :]
-                top = x.max(1)
-                bwd.append(top + np.log(np.exp(x - top[:, None]).sum(1)))
-            bwd = bwd[::-1]
-            z = fwd[-1].max() + np.log(np.exp(fwd[-1] - fwd[-1].max()).sum())
-            share = times / total
-            for i, (r, y) in enumerate(zip(rows, ys, strict=True)):
-                g = -np.exp(fwd[i] + bwd[i] - z)
-                g[y] += 1
-                dw[list(r)] += share * g
-                if i:
-                    p = -np.exp(fwd[i - 1][:, None] + m + (e[i] + bwd[i])[None, :] - z)
-                    p[ys[i - 1], y] += 1
-                    dt += share * p
-        gw += dw**2
-        gt += dt**2
-        w += rate * dw / np.sqrt(gw)
-        t += rate * dt / np.sqrt(gt)
-    return Field({f: w[i].tolist() for f, i in names.items()}, (t + wall).tolist())
+    seen = {name: np.full_like(v, 1e-8) for name, v in w.items()}
+    seen_t = np.full_like(t, 1e-8)
+    total = max(1, int(live.sum()))
+    where = {name: column[name][live] for name in w}
+    for _ in range(rounds if c else 0):
+        score = {name: (holds @ v if name == "shape" else v) for name, v in w.items()}
+        e = sum(score[name][column[name]] for name in w)
+        e[:, 0, I] -= 1e9
+        m = t + wall
+        fwd, bwd = np.zeros((c, CHAIN, 3)), np.zeros((c, CHAIN, 3))
+        fwd[:, 0] = e[:, 0]
+        for i in range(1, CHAIN):
+            x = fwd[:, i - 1, :, None] + m
+            top = x.max(1)
+            fwd[:, i] = np.where(live[:, i, None], top + np.log(np.exp(x - top[:, None]).sum(1)) + e[:, i], fwd[:, i - 1])
+        for i in range(CHAIN - 2, -1, -1):
+            x = m + (e[:, i + 1] + bwd[:, i + 1])[:, None, :]
+            top = x.max(2)
+            bwd[:, i] = np.where(live[:, i + 1, None], top + np.log(np.exp(x - top[:, :, None]).sum(2)), 0)
+        z = fwd[:, -1].max(1)
+        z = z + np.log(np.exp(fwd[:, -1] - z[:, None]).sum(1))
+        g = -np.exp(np.minimum(0, fwd + bwd - z[:, None, None]))
+        np.put_along_axis(g, y[:, :, None], np.take_along_axis(g, y[:, :, None], 2) + 1, 2)
+        g = g[live]
+        dt = -penalty * t * total
+        pair = live[:, 1:]
+        p = fwd[:, :-1, :, None] + m + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]
+        dt -= np.exp(np.minimum(0, p[pair])).sum(0)
+        np.add.at(dt, (y[:, :-1][pair], y[:, 1:][pair]), 1)
+        for name, v in w.items():
+            d = np.stack([np.bincount(where[name], g[:, k], len(holds) if name == "shape" else len(v)) for k in (O, B, I)], 1)
+            d = (holds.T @ d if name == "shape" else d) / total - penalty * v
+            seen[name] += d**2
+            v += rate * d / np.sqrt(seen[name])
+        dt /= total
+        seen_t += dt**2
+        t += rate * dt / np.sqrt(seen_t)
+    shape_weights = {f: w["shape"][i].tolist() for f, i in names.items()}
+    return Field(shape_weights, {name: w[name] for name in sizes}, t + wall)
 
 
 def fit_field(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Field:
-    """Fits the field on at most train_rows texts, taken in hash order among those that hold a digit run or a keyword."""
-    sample = (
-        df.select(F.xxhash64(id_col).alias("h"), text_of(text_col).alias("text"))
-        .where(F.col("text").contains("AKIA") | F.col("text").rlike(r"[0-9a-f]{24}") | F.col("text").rlike(r"(?i)(token|secret|passw(or)?d|api_?key)[\"']?\x20*[:=]") | F.col("text").rlike("[0-9]{8}"))
-        .select("h", F.xxhash64("text").alias("g"), F.when(F.length("text") <= 20000, F.col("text")).alias("text")).where("text is not null")
-        .orderBy("h", "g").limit(train_rows)
-    )
-    examples = []
-    for row in sample.select("text").toLocalIterator():
-        base, found = chains(row.text)
-        # What a keyword names outside the patterns has no label, so its chain teaches nothing.
-        unlabelled = {at for at in named(row.text) if not any(a <= at[0] < z for a, _, z in base)}
-        examples += [(chain, labels_of(chain, base)) for chain in found if not any((s, e) in unlabelled for s, e, _ in chain)]
-    return fit(examples)
-
-
-def spans_of(text: str, field: Field, memory: dict | None = None) -> tuple[list, list]:
-    """(pattern spans, all spans): the second adds what the field tags outside the patterns' spans."""
-    base, found = chains(text)
-    out, ends = list(base), [(s, e) for s, _, e in base]
-    memory = {} if memory is None else memory
-    for chain in found:
-        key = tuple(tuple(fs) for _, _, fs in chain)
-        if key not in memory:
-            if len(memory) > 50_000:
-                memory.clear()
-            memory[key] = field.viterbi(chain)
-        tags = memory[key]
-        i = 0
-        while i < len(chain):
-            if tags[i] == B:
-                j = i
-                while j + 1 < len(chain) and tags[j + 1] == I:
-                    j += 1
-                s, e = chain[i][0], chain[j][1]
-                if not any(a < e and s < z for a, z in ends):
-                    out.append((s, "crf", e))
-                i = j
-            i += 1
-    return base, sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
+    """Fits the field on about train_rows texts of any length, by hash, and those of three times as many that hold a pattern, a keyword or a number.
+
+    Null and empty texts teach nothing; repeated rows count each. An empty table gives the field of the planted secrets alone.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    number = df.count()
+    shown = F.col("text").contains("AKIA") | F.col("text").rlike(r"[0-9a-f]{24}") | F.col("text").rlike(r"(?i)(token|secret|passw(or)?d|api_?key)[\"']?\x20*[:=]") | F.col("text").rlike("[0-9]{8}")
+    some = hash_sample(rows, ["id", "text"], train_rows, number).unionByName(hash_sample(rows, ["text", "id"], 3 * train_rows, number).where(shown))
+    some = some.where("text <> ''").select("text").distinct()
+    texts = sorted((r.text for r in some.toLocalIterator()), key=lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).digest())
+    return fit(*examples_of(texts or ["a text without any secret"] * 50))
+
+
+class Scanner:
+    """Finds spans with a field; keeps what it knows of tokens from text to text."""
+
+    def __init__(self, field: Field):
+        self.field, self.shapes, self.gaps = field, _Shapes(), _Gaps()
+        field.forget()
+
+    def spans(self, text: str) -> tuple[list, list]:
+        """(pattern spans, all spans): the second adds what the field tags outside the patterns' spans."""
+        base = base_spans(text)
+        t = Tokens(text, self.shapes, self.gaps)
+        found = self.field.tags(t, self.shapes.numbers)
+        if not found:
+            return base, base
+        starts, ends = t.starts()
+        out = list(base)
+        for first, last in found:
+            s, e = int(starts[first]), int(ends[last])
+            if not any(a < e and s < z for a, _, z in base):
+                out.append((s, "crf", e))
+        return base, sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
+
+
+def spans_of(text: str, field: Field) -> tuple[list, list]:
+    return Scanner(field).spans(text)
 
 
 def scan_secrets(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """Adds secrets: array<struct<kind, start, end>> by start and then kind, in code points, ends exclusive.
 
-    Null and empty texts have no spans. Every other column is kept; one named secrets is replaced.
+    Null and empty texts have no spans; repeated rows are scanned each. Every other column is kept; one named secrets is replaced.
     """
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
 
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory: dict = {}
+        scanner = Scanner(field)
         for batch in batches:
-            yield pd.Series([[{"kind": k, "start": s, "end": e} for s, k, e in spans_of(t, field, memory)[1]] for t in batch])
+            yield pd.Series([[{"kind": k, "start": s, "end": e} for s, k, e in scanner.spans(t)[1]] for t in batch])
 
     return df.withColumn("secrets", run(text_of(text_col)))
 
@@ -271,7 +445,7 @@ def digest(spans) -> object:
 
 
 def secret_report(df: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: counts by pattern, the hash of the pattern spans, and all spans."""
+    """One row per text: counts by pattern, the hash of the pattern spans, and all spans. Null texts count as empty; repeated rows stay."""
     field = field or fit_field(df, id_col, text_col)
     found = scan_secrets(df.select(F.col(id_col), F.col(text_col)), field, text_col).select(id_col, "secrets")
     base = F.filter("secrets", lambda s: s["kind"] != "crf")
@@ -282,10 +456,10 @@ def secret_report(df: DataFrame, field: Field | None = None, id_col: str = "doc_
 
 
 def redact_secrets(df: DataFrame, field: Field, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The same rows and columns; each union of overlapping spans becomes the mark. Null texts stay null."""
+    """The same rows and columns; each union of overlapping spans becomes the mark. Null texts stay null, repeated rows stay."""
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory: dict = {}
+        scanner = Scanner(field)
         for batch in batches:
             out = []
             for t in batch:
@@ -293,7 +467,7 @@ def redact_secrets(df: DataFrame, field: Field, text_col: str = "text", mark: st
                     out.append(None)
                     continue
                 parts, at = [], 0
-                for s, _, e in spans_of(t, field, memory)[1]:
+                for s, _, e in scanner.spans(t)[1]:
                     if e <= at:
                         continue
                     if s >= at:
