@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,15 @@ def normalise(column: Column) -> Column:
     return F.array_join(F.array_sort(F.split(F.coalesce(column, F.lit("")), ";")), ";")
 
 
+def one_hot_seen(train: DataFrame, name: str, values: DataFrame) -> DataFrame:
+    """values with name_<level> columns for the levels seen in train, in order; a level that is new, or null, is zero in each.
+
+    Levels of a category are few by contract, so they are read to the driver.
+    """
+    levels = [r[0] for r in train.where(F.col(name).isNotNull()).select(name).distinct().orderBy(name).collect()]
+    return values.select("*", *one_hot(name, levels))
+
+
 def clip_logit(p: Column, eps: float = 1e-6) -> Column:
     q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
     return F.ln(q / (1 - q))
@@ -45,6 +54,14 @@ def softplus(x: Column) -> Column:
     return F.greatest(F.lit(0.0), x) + F.log1p(F.exp(-F.abs(x)))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! for whole n >= 0: the sum for small n, Stirling's series from 20 on, right to 1e-13 of it."""
+    x = n.cast("double")
+    far = (x + 0.5) * F.ln(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    near = F.element_at(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(20)]), F.least(n + 1, F.lit(20)).cast("int"))
+    return F.when(n < 20, near).otherwise(far)
+
+
 def normal_quantile(p: float) -> float:
     from statistics import NormalDist
 

@@ -60,10 +60,10 @@ def _predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def calibration_slopes(df: DataFrame, logit: str, by: str) -> DataFrame:
     """(by, intercept, slope) of the target on the score's logit; pre-aggregated by score, null where a class is missing."""
-    per = df.groupBy(by, logit).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("p"))
+    per = df.groupBy(F.col(by).alias("_by"), F.col(logit).alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum("y").cast("double").alias("_p"))
 
     def fit(key, g: pd.DataFrame) -> pd.DataFrame:
-        x, n, p = (g[c].to_numpy(float) for c in (logit, "n", "p"))
+        x, n, p = (g[c].to_numpy(float) for c in ("_x", "_n", "_p"))
         if p.sum() in (0, n.sum()):
             return pd.DataFrame([(key[0], None, None)], columns=[by, "intercept", "slope"])
         w = np.array([0.0, 1.0])
@@ -73,7 +73,7 @@ def calibration_slopes(df: DataFrame, logit: str, by: str) -> DataFrame:
             w = w + np.linalg.lstsq((a.T * (n * q * (1 - q))) @ a, a.T @ (p - n * q), rcond=None)[0]
         return pd.DataFrame([(key[0], round(float(w[0]), 6), round(float(w[1]), 6))], columns=[by, "intercept", "slope"])
 
-    return per.groupBy(by).applyInPandas(fit, f"{by} string, intercept double, slope double")
+    return per.groupBy("_by").applyInPandas(fit, f"{by} string, intercept double, slope double")
 
 
 def seed_sweep(df: DataFrame, seeds: int, columns: list[str], scopes: tuple[str, ...] = ("train",)) -> DataFrame:

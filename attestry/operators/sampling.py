@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.scalars import hash32
+from attestry.operators.running import sums_before
 
+# Fixed value: the root of all named seeds.
 ROOT = 20260922
 
 
@@ -32,16 +34,16 @@ def hash_rank(df: DataFrame, by: list[str], h: Column, key: str, out: str) -> Da
     return cut.withColumn("_r", F.row_number().over(inside)).join(offsets, [*by, "_c"]).withColumn(out, F.col("_r") + F.col("_o")).drop("_h", "_c", "_r", "_o")
 
 
-def hash_split(df: DataFrame, key: str, seed: Column, by: list[str], share: float = 0.2) -> DataFrame:
+def hash_split(df: DataFrame, key: str, seed: Column, by: list[str], share: float = 0.2, kind: str = "split") -> DataFrame:
     """Adds is_test for exactly ceil(share n) rows of each partition of by."""
     sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * share).alias("_k"))
-    return hash_rank(df, by, hash32(seed, "split", F.col(key)), key, "_rank").join(sizes, by).withColumn("is_test", F.col("_rank") <= F.col("_k")).drop("_rank", "_k")
+    return hash_rank(df, by, hash32(seed, kind, F.col(key)), key, "_rank").join(sizes, by).withColumn("is_test", F.col("_rank") <= F.col("_k")).drop("_rank", "_k")
 
 
 def group_split(df: DataFrame, group: str, seed: int, share: float = 0.2) -> DataFrame:
-    """Adds is_test for ceil(share g) of the groups, whole."""
-    groups = df.select(group).distinct().withColumn("r", F.row_number().over(Window.orderBy(hash32(seed, "group", F.col(group)), group))).withColumn("g", F.count(F.lit(1)).over(Window.partitionBy()))
-    return df.join(groups.select(group, (F.col("r") <= F.ceil(F.col("g") * share)).alias("is_test")), group)
+    """Adds is_test for ceil(share g) of the groups, whole; the groups are ranked in ranges of their hash."""
+    groups = df.select(group).distinct().withColumn("_all", F.lit(0))
+    return df.join(hash_split(groups, group, F.lit(seed), ["_all"], share, "group").select(group, "is_test"), group)
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, seed: Column | int, k: int, by: list[str] | None = None) -> DataFrame:
@@ -50,13 +52,35 @@ def stratified_folds(df: DataFrame, key: str, label: str, seed: Column | int, k:
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("bigint")).drop("_rank")
 
 
-def bootstrap(df: DataFrame, key: str, strata: list[str], draws: int, seed: int) -> DataFrame:
-    """(b, row of df): as many draws in each stratum as it has rows, with replacement."""
-    w = Window.partitionBy(*strata)
-    base = df.withColumn("pos", F.row_number().over(w.orderBy(key)) - 1).withColumn("size", F.count(F.lit(1)).over(w))
-    picks = base.select(*strata, "pos", "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    picks = picks.select(*strata, "b", (hash32(seed, F.col("b"), *[F.col(s) for s in strata], F.col("pos")) % F.col("size")).cast("int").alias("pos"))
-    return picks.join(base.drop("size"), [*strata, "pos"])
+#: Positions that one row of a draw's plan stands for, and positions of a cell of the join.
+_DEAL, _CELL = 8192, 256
+
+
+def bootstrap_weights(df: DataFrame, strata: list[str], values: list[str], draws: int, seed: int, seen: bool = False, times: str | None = None) -> DataFrame:
+    """(b, strata, values, drawn): how often each combination of values is drawn from its stratum, as many rows as it has, with replacement.
+
+    Rows of equal values are alike for any statistic over them, so they are counted first and stand side by side at
+    positions 0 to size - 1 of their stratum, in order of the values; draw k of replicate b takes position hash(seed, b, stratum, k) mod size.
+    No row is ranked or joined: what is dealt out is draws, spread over tasks by position. With seen, also size and seen, the rows and
+    the different rows drawn, and combinations that a replicate does not draw. times names a column that says how many rows a row is. Strata with nulls are left out; values are numbers without nulls.
+    """
+    counts = df.dropna(subset=strata).groupBy(*strata, *values).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_n"))
+    placed = sums_before(counts, strata, values, ["_n"]).withColumn("_to", F.col("before__n") + F.col("_n"))
+    cells = placed.withColumn("_cell", F.explode(F.sequence(F.expr(f"before__n div {_CELL}"), F.expr(f"(_to - 1) div {_CELL}"))))
+    sizes = counts.groupBy(*strata).agg(F.sum("_n").alias("_size"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sizes.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_size - 1) div {_DEAL}")))).repartition(parts, *strata, "_part")
+    picks = dealt.withColumn("_k", F.explode(F.sequence(F.col("_part") * _DEAL, F.least((F.col("_part") + 1) * _DEAL, F.col("_size")) - 1)))
+    picks = picks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = picks.select(*strata, "b", (hash32(seed, F.col("b"), *[F.col(s) for s in strata], F.col("_k")) % F.col("_size")).alias("_at"))
+    hits = picks.groupBy(*strata, "b", "_at").agg(F.count(F.lit(1)).alias("_w")) if seen else picks.withColumn("_w", F.lit(1).cast("bigint"))
+    met = hits.withColumn("_cell", F.expr(f"_at div {_CELL}")).join(cells, [*strata, "_cell"]).where((F.col("before__n") <= F.col("_at")) & (F.col("_at") < F.col("_to")))
+    out = met.groupBy("b", *strata, *values).agg(F.sum("_w").alias("drawn"), F.count(F.lit(1)).alias("seen"))
+    if not seen:
+        return out.drop("seen")
+    every = counts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    zero = F.lit(0).cast("bigint")
+    return every.join(out, ["b", *strata, *values], "left").select("b", *strata, *values, F.coalesce("drawn", zero).alias("drawn"), F.coalesce("seen", zero).alias("seen"), F.col("_n").alias("size"))
 
 
 def matched_draw(pool: DataFrame, target: DataFrame, key: str, label: str, seed: int) -> DataFrame:
@@ -66,10 +90,41 @@ def matched_draw(pool: DataFrame, target: DataFrame, key: str, label: str, seed:
 
 
 def permute(df: DataFrame, key: str, label: str, seed: Column, by: list[str]) -> DataFrame:
-    """The label column dealt anew: rank by hash meets rank by key."""
-    a = df.drop(label).withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
-    b = df.select(*by, label, F.row_number().over(Window.partitionBy(*by).orderBy(hash32(seed, "perm", F.col(key)), key)).alias("r"))
-    return a.join(b, [*by, "r"]).drop("r")
+    """The label column dealt anew within by: rank by one hash meets rank by another, both in ranges of the hash."""
+    a = hash_rank(df.drop(label), by, hash32(seed, "place", F.col(key)), key, "_rank")
+    b = hash_rank(df.select(*by, key, label, seed.alias("_seed")), by, hash32(F.col("_seed"), "perm", F.col(key)), key, "_rank")
+    return a.join(b.select(*by, label, "_rank"), [*by, "_rank"]).drop("_rank")
+
+
+def second_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """n rows without replacement, for a second look: the first by hash, in order of the key."""
+    first = df.withColumn("_h", hash32(seed, "second", F.col(key))).orderBy("_h", key).limit(n)  # a report of n rows
+    return first.drop("_h").orderBy(key)
+
+
+def uniform(seed, *parts: Column) -> Column:
+    """A number in (0, 1) from a hash of the parts."""
+    return (hash32(seed, *parts) + F.lit(0.5)) / F.lit(4294967296.0)
+
+
+def normal(seed, *parts: Column) -> Column:
+    """A standard normal number from two hashes of the parts (Box-Muller)."""
+    return F.sqrt(-2 * F.ln(uniform(seed, F.lit("r"), *parts))) * F.cos(F.lit(6.283185307179586) * uniform(seed, F.lit("a"), *parts))
+
+
+def simulate_binormal(spark: SparkSession, n: int, sims: int, shift: float, seed: int, share: float = 0.5) -> DataFrame:
+    """(sim, k, y, score): scores normal with unit variance, their mean higher by shift where y is 1."""
+    rows = spark.range(n * sims).select(F.expr(f"id div {n}").alias("sim"), F.expr(f"id % {n}").alias("k"))
+    y = (F.col("k") < int(n * share)).cast("int")
+    return rows.withColumn("y", y).withColumn("score", F.col("y") * F.lit(shift) + normal(seed, F.col("sim"), F.col("k")))
+
+
+def simulate_logistic(spark: SparkSession, n: int, sims: int, intercept: float, slope: float, seed: int) -> DataFrame:
+    """(sim, k, x, y): y is 1 with chance logistic(intercept + slope x) for a standard normal x."""
+    rows = spark.range(n * sims).select(F.expr(f"id div {n}").alias("sim"), F.expr(f"id % {n}").alias("k"))
+    rows = rows.withColumn("x", normal(seed, F.col("sim"), F.col("k")))
+    chance = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("x"))))
+    return rows.withColumn("y", (uniform(seed, F.lit("y"), F.col("sim"), F.col("k")) < chance).cast("int"))
 
 
 def contamination(df: DataFrame, key: str, group: str, test: DataFrame) -> DataFrame:

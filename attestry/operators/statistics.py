@@ -5,27 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.scalars import normal_quantile
+from attestry.functions.scalars import log_factorial, normal_quantile, softplus, t_two_sided
+from attestry.operators.running import renamed, same_keys, sums_before
 
 
-def _ranks(score: str, by: list[str]) -> Column:
-    """Average rank within by; ties share their mean rank."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(score)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, score)) - 1) / F.lit(2.0)
+def _counted(df: DataFrame, score: str, label: str, by: list[str], weight: str | None = None) -> DataFrame:
+    """(by, score, _p, _q): positives and negatives of each distinct score, summed before the shuffle; rows without a score, or with NaN, go."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    return df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(w)).alias("_q"))
 
 
-def auc_by(df: DataFrame, score: str, label: str = "y", by: list[str] | None = None) -> DataFrame:
-    """(by, auc, n, n_pos) with ties averaged; null auc where a class is missing."""
+def _below(counts: DataFrame, score: str, by: list[str]) -> DataFrame:
+    """Adds _pb and _qb, positives and negatives with a lower score in the group."""
+    return sums_before(counts, by, [score], ["_p", "_q"]).withColumnsRenamed({"before__p": "_pb", "before__q": "_qb"})
+
+
+def auc_by(df: DataFrame, score: str, label: str = "y", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(by, auc, n, n_pos) with ties averaged; null auc where a class is missing. weight counts a row so many times.
+
+    Rows are counted by distinct score first, so what is sorted is the distinct scores, in ranges, not the rows of a group.
+    """
     by = by or []
-    pos, neg = F.sum(label).cast("double"), (F.count(F.lit(1)) - F.sum(label)).cast("double")
-    ranked = df.where(F.col(score).isNotNull()).withColumn("_r", _ranks(score, by))
-    value = (F.sum(F.when(F.col(label) == 1, F.col("_r"))) - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0.0))
-    return ranked.groupBy(*by).agg(value.alias("auc"), F.count(F.lit(1)).alias("n"), F.sum(label).cast("bigint").alias("n_pos"))
+    placed = _below(_counted(df, score, label, by, weight), score, by)
+    won = F.sum(F.col("_p") * (F.col("_qb") + F.col("_q") / 2))
+    pos, neg = F.sum("_p"), F.sum("_q")
+    return placed.groupBy(*by).agg((won / F.nullif(pos * neg, F.lit(0.0))).alias("auc"), (pos + neg).cast("bigint").alias("n"), pos.cast("bigint").alias("n_pos"))
 
 
-def site_weighted_auc(df: DataFrame, score: str, site: str, by: list[str] | None = None) -> DataFrame:
+def site_weighted_auc(df: DataFrame, score: str, site: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Mean of site AUCs by rows; one-class sites are left out and counted."""
-    per = auc_by(df, score, by=[*(by or []), site])
+    per = auc_by(df, score, by=[*(by or []), site], weight=weight)
     ok = F.col("auc").isNotNull()
     return per.groupBy(*(by or [])).agg(
         (F.sum(F.col("auc") * F.col("n")) / F.nullif(F.sum(F.when(ok, F.col("n"))), F.lit(0))).alias("auc"), F.count_if(ok).alias("n_sites"), F.count_if(~ok).alias("n_undefined")
@@ -39,24 +48,42 @@ def interval(df: DataFrame, value: str, by: list[str] | None = None, level: floa
 
 
 def delong(df: DataFrame, score: str, by: list[str], level: float = 0.95) -> DataFrame:
-    """(by, auc, se, lo, hi) from placements by two rank windows; n log n."""
-    own = [*by, "y"]
-    sizes = df.withColumn("n1", F.sum("y").over(Window.partitionBy(*by))).withColumn("n0", F.sum(1 - F.col("y")).over(Window.partitionBy(*by)))
-    raw = sizes.withColumn("d", _ranks(score, by) - _ranks(score, own))
-    placed = raw.withColumn("v", F.when(F.col("y") == 1, F.col("d") / F.nullif("n0", F.lit(0))).otherwise(1 - F.col("d") / F.nullif("n1", F.lit(0))))
+    """(by, auc, se, lo, hi) from placements, which are the same for all rows of a score; all null where a class is missing, se and bounds where it has one row."""
+    placed = _below(_counted(df, score, "y", by), score, by)
+    sizes = renamed(placed.groupBy(*by).agg(F.sum("_p").alias("_n1"), F.sum("_q").alias("_n0")), by, "_n1", "_n0")
+    n1, n0 = F.col("_n1"), F.col("_n0")
+    v1, v0 = (F.col("_qb") + F.col("_q") / 2) / F.nullif(n0, F.lit(0.0)), (n1 - F.col("_pb") - F.col("_p") / 2) / F.nullif(n1, F.lit(0.0))
+    # Deviations from a half keep the sums of squares small beside each other.
+    s1, q1 = F.sum(F.col("_p") * (v1 - 0.5)), F.sum(F.col("_p") * (v1 - 0.5) * (v1 - 0.5))
+    s0, q0 = F.sum(F.col("_q") * (v0 - 0.5)), F.sum(F.col("_q") * (v0 - 0.5) * (v0 - 0.5))
+    agg = placed.join(sizes, same_keys(by)).groupBy(*by).agg(F.max("_n1").alias("_n1"), F.max("_n0").alias("_n0"), *[x.alias(k) for k, x in (("_s1", s1), ("_q1", q1), ("_s0", s0), ("_q0", q0))])
+    spread = lambda s, q, n: F.greatest(F.lit(0.0), F.col(q) - F.col(s) * F.col(s) / F.nullif(n, F.lit(0.0))) / F.nullif(n - 1, F.lit(0.0)) / F.nullif(n, F.lit(0.0))
+    defined = (n1 > 0) & (n0 > 0)
+    out = agg.withColumn("_a", F.when(defined, F.col("_s1") / n1 + 0.5)).withColumn("_e", F.when((n1 > 1) & (n0 > 1), F.sqrt(spread("_s1", "_q1", n1) + spread("_s0", "_q0", n0))))
     z = normal_quantile(0.5 + level / 2)
-    of = lambda f, c: f(F.when(F.col("y") == c, F.col("v")))
-    agg = placed.groupBy(*by).agg(of(F.avg, 1).alias("auc"), F.sqrt(of(F.var_samp, 1) / F.nullif(F.max("n1"), F.lit(0)) + of(F.var_samp, 0) / F.nullif(F.max("n0"), F.lit(0))).alias("se"))
-    return agg.select(*by, F.round("auc", 9).alias("auc"), F.round("se", 9).alias("se"), F.round(F.greatest(F.lit(0.0), F.col("auc") - z * F.col("se")), 9).alias("lo"), F.round(F.least(F.lit(1.0), F.col("auc") + z * F.col("se")), 9).alias("hi"))
+    low, high = F.col("_a") - z * F.col("_e"), F.col("_a") + z * F.col("_e")
+    return out.select(*by, F.round("_a", 9).alias("auc"), F.round("_e", 9).alias("se"), F.round(F.when(low.isNotNull(), F.greatest(F.lit(0.0), low)), 9).alias("lo"), F.round(F.when(high.isNotNull(), F.least(F.lit(1.0), high)), 9).alias("hi"))
 
 
 def mcnemar(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """(by, n_a, n_b, p): discordant counts of two correctness flags and the exact two-sided p."""
+    """(by, n_a, n_b, p): discordant counts of two correctness flags and the exact two-sided p.
+
+    The tail is one fold per group: each term is the one before times a ratio, from the largest term down, whose log comes from Stirling's series.
+    """
     agg = df.groupBy(*by).agg(F.count_if(F.col(a) & ~F.col(b)).alias("n_a"), F.count_if(~F.col(a) & F.col(b)).alias("n_b"))
     n, low = F.col("n_a") + F.col("n_b"), F.least("n_a", "n_b")
-    factorials = lambda m: F.aggregate(F.sequence(F.lit(0), m.cast("int")), F.lit(0.0), lambda s, i: s + F.when(i > 0, F.ln(F.greatest(i, F.lit(1)))).otherwise(0.0))
-    term = lambda k: F.exp(factorials(n) - factorials(k) - factorials(n - k) - n * F.ln(F.lit(2.0)))
-    tail = F.aggregate(F.sequence(F.lit(0), low.cast("int")), F.lit(0.0), lambda s, k: s + term(k))
+    top = F.exp(log_factorial(n) - log_factorial(low) - log_factorial(n - low) - n * F.ln(F.lit(2.0)))
+    # The term at k - 1 is the term at k times k / (n - k + 1).
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(s: Column, i: Column) -> Column:
+        k = low - i + 1
+        term = s["term"] * k / (n - k + 1).cast("double")
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    # Below the largest term by more than 1e-17 of it nothing changes a double; 40 standard deviations are past that.
+    reach = F.least(low, F.ceil(F.sqrt(n.cast("double")) * 20 + 50).cast("bigint"))
+    tail = F.when(reach > 0, F.aggregate(F.sequence(F.lit(1).cast("bigint"), reach), start, step)["sum"]).otherwise(1.0) * top
     return agg.withColumn("p", F.round(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)), 9))
 
 
@@ -69,35 +96,55 @@ def holm(df: DataFrame, p: str, key: str, by: list[str] | None = None) -> DataFr
 
 
 def corrected_t(df: DataFrame, diff: str, ratio: float, by: list[str] | None = None) -> DataFrame:
-    """(by, mean, t, j): variance times (1/j + test/train); t is null with no variance."""
-    agg = df.groupBy(*(by or [])).agg(F.avg(diff).alias("m"), F.var_samp(diff).alias("v"), F.count(diff).alias("j"))
-    return agg.select(*(by or []), F.round("m", 9).alias("mean"), F.round(F.col("m") / F.nullif(F.sqrt(F.col("v") * (1 / F.col("j").cast("double") + F.lit(ratio))), F.lit(0.0)), 9).alias("t"), "j")
+    """(by, mean, t, p, j): variance times (1/j + test/train), two-sided p with j - 1 degrees of freedom.
+
+    Without any variance t is 0 and p 1 where the mean is 0, else t is infinite with the mean's sign and p 0. One value has neither.
+    """
+    from pyspark.sql import types
+
+    two_sided = F.udf(lambda t, d: None if t is None or not d else t_two_sided(t, d), types.DoubleType())  # one row a group
+    agg = df.groupBy(*(by or [])).agg(F.avg(diff).alias("_m"), F.var_samp(diff).alias("_v"), F.count(diff).alias("_j"))
+    m, v, j = F.col("_m"), F.col("_v"), F.col("_j")
+    t = F.when(v > 0, m / F.sqrt(v * (1 / j.cast("double") + F.lit(ratio)))).when((v == 0) & (m == 0), 0.0).when(v == 0, F.signum(m) * F.lit(float("inf")))
+    p = F.when(v > 0, two_sided(F.col("_t"), j - 1)).when((v == 0) & (m == 0), 1.0).when(v == 0, 0.0)
+    return agg.withColumn("_t", t).withColumn("_p", p).select(*(by or []), F.round("_m", 9).alias("mean"), F.when(F.abs("_t") == float("inf"), F.col("_t")).otherwise(F.round("_t", 9)).alias("t"), F.round("_p", 9).alias("p"), j.alias("j"))
 
 
 def youden(df: DataFrame, score: str, by: list[str]) -> DataFrame:
-    """(by, threshold, j): the threshold with the largest sensitivity + specificity - 1; of equal ones the smallest."""
-    per = df.groupBy(*by, score).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    down = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    full = Window.partitionBy(*by)
-    j = F.sum("p").over(down) / F.nullif(F.sum("p").over(full), F.lit(0)).cast("double") - F.sum("q").over(down) / F.nullif(F.sum("q").over(full), F.lit(0)).cast("double")
-    best = Window.partitionBy(*by).orderBy(F.col("jj").desc_nulls_last(), F.col(score))
-    return per.withColumn("jj", F.round(j, 9)).withColumn("rn", F.row_number().over(best)).where("rn = 1").select(*by, F.col(score).cast("double").alias("threshold"), F.col("jj").alias("j"))
+    """(by, threshold, j): the threshold with the largest sensitivity + specificity - 1; of equal ones the smallest. j is null where a class is missing."""
+    placed = _below(_counted(df, score, "y", by), score, by)
+    totals = renamed(placed.groupBy(*by).agg(F.sum("_p").alias("_tp"), F.sum("_q").alias("_tq")), by, "_tp", "_tq")
+    tp, tq = F.col("_tp"), F.col("_tq")
+    j = (tp - F.col("_pb")) / F.nullif(tp, F.lit(0.0)) - (tq - F.col("_qb")) / F.nullif(tq, F.lit(0.0))
+    ranked = placed.join(totals, same_keys(by)).select(*by, F.col(score).cast("double").alias("_s"), F.round(j, 9).alias("_j"))
+    best = ranked.groupBy(*by).agg(F.max(F.struct(F.coalesce("_j", F.lit(-2.0)).alias("j"), (-F.col("_s")).alias("s"))).alias("_x"))
+    return best.select(*by, (-F.col("_x.s")).alias("threshold"), F.when(F.col("_x.j") > -2, F.col("_x.j")).alias("j"))
 
 
 def calibration_intercept(df: DataFrame, logit: str, by: list[str], steps: int = 30) -> DataFrame:
-    """Newton for a in p = logistic(a + logit). Scores are pre-aggregated, so a group carries its distinct logits only."""
-    per = df.groupBy(*by, logit).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("p"))
-    rows = per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(logit).alias("x"), "n", "p"))).alias("rows"))
+    """Newton for a in p = logistic(a + logit); null where a class is missing, as no finite a is best there.
+
+    Scores are pre-aggregated, so a group carries its distinct logits only.
+    """
+    per = df.groupBy(*by, logit).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum("y").cast("double").alias("_p"))
+    rows = per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(logit).alias("x"), F.col("_n").alias("n"), F.col("_p").alias("p")))).alias("_rows"), F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
 
     def step(a: Column, _: Column) -> Column:
         q = lambda r: 1 / (1 + F.exp(-(a + r["x"])))
-        g = F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["p"] - r["n"] * q(r))
-        h = F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["n"] * q(r) * (1 - q(r)))
+        g = F.aggregate("_rows", F.lit(0.0), lambda s, r: s + r["p"] - r["n"] * q(r))
+        h = F.aggregate("_rows", F.lit(0.0), lambda s, r: s + r["n"] * q(r) * (1 - q(r)))
         return a + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.coalesce(F.try_divide(g, h), F.lit(0.0))))
 
-    return rows.select(*by, F.round(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step), 6).alias("intercept"))
+    both = (F.col("_tp") > 0) & (F.col("_tp") < F.col("_tn"))
+    return rows.select(*by, F.when(both, F.round(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step), 6)).alias("intercept"))
 
 
-def youden_accuracy(df: DataFrame, score: str, threshold: Column, by: list[str]) -> DataFrame:
+def balanced_accuracy(df: DataFrame, score: str, threshold: Column, by: list[str]) -> DataFrame:
+    """(by, balanced_accuracy): the mean of the two classes' recall at a threshold, which may be a column; null where a class is missing."""
     hit = (F.col(score) >= threshold).cast("int")
     return df.groupBy(*by).agg(F.round((F.avg(F.when(F.col("y") == 1, hit)) + F.avg(F.when(F.col("y") == 0, 1 - hit))) / 2, 9).alias("balanced_accuracy"))
+
+
+def negative_log_likelihood(df: DataFrame, eta: str, by: list[str], label: str = "y") -> DataFrame:
+    """(by, nll, n): the logistic loss of a linear score, stable for any size of it."""
+    return df.groupBy(*by).agg(F.round(F.sum(softplus(F.col(eta)) - F.col(label) * F.col(eta)), 6).alias("nll"), F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.scalars import clip_logit
 from attestry.operators import statistics as T
-from attestry.operators.sampling import bootstrap
+from attestry.operators.sampling import bootstrap_weights
 from attestry.plans.registry import h32, query
 from attestry.plans.resampling import _AUC, _RK
 from attestry.sources.readers import recorded, table
@@ -26,12 +26,13 @@ def auc_by_site(spark, sf):
     return T.auc_by(recorded(spark, sf), "n_chars", by=["site"]).withColumn("auc", F.round("auc", 9))
 
 
-def _draws(seed, strata, cols="rid, y, site, n_chars, sp"):
+def _draws(seed, strata, values):
+    """SQL of bootstrap draws: rows stand in order of their values, as for bootstrap_weights."""
     s = ", ".join(strata)
     eq = " AND ".join(f"p.{c} = k.{c}" for c in strata)
     return (f"base AS (SELECT rid, y, site, rec.n_chars, length(text) - length(replace(text, ' ', '')) AS sp FROM rec JOIN documents d ON d.doc_id = rid),"
-            f" pos AS (SELECT *, row_number() OVER (PARTITION BY {s} ORDER BY rid) - 1 AS pos, count(*) OVER (PARTITION BY {s}) AS size FROM base),"
-            f" picks AS (SELECT b, {s}, {h32(str(seed), 'b', *strata, 'pos')} % size AS pos FROM pos, range(0, 200) t(b)), draws AS (SELECT k.b, p.rid, p.y, p.site, p.n_chars, p.sp FROM picks k JOIN pos p ON {eq} AND p.pos = k.pos)")
+            f" pos AS (SELECT *, row_number() OVER (PARTITION BY {s} ORDER BY {values}, rid) - 1 AS pos, row_number() OVER (PARTITION BY {s} ORDER BY rid) - 1 AS k, count(*) OVER (PARTITION BY {s}) AS size FROM base),"
+            f" picks AS (SELECT b, {s}, {h32(str(seed), 'b', *strata, 'k')} % size AS pos FROM pos, range(0, 200) t(b)), draws AS (SELECT k.b, p.rid, p.y, p.site, p.n_chars, p.sp FROM picks k JOIN pos p ON {eq} AND p.pos = k.pos)")
 
 
 _CI = "round(quantile_cont({v}, 0.025), 9) AS lo, round(quantile_cont({v}, 0.5), 9) AS mid, round(quantile_cont({v}, 0.975), 9) AS hi, count({v}) AS n"
@@ -42,26 +43,28 @@ def _base(spark, sf):
     return recorded(spark, sf).select("rid", "y", "site", "n_chars").join(d, "rid")
 
 
-@query("bootstrap_auc_ci", f"WITH @rec, {_draws(21, ['y'])}, r AS (SELECT b, y, {_RK.format(b='b', s='n_chars')} AS rk FROM draws), a AS (SELECT b, {_AUC} AS auc FROM r GROUP BY b) SELECT {_CI.format(v='auc')} FROM a")
+@query("bootstrap_auc_ci", f"WITH @rec, {_draws(21, ['y'], 'n_chars')}, r AS (SELECT b, y, {_RK.format(b='b', s='n_chars')} AS rk FROM draws), a AS (SELECT b, {_AUC} AS auc FROM r GROUP BY b) SELECT {_CI.format(v='auc')} FROM a")
 def bootstrap_auc_ci(spark, sf):
-    return T.interval(T.auc_by(bootstrap(_base(spark, sf), "rid", ["y"], 200, 21), "n_chars", by=["b"]), "auc")
+    draws = bootstrap_weights(recorded(spark, sf).select("y", "n_chars"), ["y"], ["n_chars"], 200, 21)
+    return T.interval(T.auc_by(draws, "n_chars", by=["b"], weight="drawn"), "auc")
 
 
-@query("paired_auc_diff", f"WITH @rec, {_draws(22, ['y'])}, r AS (SELECT b, y, {_RK.format(b='b', s='n_chars')} AS rk, {_RK.format(b='b', s='sp')} AS rk2 FROM draws), a AS (SELECT b, {_AUC} - {_AUC.replace('rk', 'rk2')} AS d FROM r GROUP BY b) SELECT {_CI.format(v='d')} FROM a")
+@query("paired_auc_diff", f"WITH @rec, {_draws(22, ['y'], 'n_chars, sp')}, r AS (SELECT b, y, {_RK.format(b='b', s='n_chars')} AS rk, {_RK.format(b='b', s='sp')} AS rk2 FROM draws), a AS (SELECT b, {_AUC} - {_AUC.replace('rk', 'rk2')} AS d FROM r GROUP BY b) SELECT {_CI.format(v='d')} FROM a")
 def paired_auc_diff(spark, sf):
-    draws = bootstrap(_base(spark, sf), "rid", ["y"], 200, 22)
-    a, b = T.auc_by(draws, "n_chars", by=["b"]), T.auc_by(draws, "sp", by=["b"])
+    draws = bootstrap_weights(_base(spark, sf), ["y"], ["n_chars", "sp"], 200, 22)
+    a, b = T.auc_by(draws, "n_chars", by=["b"], weight="drawn"), T.auc_by(draws, "sp", by=["b"], weight="drawn")
     return T.interval(a.select("b", "auc").join(b.select("b", F.col("auc").alias("auc2")), "b").withColumn("d", F.col("auc") - F.col("auc2")), "d")
 
 
-@query("site_weighted_auc_ci", f"WITH @rec, {_draws(23, ['site', 'y'])}, r AS (SELECT b, site, y, {_RK.format(b='b, site', s='n_chars')} AS rk FROM draws), s AS (SELECT b, site, {_AUC} AS auc, count(*) AS n FROM r GROUP BY b, site), a AS (SELECT b, sum(auc * n) / nullif(sum(CASE WHEN auc IS NOT NULL THEN n END), 0) AS auc FROM s GROUP BY b) SELECT {_CI.format(v='auc')} FROM a")
+@query("site_weighted_auc_ci", f"WITH @rec, {_draws(23, ['site', 'y'], 'n_chars')}, r AS (SELECT b, site, y, {_RK.format(b='b, site', s='n_chars')} AS rk FROM draws), s AS (SELECT b, site, {_AUC} AS auc, count(*) AS n FROM r GROUP BY b, site), a AS (SELECT b, sum(auc * n) / nullif(sum(CASE WHEN auc IS NOT NULL THEN n END), 0) AS auc FROM s GROUP BY b) SELECT {_CI.format(v='auc')} FROM a")
 def site_weighted_auc_ci(spark, sf):
-    return T.interval(T.site_weighted_auc(bootstrap(_base(spark, sf), "rid", ["site", "y"], 200, 23), "n_chars", "site", ["b"]), "auc")
+    draws = bootstrap_weights(recorded(spark, sf).select("site", "y", "n_chars"), ["site", "y"], ["n_chars"], 200, 23)
+    return T.interval(T.site_weighted_auc(draws, "n_chars", "site", ["b"], weight="drawn"), "auc")
 
 
 @query("delong_ci", f"""WITH @rec, z AS (SELECT site, y, sum(y) OVER (PARTITION BY site) AS n1, sum(1 - y) OVER (PARTITION BY site) AS n0, ({_RK.format(b='site', s='n_chars')}) - ({_RK.format(b='site, y', s='n_chars')}) AS d FROM rec),
- v AS (SELECT *, CASE WHEN y = 1 THEN d / nullif(n0, 0) ELSE 1 - d / nullif(n1, 0) END AS v FROM z), g AS (SELECT site, avg(CASE WHEN y = 1 THEN v END) AS auc, sqrt(var_samp(CASE WHEN y = 1 THEN v END) / nullif(max(n1), 0) + var_samp(CASE WHEN y = 0 THEN v END) / nullif(max(n0), 0)) AS se FROM v GROUP BY site)
- SELECT site, round(auc, 9) AS auc, round(se, 9) AS se, round(greatest(0, auc - {Z} * se), 9) AS lo, CASE WHEN auc + {Z} * se IS NULL THEN CAST(1 AS DOUBLE) ELSE round(least(CAST(1 AS DOUBLE), auc + {Z} * se), 9) END AS hi FROM g""")
+ v AS (SELECT *, CASE WHEN y = 1 THEN d / nullif(n0, 0) ELSE 1 - d / nullif(n1, 0) END AS v FROM z), g AS (SELECT site, CASE WHEN min(y) < max(y) THEN avg(CASE WHEN y = 1 THEN v END) END AS auc, sqrt(var_samp(CASE WHEN y = 1 THEN v END) / nullif(max(n1), 0) + var_samp(CASE WHEN y = 0 THEN v END) / nullif(max(n0), 0)) AS se FROM v GROUP BY site)
+ SELECT site, round(auc, 9) AS auc, round(se, 9) AS se, CASE WHEN se IS NOT NULL THEN round(greatest(CAST(0 AS DOUBLE), auc - {Z} * se), 9) END AS lo, CASE WHEN se IS NOT NULL THEN round(least(CAST(1 AS DOUBLE), auc + {Z} * se), 9) END AS hi FROM g""")
 def delong_ci(spark, sf):
     return T.delong(recorded(spark, sf), "n_chars", ["site"])
 
@@ -86,8 +89,11 @@ def holm_adjust(spark, sf):
     return T.holm(_mcnemar(spark, sf).select("grp", "p"), "p", "grp")
 
 
-@query("nadeau_bengio_t", """WITH @rec, d AS (SELECT grp, avg(CASE WHEN (n_chars > 1000) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE 0 END) - avg(CASE WHEN (n_chars > 300) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE 0 END) AS d FROM rec GROUP BY grp)
- SELECT round(avg(d), 9) AS mean, round(avg(d) / nullif(sqrt(var_samp(d) * (1 / CAST(count(d) AS DOUBLE) + CAST(0.1 AS DOUBLE))), 0), 9) AS t, count(d) AS j FROM d""")
+# The SQL takes the p-value from the t density with the angle as variable, by Simpson's rule in 2,000 steps.
+@query("nadeau_bengio_t", """WITH @rec, d AS (SELECT grp, avg(CASE WHEN (n_chars > 1000) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE 0 END) - avg(CASE WHEN (n_chars > 300) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE 0 END) AS d FROM rec GROUP BY grp),
+ a AS (SELECT avg(d) AS m, var_samp(d) AS v, count(d) AS j FROM d), t AS (SELECT *, CASE WHEN v > 0 THEN m / sqrt(v * (1 / CAST(j AS DOUBLE) + CAST(0.1 AS DOUBLE))) WHEN v = 0 AND m = 0 THEN CAST(0 AS DOUBLE) WHEN v = 0 THEN sign(m) * CAST('inf' AS DOUBLE) END AS t FROM a),
+ s AS (SELECT (SELECT sum((CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(cos(i * atan(abs(t.t) / sqrt(CAST(t.j - 1 AS DOUBLE))) / 2000), t.j - 2)) * atan(abs(t.t) / sqrt(CAST(t.j - 1 AS DOUBLE))) / 6000 FROM range(0, 2001) r(i)) AS area, t.* FROM t)
+ SELECT round(m, 9) AS mean, round(t, 9) AS t, round(CASE WHEN v > 0 THEN 1 - 2 * area * exp(lgamma(CAST(j AS DOUBLE) / 2) - lgamma(CAST(j - 1 AS DOUBLE) / 2)) / sqrt(pi()) WHEN v = 0 AND m = 0 THEN CAST(1 AS DOUBLE) WHEN v = 0 THEN CAST(0 AS DOUBLE) END, 9) AS p, j FROM s""")
 def nadeau_bengio_t(spark, sf):
     hit = lambda k: F.avg(((F.col("n_chars") > k) == (F.col("y") == 1)).cast("double"))
     return T.corrected_t(recorded(spark, sf).groupBy("grp").agg((hit(1000) - hit(300)).alias("d")), "d", 0.1)
@@ -102,7 +108,7 @@ def youden_threshold(spark, sf):
 
 @query("balanced_accuracy", "WITH @rec SELECT site, round((avg(CASE WHEN y = 1 THEN CASE WHEN n_chars >= 1000 THEN CAST(1 AS DOUBLE) ELSE 0 END END) + avg(CASE WHEN y = 0 THEN CASE WHEN n_chars >= 1000 THEN CAST(0 AS DOUBLE) ELSE 1 END END)) / 2, 9) AS balanced_accuracy FROM rec GROUP BY site")
 def balanced_accuracy(spark, sf):
-    return T.youden_accuracy(recorded(spark, sf), "n_chars", F.lit(1000), ["site"])
+    return T.balanced_accuracy(recorded(spark, sf), "n_chars", F.lit(1000), ["site"])
 
 
 _P = "least(CAST(0.999999 AS DOUBLE), greatest(CAST(0.000001 AS DOUBLE), CAST(n_chars % 97 + 1 AS DOUBLE) / 99))"
@@ -110,7 +116,7 @@ _P = "least(CAST(0.999999 AS DOUBLE), greatest(CAST(0.000001 AS DOUBLE), CAST(n_
 
 @query("calibration_intercept", f"""WITH RECURSIVE @rec, x AS (SELECT site, y, ln({_P} / (1 - {_P})) AS x FROM rec), it AS (SELECT site, 0 AS k, CAST(0 AS DOUBLE) AS a FROM (SELECT DISTINCT site FROM rec)
  UNION ALL SELECT it.site, k + 1, a + greatest(-2, least(2, coalesce((SELECT (sum(y) - sum(1 / (1 + exp(-(a + x.x))))) / nullif(sum((1 / (1 + exp(-(a + x.x)))) * (1 - 1 / (1 + exp(-(a + x.x))))), 0) FROM x WHERE x.site = it.site), 0))) FROM it WHERE k < 30)
- SELECT site, round(a, 6) AS intercept FROM it WHERE k = 30""")
+ SELECT site, CASE WHEN (SELECT min(y) < max(y) FROM x WHERE x.site = it.site) THEN round(a, 6) END AS intercept FROM it WHERE k = 30""")
 def calibration_intercept(spark, sf):
     r = recorded(spark, sf).withColumn("x", clip_logit((F.col("n_chars") % 97 + 1).cast("double") / 99))
     return T.calibration_intercept(r, "x", ["site"])
@@ -126,19 +132,20 @@ def calibration_slope(spark, sf):
 _CORRECT = "correct AS (SELECT rid, m, CASE WHEN (n_chars > m) = (y = 1) THEN 1 ELSE 0 END AS c FROM rec, (VALUES (100), (300), (1000), (3000)) t(m))"
 
 
-def _correct(spark, sf):
-    return recorded(spark, sf).withColumn("m", F.explode(F.array(*[F.lit(x) for x in (100, 300, 1000, 3000)]))).select("rid", "y", "m", ((F.col("n_chars") > F.col("m")) == (F.col("y") == 1)).cast("int").alias("c"))
-
-
-@query("winners_curse", f"""WITH @rec, {_CORRECT}, pos AS (SELECT rid, row_number() OVER (ORDER BY rid) - 1 AS pos, count(*) OVER () AS size FROM rec), picks AS (SELECT b, {h32('31', 'b', "'all'", 'pos')} % size AS pos FROM pos, range(0, 100) t(b)),
+@query("winners_curse", f"""WITH @rec, {_CORRECT}, code AS (SELECT rid, sum(c * CASE m WHEN 100 THEN 1 WHEN 300 THEN 2 WHEN 1000 THEN 4 ELSE 8 END) AS code FROM correct GROUP BY rid),
+ pos AS (SELECT rid, row_number() OVER (ORDER BY code, rid) - 1 AS pos, count(*) OVER () AS size FROM code), picks AS (SELECT b, {h32('31', 'b', "'all'", 'pos')} % size AS pos FROM pos, range(0, 100) t(b)),
  w AS (SELECT b, rid, count(*) AS w FROM picks JOIN pos USING (pos) GROUP BY b, rid), full_w AS (SELECT t.b, r.rid, coalesce(w.w, 0) AS w FROM range(0, 100) t(b) CROSS JOIN rec r LEFT JOIN w ON w.b = t.b AND w.rid = r.rid),
  acc AS (SELECT b, m, sum(w * c) / CAST(sum(w) AS DOUBLE) AS inbag, avg(CASE WHEN w = 0 THEN CAST(c AS DOUBLE) END) AS oob FROM full_w JOIN correct USING (rid) GROUP BY b, m),
  best AS (SELECT b, avg(inbag - oob) AS bias FROM (SELECT *, max(inbag) OVER (PARTITION BY b) AS top FROM acc) WHERE inbag = top AND oob IS NOT NULL GROUP BY b) SELECT round(avg(bias), 9) AS bias, count(*) AS n FROM best""")
 def winners_curse(spark, sf):
-    rec = recorded(spark, sf).select("rid").withColumn("all", F.lit("all"))
-    weights = bootstrap(rec, "rid", ["all"], 100, 31).groupBy("b", "rid").agg(F.count(F.lit(1)).alias("w"))
-    every = rec.select("rid", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("b")).join(weights, ["b", "rid"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
-    acc = every.join(_correct(spark, sf), "rid").groupBy("b", "m").agg((F.sum(F.col("w") * F.col("c")) / F.sum("w").cast("double")).alias("inbag"), F.avg(F.when(F.col("w") == 0, F.col("c").cast("double"))).alias("oob"))
+    rules = (100, 300, 1000, 3000)
+    right = [((F.col("n_chars") > k) == (F.col("y") == 1)).cast("int") for k in rules]
+    # What a row adds to any rule's accuracy is which rules are right on it.
+    coded = recorded(spark, sf).select(F.lit("all").alias("all"), sum((c * (1 << i) for i, c in enumerate(right)), F.lit(0)).alias("code"))
+    draws = bootstrap_weights(coded, ["all"], ["code"], 100, 31, seen=True)
+    each = draws.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(len(rules))]))).withColumn("c", F.expr("cast(shiftright(code, i) & 1 as bigint)"))
+    out = F.col("size") - F.col("seen")
+    acc = each.groupBy("b", "i").agg((F.sum(F.col("drawn") * F.col("c")) / F.sum("drawn").cast("double")).alias("inbag"), (F.sum(out * F.col("c")) / F.nullif(F.sum(out), F.lit(0)).cast("double")).alias("oob"))
     best = acc.withColumn("top", F.max("inbag").over(Window.partitionBy("b"))).where("inbag = top and oob is not null").groupBy("b").agg(F.avg(F.col("inbag") - F.col("oob")).alias("bias"))
     return best.agg(F.round(F.avg("bias"), 9).alias("bias"), F.count(F.lit(1)).alias("n"))
 

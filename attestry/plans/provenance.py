@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.operators import matching as M
-from attestry.operators.sampling import bootstrap
+from attestry.operators.sampling import bootstrap_weights
 from attestry.plans.registry import h32, query
-from attestry.sources.readers import published, recorded
+from attestry.sources.readers import published, recorded, settled
 
 EQUAL, FREE = ["site", "y", "n_chars"], ["nsp"]
 _PAIRS = """pairs AS (SELECT p.pid, r.rid, r.site, r.slope AS rec_slope, p.slope AS pub_slope, r.y AS rec_y, p.y AS pub_y FROM pub p JOIN rec r ON r.site = p.site AND r.n_chars = p.n_chars {y} AND (r.nsp IS NULL OR r.nsp = p.nsp))"""
@@ -69,23 +69,34 @@ def reverted_frame(spark, sf):
     return M.revert(pub, cells).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("nsp").isNull()).alias("null_nsp"), F.count_if(F.col("slope").isNull()).alias("null_slope"))
 
 
-def _gap(filled):
-    rate = lambda f, s: F.avg(F.when((F.col("filled") == f) & (F.col("slope") == s), F.col("y").cast("double")))
-    return rate(filled, 1) - rate(filled, 0)
+SMALL = 20
+#: Sources whose filled cells the gap is about; the others have no filled rows by rule of the study.
+SCOPE = ("de", "en", "fr")
+
+
+def _gap(filled, weight=F.lit(1)):
+    rate = lambda s: F.sum(F.when((F.col("filled") == filled) & (F.col("slope") == s), weight * F.col("y"))) / F.nullif(F.sum(F.when((F.col("filled") == filled) & (F.col("slope") == s), weight)), F.lit(0)).cast("double")
+    return rate(1) - rate(0)
 
 
 _GAPS = "avg(CASE WHEN filled = {f} AND slope = 1 THEN CAST(y AS DOUBLE) END) - avg(CASE WHEN filled = {f} AND slope = 0 THEN CAST(y AS DOUBLE) END)"
+_N = "sum(CASE WHEN filled = {f} AND slope = {s} THEN 1 ELSE 0 END)"
 
 
-@query("fill_gap_ci", _ALL + _CELLS + ", base AS (SELECT m.pid, m.pub_slope AS slope, m.pub_y AS y, CAST(CASE WHEN cells.pid IS NULL THEN 0 ELSE 1 END AS INT) AS filled FROM m LEFT JOIN cells ON cells.pid = m.pid AND cells.\"column\" = 'slope' WHERE m.rid IS NOT NULL),"
- + " pos AS (SELECT *, row_number() OVER (PARTITION BY filled ORDER BY pid) - 1 AS pos, count(*) OVER (PARTITION BY filled) AS size FROM base),"
+@query("fill_gap_ci", _ALL + _CELLS + ", base AS (SELECT m.pid, coalesce(m.pub_slope, -1) AS slope, m.pub_y AS y, CAST(CASE WHEN cells.pid IS NULL THEN 0 ELSE 1 END AS INT) AS filled FROM m LEFT JOIN cells ON cells.pid = m.pid AND cells.\"column\" = 'slope' WHERE m.rid IS NOT NULL AND m.source IN ('de', 'en', 'fr')),"
+ + " pos AS (SELECT *, row_number() OVER (PARTITION BY filled ORDER BY slope, y, pid) - 1 AS pos, count(*) OVER (PARTITION BY filled) AS size FROM base),"
  + f" picks AS (SELECT b, filled, {h32('11', 'b', 'filled', 'pos')} % size AS pos FROM pos, range(0, 200) t(b)), draws AS (SELECT k.b, p.* FROM picks k JOIN pos p ON p.filled = k.filled AND p.pos = k.pos),"
- + f" g AS (SELECT b, ({_GAPS.format(f=1)}) AS gf, ({_GAPS.format(f=0)}) AS go FROM draws GROUP BY b), o AS (SELECT ({_GAPS.format(f=1)}) AS gf, ({_GAPS.format(f=0)}) AS go FROM base)"
- + " SELECT round(o.gf, 9) AS gap_filled, round(o.go, 9) AS gap_observed, round(o.gf - o.go, 9) AS difference, round(quantile_cont(g.gf - g.go, 0.025), 9) AS lo, round(quantile_cont(g.gf - g.go, 0.975), 9) AS hi, count(g.gf - g.go) AS n FROM g, o GROUP BY o.gf, o.go")
+ + f" g AS (SELECT b, ({_GAPS.format(f=1)}) AS gf, ({_GAPS.format(f=0)}) AS go FROM draws GROUP BY b), o AS (SELECT ({_GAPS.format(f=1)}) AS gf, ({_GAPS.format(f=0)}) AS go, CAST(CASE WHEN least({', '.join(_N.format(f=f, s=x) for f in (1, 0) for x in (1, 0))}) < 20 THEN 1 ELSE 0 END AS INT) AS sg FROM base)"
+ + " SELECT round(o.gf, 9) AS gap_filled, round(o.go, 9) AS gap_observed, round(o.gf - o.go, 9) AS difference, round(quantile_cont(g.gf - g.go, 0.025), 9) AS lo, round(quantile_cont(g.gf - g.go, 0.975), 9) AS hi, count(g.gf - g.go) AS n, o.sg AS small_group FROM g, o GROUP BY o.gf, o.go, o.sg")
 def fill_gap_ci(spark, sf):
     _, _, m, cells = _frames(spark, sf)
-    flagged = m.where("rid is not null").select("pid", F.col("pub_slope").alias("slope"), F.col("pub_y").alias("y")).join(cells.where(F.col("column") == "slope").select("pid", F.lit(1).alias("filled")), "pid", "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
-    draws = bootstrap(flagged, "pid", ["filled"], 200, 11).groupBy("b").agg((_gap(1) - _gap(0)).alias("d"))
+    scoped = m.where(F.col("rid").isNotNull() & F.col("source").isin(*SCOPE)).select("pid", F.coalesce("pub_slope", F.lit(-1)).alias("slope"), F.col("pub_y").alias("y"))
+    flagged = scoped.join(cells.where(F.col("column") == "slope").select("pid", F.lit(1).alias("filled")), "pid", "left").select(F.coalesce("filled", F.lit(0)).alias("filled"), "slope", "y")
+    # All that counts of a row is these three values, so the match is made once and only their counts go on.
+    counts = settled(flagged.groupBy("filled", "slope", "y").agg(F.count(F.lit(1)).alias("rows")))
+    drawn = bootstrap_weights(counts, ["filled"], ["slope", "y"], 200, 11, times="rows")
+    draws = drawn.groupBy("b").agg((_gap(1, F.col("drawn")) - _gap(0, F.col("drawn"))).alias("d"))
     ci = draws.agg(F.round(F.percentile("d", F.lit(0.025)), 9).alias("lo"), F.round(F.percentile("d", F.lit(0.975)), 9).alias("hi"), F.count("d").alias("n"))
-    whole = flagged.agg(_gap(1).alias("gf"), _gap(0).alias("go"))
-    return whole.join(F.broadcast(ci)).select(F.round("gf", 9).alias("gap_filled"), F.round("go", 9).alias("gap_observed"), F.round(F.col("gf") - F.col("go"), 9).alias("difference"), "lo", "hi", "n")  # one row each
+    held = [F.coalesce(F.sum(F.when((F.col("filled") == f) & (F.col("slope") == s), F.col("rows"))), F.lit(0)) for f in (1, 0) for s in (1, 0)]
+    whole = counts.agg(_gap(1, F.col("rows")).alias("gf"), _gap(0, F.col("rows")).alias("go"), (F.least(*held) < SMALL).cast("int").alias("small_group"))
+    return whole.join(F.broadcast(ci)).select(F.round("gf", 9).alias("gap_filled"), F.round("go", 9).alias("gap_observed"), F.round(F.col("gf") - F.col("go"), 9).alias("difference"), "lo", "hi", "n", "small_group")  # one row each

@@ -51,7 +51,7 @@ _AUC = "(sum(CASE WHEN y = 1 THEN rk END) - CAST(sum(y) AS DOUBLE) * (sum(y) + 1
 _RK = "rank() OVER (PARTITION BY {b} ORDER BY {s}) + (count(*) OVER (PARTITION BY {b}, {s}) - 1) / CAST(2 AS DOUBLE)"
 
 
-@query("label_permutation", f"""WITH @rec, k AS (SELECT rid, n_chars, seed, row_number() OVER (PARTITION BY seed ORDER BY rid) AS r FROM rec, range(0, 20) t(seed)), l AS (SELECT y, seed, row_number() OVER (PARTITION BY seed ORDER BY {h32('seed', "'perm'", 'rid')}, rid) AS r FROM rec, range(0, 20) t(seed)),
+@query("label_permutation", f"""WITH @rec, k AS (SELECT rid, n_chars, seed, row_number() OVER (PARTITION BY seed ORDER BY {h32('seed', "'place'", 'rid')}, rid) AS r FROM rec, range(0, 20) t(seed)), l AS (SELECT y, seed, row_number() OVER (PARTITION BY seed ORDER BY {h32('seed', "'perm'", 'rid')}, rid) AS r FROM rec, range(0, 20) t(seed)),
  j AS (SELECT k.seed, k.n_chars, l.y FROM k JOIN l ON l.seed = k.seed AND l.r = k.r), a AS (SELECT seed, y, {_RK.format(b='seed', s='n_chars')} AS rk FROM j)
  SELECT seed, CAST(sum(y) AS BIGINT) AS n_pos, round({_AUC}, 9) AS auc FROM a GROUP BY seed""")
 def label_permutation(spark, sf):
@@ -69,7 +69,7 @@ def contamination(spark, sf):
     return S.contamination(d, "doc_id", "g", split.where("is_test"))
 
 
-@query("screening_order", f"""WITH u AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE role <> 'system') SELECT conv_id, turn, row_number() OVER (ORDER BY {h32('9', "'repo'", 'conv_id')}, conv_id) AS position FROM u WHERE rn = 1""")
+@query("screening_order", f"""SELECT conv_id, turn, dense_rank() OVER (ORDER BY {h32('9', "'repo'", 'conv_id')}, conv_id) AS position, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role <> 'system')""")
 def screening_order(spark, sf):
     from attestry.operators.survey import screening_order as order
 

@@ -8,7 +8,9 @@ import tempfile
 import urllib.request
 import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +23,42 @@ class DigestMismatch(ValueError):
     """A file is not the one that was pinned."""
 
 
+@dataclass(frozen=True)
+class Pin:
+    """A raw file: its name, where it can be fetched, and the digest it has to have."""
+
+    file: str
+    urls: tuple[str, ...]
+    algorithm: str
+    digest: str
+
+
+def pins_frame(spark: SparkSession, pins: Iterable[Pin]) -> DataFrame:
+    """(file, algorithm, digest) of the registry."""
+    return spark.createDataFrame([(p.file, p.algorithm, p.digest) for p in pins], "file string, algorithm string, digest string")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, or under a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="attestry-")
+    """A fresh folder under spark.checkpoint.dir, or where that is unset and the session is local, under a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="attestry-")
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read back, for what several steps use."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as recorded: site, group, two measurements with missing cells, and the target."""
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -100,8 +128,9 @@ def file_digests(spark: SparkSession, path) -> DataFrame:
 
 
 def verify_digests(found: DataFrame, pins: DataFrame) -> None:
-    """Raises unless every pinned (file, sha256) is there and equal."""
-    wrong = pins.alias("p").join(found.alias("f"), "file", "left").where(~F.col("f.sha256").eqNullSafe(F.col("p.sha256"))).select("file").limit(5).collect()
+    """Raises unless every pinned (file, algorithm, digest) is there and equal; algorithms are sha256 and md5."""
+    had = F.when(F.col("p.algorithm") == "md5", F.col("f.md5")).when(F.col("p.algorithm") == "sha256", F.col("f.sha256"))
+    wrong = pins.alias("p").join(found.alias("f"), "file", "left").where(~had.eqNullSafe(F.col("p.digest"))).select("file").limit(5).collect()
     if wrong:
         raise DigestMismatch(", ".join(r.file for r in wrong))
 
@@ -135,9 +164,60 @@ def fetch_first_valid(urls: Iterable[str], dest: Path, algorithm: str, digest: s
     raise last or DigestMismatch("no mirror")
 
 
+def fetch_all(pins: Iterable[Pin], folder: Path, get: Callable[[str, Path], None] = _download) -> dict[str, Path]:
+    """Every pinned file in the folder, fetched where it is missing and then verified; one that is there and differs raises and stays."""
+    return {p.file: fetch_first_valid(p.urls, Path(folder) / p.file, p.algorithm, p.digest, get) for p in pins}
+
+
+def read_pages(page: Callable[[int], list[dict]], pages: int = 10, size: int = 100, pause: Callable[[], None] = lambda: None) -> list[dict]:
+    """The items of a paged source, from page 1 until a short page or the last one; pause runs between pages."""
+    items: list[dict] = []
+    for n in range(1, pages + 1):
+        if n > 1:
+            pause()
+        got = page(n)
+        items += got
+        if len(got) < size:
+            break
+    return items
+
+
+def fetch_notebooks(entries: Iterable[dict], get: Callable[[str], str], first: int, last: int) -> list[dict]:
+    """(file, content, error) for the entries whose position is in the range; paths are quoted, failures recorded."""
+    out = []
+    for e in entries:
+        if first <= e["position"] <= last:
+            row = {"file": f"{e['position']:03d}-{e['k']}", "content": None, "error": None}
+            try:
+                row["content"] = get(f"{e['repo']}/contents/{quote(e['path'])}")
+            except Exception as error:  # noqa: BLE001  recorded, as one failure should not end the run
+                row["error"] = str(error)
+            out.append(row)
+    return out
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
+
+
+def write_predictions(df: DataFrame, path: str) -> None:
+    """(seed, model, row_id, y, predicted) in long form, labels as single bytes: the bundle of a run's arrays."""
+    df.select("seed", "model", "row_id", F.col("y").cast("tinyint").alias("y"), F.col("predicted").cast("tinyint").alias("predicted")).write.partitionBy("model").parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("seed bigint, row_id bigint, y tinyint, predicted tinyint, model string").parquet(path)
+
+
+def write_texts(df: DataFrame, path: str, name: str, text: str) -> None:
+    """The texts under a folder for each name, so that every text is in files of its own."""
+    df.select(F.col(name).alias("name"), F.col(text).alias("value")).write.partitionBy("name").text(path)
+
+
+def console_table(df: DataFrame, rows: int = 20) -> str:
+    """The first rows as the table that show prints."""
+    return df._jdf.showString(rows, 20, False)
