@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import text_of, write_table
+from attestry.llm.common import drop_table, hash_sample, text_of, write_table
 
 K, KEPT = 5, 0.999
 FOLDS, HELD = 7, 2
-#: Words with a short code, from a bounded sample of texts; and how many there are at most. Codes change sizes, never results.
+#: Words with a short code, from a sample of about so many texts; and how many there are at most. Codes change sizes, never results.
 SAMPLE_ROWS, CODES = 2000, 60_000
 #: A word with more than this share of all tokens is dealt by its context too; there can be 1,024 of them at most.
 HOT = 1024
@@ -319,7 +319,7 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False)).alias("held"))
-    sample = df.select(F.xxhash64(id_col).alias("h"), text_of(text_col).alias("text")).where("text <> ''").orderBy("h", F.xxhash64("text")).limit(SAMPLE_ROWS)
+    sample = hash_sample(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), ["id", "text"], SAMPLE_ROWS, df.count()).where("text <> ''")
     words = sample.select(F.explode(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
     common = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(CODES).collect()
     short = spark.sparkContext.broadcast({r.w.encode(): i + 16 for i, r in enumerate(common)})

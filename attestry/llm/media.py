@@ -95,17 +95,22 @@ def _gif(b: bytes, at: int) -> int | None:
 
 
 def _jpeg(b: bytes, at: int) -> int | None:
+    """Segments by their lengths; inside a scan, escaped bytes and restart marks are passed over, and another segment may follow."""
     p = at + 2
-    while p + 4 <= len(b):
+    while p + 2 <= len(b):
         if b[p] != 0xFF:
             return None
-        if b[p + 1] == 0xDA:
-            stop = b.find(b"\xff\xd9", p)
-            return stop + 2 if stop >= 0 else None
-        n = int.from_bytes(b[p + 2 : p + 4], "big")
-        if n < 2:
+        kind = b[p + 1]
+        if kind == 0xD9:
+            return p + 2
+        if p + 4 > len(b) or (n := int.from_bytes(b[p + 2 : p + 4], "big")) < 2:
             return None
         p += 2 + n
+        if kind == 0xDA:
+            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7 or b[p + 1] == 0xFF):
+                p += 1 if b[p + 1] == 0xFF else 2
+            if p < 0:
+                return None
     return None
 
 
@@ -118,15 +123,23 @@ def _bmp(b: bytes, at: int) -> int | None:
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    stop = b.rfind(b"%%EOF", at)
-    return stop + 5 if stop >= 0 and b.find(b"startxref", at) >= 0 else None
+    """Up to its last end mark: a further one belongs to the file if a new cross-reference, and no new file, comes before it."""
+    stop = b.find(b"%%EOF", at)
+    if stop < 0 or b.find(b"startxref", at, stop) < 0:
+        return None
+    while (more := b.find(b"%%EOF", stop + 5)) >= 0 and b.find(b"startxref", stop, more) >= 0 and b.find(b"%PDF-", stop, more) < 0:
+        stop = more
+    return stop + 5
 
 
 def _zip(b: bytes, at: int) -> int | None:
-    stop = b.find(b"PK\x05\x06", at)
-    if stop < 0 or len(b) < stop + 22:
-        return None
-    return min(len(b), stop + 22 + int.from_bytes(b[stop + 20 : stop + 22], "little"))
+    """Up to the end record whose directory lies right before it and starts where the record says, counted from the file's start."""
+    stop = at
+    while (stop := b.find(b"PK\x05\x06", stop + 1)) >= 0 and stop + 22 <= len(b):
+        size, offset, note = int.from_bytes(b[stop + 12 : stop + 16], "little"), int.from_bytes(b[stop + 16 : stop + 20], "little"), int.from_bytes(b[stop + 20 : stop + 22], "little")
+        if at + offset + size == stop and (not size or b[at + offset : at + offset + 4] == b"PK\x01\x02") and stop + 22 + note <= len(b):
+            return stop + 22 + note
+    return None
 
 
 #: Each gives the end of a well-formed file that starts at the position, or None.

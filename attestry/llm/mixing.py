@@ -94,13 +94,15 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOS
     return ranked.groupBy("sid", F.expr("rank % blocks").alias("block")).agg(F.count(F.lit(1)).alias("passes"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, keep: str | None = None) -> DataFrame:
     """(id, size, source_size, target, taken) for every row: the words it has and the words the mix takes of it.
 
     Null texts and texts without words have size 0 and are never taken. Null sources are one source. Rows that
     repeat an id count each. The shuffle orders a source's texts by a hash of id, size and text, so reruns agree.
+    keep names a column that is carried along.
     """
-    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("h"))
+    own = F.col(keep) if keep else F.lit(None).cast("bigint")
+    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("h"), own.alias("own"))
     sized = write_table(sized)
     sources = source_targets(sized.select("source", "size"), weights, most)
     totals = sized.groupBy(F.col("source").alias("s2")).agg(F.count(F.lit(1)).alias("rows"))
@@ -113,23 +115,27 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     known = sized.join(sources.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2", "source")
     chunk = F.floor(F.pmod("h", F.lit(1 << 20)) * F.col("runs") / F.lit(1 << 20))
     laid = _running(known.withColumn("chunk", chunk), "sid", "chunk", ["h", "id", "size"], F.col("size"), "start")
-    laid = write_table(laid.select("id", "h", "size", "source_size", "target", "sid", "start"))
-    pieces = laid.where("size > 0").select("id", "h", "sid", "start", (F.col("start") + F.col("size")).alias("stop")).withColumn(
+    laid = write_table(laid.select("id", "own", "size", "source_size", "target", "sid", "start"))
+    pieces = laid.where("size > 0").select("sid", "start", (F.col("start") + F.col("size")).alias("stop")).withColumn(
         "block", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(stop - 1) div {block_words}")))
     )
     words = F.least("stop", (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
     got = pieces.join(plan, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(words * F.col("passes")).cast("bigint").alias("taken"))
     with_words = laid.where("size > 0").join(got, ["sid", "start"], "left")
     none = laid.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
-    columns = ["id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")]
-    return with_words.select(*columns).unionByName(none.select(*columns)).withColumnRenamed("id", id_col)
+    columns = [F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), *([F.col("own").alias(keep)] if keep else [])]
+    return with_words.select(*columns).unionByName(none.select(*columns))
 
 
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of df as the mix takes them: each as often as its taken words make whole texts, to the nearest.
 
-    Texts without words are not part of a mix of words and go. The id has to be unique. Columns stay as they are.
+    Texts without words, null ones too, are not part of a mix of words and go. Rows that repeat an id, or are equal, are
+    taken each for itself; rows without an id are rows like others. Columns stay as they are.
     """
-    taken = mix_sources(df, id_col, text_col, source_col).select(F.col(id_col).alias("at"), F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0))).cast("int").alias("n")).where("n > 0")
-    rows = df.select(F.col(id_col).alias("at"), F.struct(*df.columns).alias("row"))  # so that no column of df can clash
-    return rows.join(taken, "at").select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")
+    # Row numbers are fixed by writing them; the mix itself goes by hashes of id and text.
+    held = write_table(df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("at")))
+    slim = held.select(F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"), F.col("row")[source_col].alias("source"), "at")
+    times = F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0))).cast("int").alias("n")
+    taken = mix_sources(slim, "id", "text", "source", keep="at").select("at", times).where("n > 0")
+    return held.join(taken, "at").select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")

@@ -193,7 +193,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     sample = known.where(~fold_of("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most train_rows ids
     rows = with_features(labelled).select("doc_id", "features", "y").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    # Of texts that share an id, the one with the smallest features teaches, so that reruns agree.
+    rows = rows.loc[rows["features"].map(tuple).sort_values(kind="stable").index].sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     if rows.empty:
         return Additive()
     return fit(np.stack(rows["features"].to_numpy()).astype(float), rows["y"].to_numpy(float))

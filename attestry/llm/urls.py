@@ -3,12 +3,14 @@
 Level 1 encodes the listed keys. Among all keys that the corpus holds, those that level 1 takes wrongly are
 encoded in level 2; the listed keys that level 2 takes wrongly in level 3; and so on until a level errs on none.
 A key is listed exactly if the first level that refuses it is an even one. So membership is exact for every key
-of the corpus, and the urls themselves are never joined or shuffled.
+of the corpus, and the urls themselves are never joined or shuffled. Each verdict of the rules has a cascade of its own, so that
+the cascades alone give the verdict. They are one row of bitmaps that every task gets.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,8 @@ from attestry.llm.common import drop_table, write_table
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: The verdict on a url that the cascade finds unlisted.
 UNLISTED = "allow"
-#: A level larger than this is refused: the lists are then to be split by verdict or host suffix. 64 MB hold 50 million keys.
-MAX_LEVEL_BYTES = 64 << 20
+#: Bitmaps together are no larger than this, which is some 50 million keys; longer lists are joined by key instead.
+MAX_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,32 +48,50 @@ def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(level * 64 + i), key), F.lit(bits)) for i in range(hashes)]
 
 
-def build_level(keys: DataFrame, level: int, rate: float) -> tuple[bytes, int, int]:
-    """(bitmap, bits, hashes) over column key; the bits are or-ed on the executors, byte by byte."""
+def level_bits(n: int, rate: float) -> int:
+    return max(64, math.ceil(-max(1, n) * math.log(rate) / math.log(2) ** 2 / 8) * 8)
+
+
+@dataclass(frozen=True)
+class Level:
+    """One Bloom filter: its bitmap, and how keys are looked up in it."""
+
+    bitmap: bytes
+    bits: int
+    hashes: int
+
+
+def build_level(keys: DataFrame, level: int, rate: float) -> Level:
+    """The filter over column key; the bits are or-ed on the executors, byte by byte."""
     n = max(1, keys.count())
-    bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 8) * 8)
-    if bits // 8 > MAX_LEVEL_BYTES:
-        raise ValueError(f"level {level} would take {bits // 8} bytes; the bound is {MAX_LEVEL_BYTES}")
+    bits = level_bits(n, rate)
     hashes = max(1, round(bits / n * math.log(2))) if n * 20 > bits else 4
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes))).alias("p"))
     octets = at.select(F.shiftright("p", 3).alias("i"), F.call_function("shiftleft", F.lit(1), (F.col("p") % 8).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
     bitmap = bytearray(bits // 8)
-    for row in octets.toLocalIterator():  # bounded by MAX_LEVEL_BYTES
+    for row in octets.toLocalIterator():  # bounded by MAX_BYTES
         bitmap[row.i] = row.b
-    return bytes(bitmap), bits, hashes
+    return Level(bytes(bitmap), bits, hashes)
 
 
-def takes(key: Column, level: int, built: tuple[bytes, int, int]) -> Column:
-    bitmap, bits, hashes = built
-    held = F.lit(bytearray(bitmap))
+def takes(key: Column, level: int, built: Level, bitmap: Column | None = None) -> Column:
+    """Whether the filter takes the key; bitmap is the column that holds the filter's bytes, else they are a literal."""
+    held = F.lit(bytearray(built.bitmap)) if bitmap is None else bitmap
     out = F.lit(True)
-    for p in _positions(key, level, bits, hashes):
+    for p in _positions(key, level, built.bits, built.hashes):
         octet = F.conv(F.hex(F.substring(held, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         out = out & (F.getbit(octet, (p % 8).cast("int")) == 1)
     return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.05) -> list[tuple[bytes, int, int]]:
+def with_bitmaps(df: DataFrame, cascades: dict[str, list[Level]]) -> DataFrame:
+    """df with the column _maps, the bitmaps of all levels; one row is broadcast, no larger than MAX_BYTES by construction."""
+    maps = [level.bitmap for v in sorted(cascades) for level in cascades[v]]
+    one = df.sparkSession.createDataFrame([([bytearray(m) for m in maps],)], "_maps array<binary>")
+    return df.crossJoin(F.broadcast(one))
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.05) -> list[Level]:
     """Levels over the listed keys and the universe's false positives. Both frames have the column key.
 
     Only universe keys that level 1 takes are gathered, so what is shuffled is about the listed keys and the share
@@ -81,7 +101,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.05) ->
     if not listed.limit(1).count():
         return []
     levels = [build_level(listed, 0, rate / 2)]
-    passing = universe.where(F.col("key").isNotNull() & takes(F.col("key"), 0, levels[0]))
+    passing = with_bitmaps(universe.where("key is not null"), {"": levels}).where(takes(F.col("key"), 0, levels[0], F.col("_maps")[0]))
     flagged = passing.select("key", F.lit(0).alias("own")).unionByName(listed.select("key", F.lit(1).alias("own")))
     pool = write_table(flagged.groupBy("key").agg(F.max("own").alias("own")))
     side, rest = 0, {0: pool.where("own = 0").select("key"), 1: pool.where("own = 1").select("key")}
@@ -93,33 +113,56 @@ def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.05) ->
     return levels
 
 
-def is_listed(key: Column, levels: list[tuple[bytes, int, int]]) -> Column:
-    """Exact for the keys of the universe the cascade was built over."""
+def is_listed(key: Column, levels: list[Level], maps: Column | None = None, first: int = 0) -> Column:
+    """Exact for the keys of the universe the cascade was built over. maps holds the bitmaps, from place first on."""
     out = F.lit(len(levels) % 2 == 1)
     for i in range(len(levels) - 1, -1, -1):
-        out = F.when(~takes(key, i, levels[i]), F.lit(i % 2 == 1)).otherwise(out)
+        out = F.when(~takes(key, i, levels[i], None if maps is None else maps[first + i]), F.lit(i % 2 == 1)).otherwise(out)
     return out
 
 
-def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url", unlisted: str = UNLISTED) -> DataFrame:
-    """Adds host, path, rule (null if none) and verdict. The longest rule that fits wins.
+def _by_join(split: DataFrame, rules: DataFrame, keys: Column) -> DataFrame:
+    """rule and verdict by an equi-join of the distinct hosts and paths: the exact way for lists that no bitmap should hold."""
+    asked = split.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("key"))
+    best = asked.join(rules, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "said")).alias("x"))
+    return split.join(best, ["host", "path"], "left").withColumn("rule", F.col("x.key")).withColumn("verdict", F.col("x.said")).drop("x")
+
+
+def _hits(keys: Column, levels: list[Level], first: int, verdict: str) -> Column:
+    """The keys that a verdict's cascade lists."""
+    found = F.filter(keys, lambda k: is_listed(k, levels, F.col("_maps"), first))
+    return F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"), F.lit(verdict).alias("said")))
+
+
+def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, url_col: str = "url", unlisted: str = UNLISTED, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """Adds host, path, rule (null if none) and verdict. rules has (host, path, verdict); the longest rule that fits wins.
 
     Null urls and urls without :// have empty host and path and get the method's verdict, as do all urls that
-    fit no rule. Columns named like the added ones are replaced.
+    fit no rule. A rule given with two verdicts has the first of them by code point; rules with a null go. Columns named
+    like the added ones are replaced. Repeated rows stay. Verdicts, and lengths of rule paths, are few.
     """
     spark = df.sparkSession
-    verdicts = {h + p: v for h, p, v in rules}
-    lengths = sorted({len(p) for _, p, _ in rules})
+    frame = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "host string, path string, verdict string")
+    frame = frame.select("host", "path", "verdict").dropna()
+    listed = write_table(frame.groupBy(F.concat("host", "path").alias("key")).agg(F.min("verdict").alias("said"), F.min(F.length("path")).alias("n"), F.max(F.length("path")).alias("m")))
+    lengths = sorted({n for r in listed.select("n", "m").distinct().collect() for n in r})
     host, path = host_and_path(F.col(url_col))
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     split = df.select(*kept, host.alias("host"), path.alias("path"))
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
-    listed = spark.createDataFrame([(k,) for k in verdicts], "key string")
-    levels = build_cascade(listed, split.select(F.explode(keys).alias("key")))
-    hits = F.filter(keys, lambda k: is_listed(k, levels)) if levels else F.array().cast("array<string>")
-    longest = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-    judged = split.withColumn("rule", longest)
-    said = F.lit(unlisted)
-    for verdict in sorted(set(verdicts.values())):
-        said = F.when(F.col("rule").isin([k for k, v in verdicts.items() if v == verdict]), verdict).otherwise(said)
-    return judged.withColumn("verdict", said)
+    numbers = {r.said: r["n"] for r in listed.groupBy("said").agg(F.count(F.lit(1)).alias("n")).collect()}
+    columns = [*kept, "host", "path", "rule"]
+    told = F.coalesce(F.col("verdict"), F.lit(unlisted)).alias("verdict")
+    # Later levels hold a small share of the first one's keys; four times the first is more than all of them.
+    if 4 * sum(level_bits(n, 0.025) for n in numbers.values()) > 8 * most_bytes:
+        return _by_join(split, listed.select("key", "said"), keys).select(*columns, told)
+    universe = split.select(F.explode(keys).alias("key"))
+    cascades = {v: build_cascade(listed.where(F.col("said") == v).select("key"), universe) for v in sorted(numbers)}
+    drop_table(listed)
+    mapped, hits, place = with_bitmaps(split, cascades), [], 0
+    for verdict, levels in cascades.items():
+        hits.append(_hits(keys, levels, place, verdict))
+        place += len(levels)
+    longest = F.array_max(F.concat(*hits)) if hits else F.lit(None).cast("struct<n:int,k:string,said:string>")
+    judged = mapped.withColumn("_best", longest).withColumn("rule", F.col("_best.k")).withColumn("verdict", F.col("_best.said"))
+    return judged.select(*columns, told)

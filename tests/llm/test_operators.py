@@ -188,10 +188,29 @@ def test_urls(spark):
     levels = build_cascade(listed, keys, rate=0.3)
     got = keys.withColumn("in", is_listed(F.col("key"), levels))
     assert len(levels) > 2 and got.where(F.col("in") != (F.substring("key", -1, 1) == "7")).count() == 0
+    table = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/", "zebra"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), (None, "/", "block")], "host string, path string, verdict string")
     urls = [None, "x", "http://A.Example.NET/en/1?q", "https://b.net", "http://c.net/", "http://org/fr/", "http://xorg/fr/", "http://example.com:80/de/"]
     rows = judge_urls(spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id int, url string, rule string")).orderBy("page_id").collect()
     assert [r.rule for r in rows] == [None, None, "example.net/en/", None, "net/", "org/fr/", None, None]
     assert rows[2].host == "a.example.net" and rows[0].path == "" and rows[4].verdict == "block"
+    df = spark.createDataFrame([(i, u, "k") for i, u in enumerate([*urls, urls[2]])], "page_id int, url string, verdict string")
+    for most in (64 << 20, 0):  # by cascades and, where no bitmap may be held, by join
+        told = judge_urls(df, table, most_bytes=most).orderBy("page_id").collect()
+        assert [(r.rule, r.verdict) for r in told] == [(r.rule, r.verdict) for r in rows] + [("example.net/en/", "allow")]
+    assert {r.verdict for r in judge_urls(df, table.limit(0)).collect()} == {"allow"} and judge_urls(df.limit(0)).count() == 0
+
+
+def test_urls_long_list(spark):
+    """A list of many keys with two verdicts, as a table: every verdict is that of a plain look-up."""
+    from attestry.llm.urls import judge_urls
+
+    rules = [(f"h{i}.example.com", f"/{'ab'[i % 2]}/", "block" if i % 3 else "allow") for i in range(0, 3000, 2)]
+    urls = [f"http://www.h{i}.example.com/{'ab'[i % 2]}/x?y" for i in range(3000)]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), unlisted="unknown").collect()}
+    known = {h + p: v for h, p, v in rules}
+    for i in range(3000):
+        key = f"h{i}.example.com/{'ab'[i % 2]}/"
+        assert got[i] == ((key, known[key]) if key in known else (None, "unknown"))
 
 
 def test_quality(spark, docs, labels):
@@ -414,6 +433,61 @@ def test_mixing(spark, docs):
     assert apply_mix(clashing(docs)).columns == clashing(docs).columns and mix_sources(docs.limit(0)).count() == 0
 
 
+def brute_mix(docs, weights=(5.0, 2.0, 1.0), most=3, block=16):
+    """(target by source, taken by row) by the plain schedule: shares filled up to the caps, slots in turn, blocks in turn."""
+    sizes = [len(re.findall(r"[^ \t-\r]+", t or "")) for _, t, _ in docs]
+    sources = sorted({s for *_, s in docs}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(n for n, (*_, d) in zip(sizes, docs, strict=True) if d == s) for s in sources}
+    w = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    target, free, left = {}, list(sources), float(sum(sizes))
+    while free:
+        level = left / sum(w[s] for s in free)
+        over = [s for s in free if level * w[s] > most * own[s]]
+        for s in over or free:
+            target[s] = float(most * own[s]) if over else level * w[s]
+        if not over:
+            break
+        left -= sum(most * own[s] for s in over)
+        free = [s for s in free if s not in over]
+    return sizes, own, target
+
+
+def test_mixing_against_a_plain_schedule(spark):
+    """Targets equal those of filling the shares by hand, each source's taken words come near its target, and every pass over its blocks ends before the next begins."""
+    from attestry.llm.mixing import BLOCK_WORDS, apply_mix, mix_sources
+
+    rng = np.random.default_rng(2)
+    docs = [(i, prose(i, int(rng.integers(0, 300))), "abcdefg"[int(rng.choice(7, p=[0.4, 0.2, 0.2, 0.1, 0.05, 0.03, 0.02]))]) for i in range(600)]
+    docs += [(7, docs[7][1], docs[7][2])] * 3 + [(None, prose(5, 50), None), (700, None, "a"), (701, "", "b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mix_sources(df).collect()
+    sizes, own, target = brute_mix(docs)
+    assert len(rows) == len(docs) and sorted(r.size for r in rows) == sorted(sizes)
+    taken = {s: 0 for s in own}
+    places = {}
+    for r in rows:
+        s = next(k for k in own if own[k] == r.source_size and abs(target[k] - r.target) < 1e-6)
+        taken[s] += r.taken
+        places.setdefault(s, []).append(r.taken / r.size if r.size else None)
+        assert 0 <= r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 4 * BLOCK_WORDS for s in own)
+    for passes in places.values():  # blocks are taken in turn, so no text is a whole pass ahead of another by more than its two border blocks
+        whole = [p for p in passes if p is not None]
+        assert max(whole) - min(whole) <= 1 + 1e-9 or max(whole) <= 3
+    out = apply_mix(df)
+    assert out.columns == df.columns
+    count = {}
+    for r in out.collect():
+        count[(r.doc_id, r.text)] = count.get((r.doc_id, r.text), 0) + 1
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r.doc_id, []).append(r)
+    for i, text, _ in docs:
+        each = [math.floor(r.taken / r.size + 0.5) for r in by_key[i] if r.size]
+        assert count.get((i, text), 0) == sum(each)
+    assert apply_mix(df.limit(0)).count() == 0
+
+
 def test_pieces(spark, docs):
     import sentencepiece
 
@@ -497,6 +571,24 @@ def test_media(spark, docs):
     gif = b"GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
     junk = b"xx" + gif + b"RIFF\xff\xff\xff\xffWAVE" + wave_bytes(b"abc")
     assert [(k, junk[s:e]) for k, s, e in carve(junk, automaton())] == [("image/gif", gif), ("audio/wav", wave_bytes(b"abc"))]
+    pdf = b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF"
+    grown = pdf + b"\nmore\nstartxref\n30\n%%EOF"
+    assert [(k, s, e) for k, s, e in carve(pdf + b"gap" + grown, automaton())] == [("application/pdf", 0, len(pdf)), ("application/pdf", len(pdf) + 3, len(pdf) + 3 + len(grown))]
+    import io
+    import zipfile
+
+    def zipped(name, data):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    inner = zipped("a.txt", b"hello")
+    outer = zipped("inner.zip", inner)
+    assert [(k, s, e) for k, s, e in carve(b"..." + outer + b"tail", automaton())] == [("application/zip", 3, 3 + len(outer))]
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab" + b"\xff\xda\0\3x" + b"12\xff\0\xff\xd0" + b"34" + b"\xff\xc4\0\4\xff\xd9" + b"\xff\xda\0\3y" + b"56\xff\xd9"
+    assert [(k, s, e) for k, s, e in carve(jpeg + b"zz", automaton())] == [("image/jpeg", 0, len(jpeg))]
+    assert text_media(docs.limit(0)).count() == 0 and text_media(docs.unionByName(docs)).count() == 26
     df = spark.createDataFrame([(1, bytearray(gif), "image/png"), (2, None, "image/png"), (3, bytearray(b""), None)], "id int, content binary, declared string")
     got = {r.id: r for r in sniff_media(df).collect()}
     assert got[1].corrected == "image/gif" and got[1].mismatch and got[2].corrected == "image/png" and not got[3].mismatch
