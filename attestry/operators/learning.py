@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 from attestry.operators.preparation import impute_values, scale_values
 
 
-def knn_vote(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, ks: list[int]) -> DataFrame:
-    """(k, key, truth, predicted) by squared distance, ties by key; majority vote, ties to the smallest label.
+def knn_vote(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, ks: list[int], weights: tuple[str, ...] = ("uniform",), block_rows: int = 20_000) -> DataFrame:
+    """(k, weights, key, truth, predicted) by squared distance, ties by key; the label with the most weight, ties to the smallest.
 
-    A stated query set against all rows: queries are sent to the row blocks in groups, each block keeps its nearest
-    max(ks) per query, and those are merged, so what is shuffled is blocks x queries x max(ks).
+    Weights are uniform or by inverse distance, where a label at distance 0 outweighs all others. A stated query set against all rows: queries
+    are sent to the row blocks, whose number grows with the rows, in groups; each block keeps its nearest max(ks) per query, and those are merged.
     """
     most = max(ks)
-    groups = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv"), F.col(label).alias("truth")).withColumn("g", F.pmod(F.xxhash64("q"), F.lit(4)))
-    blocks = rows.select(F.col(key).alias("near"), F.col(vector).alias("v"), F.col(label).alias("l")).withColumn("block", F.pmod(F.xxhash64("near"), F.lit(8)))
-    left = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
-    right = blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
+    # As many blocks as rows need, and as few groups of queries as keep tasks busy.
+    blocks_n, parts = max(1, -(-rows.count() // block_rows)), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups_n = max(1, -(-parts // blocks_n))
+    groups = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv"), F.col(label).alias("truth")).withColumn("g", F.pmod(F.xxhash64("q"), F.lit(groups_n)))
+    blocks = rows.select(F.col(key).alias("near"), F.col(vector).alias("v"), F.col(label).alias("l")).withColumn("block", F.pmod(F.xxhash64("near"), F.lit(blocks_n)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left, right = groups.withColumn("block", upto(blocks_n)), blocks.withColumn("g", upto(groups_n))
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -30,15 +33,19 @@ def knn_vote(queries: DataFrame, rows: DataFrame, key: str, vector: str, label:
             x, y, ids = np.stack(a["qv"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float), b["near"].to_numpy()
             for i in range(len(a)):
                 d = np.round(((x[i] - y) ** 2).sum(1), 9)
-                for j in [j for j in np.lexsort((ids, d))[: most + 1] if ids[j] != a["q"].iloc[i]][:most]:
+                edge = np.partition(d, min(most, len(d) - 1))[min(most, len(d) - 1)]
+                some = np.flatnonzero(d <= edge)  # the query itself may be among them
+                for j in [j for j in some[np.lexsort((ids[some], d[some]))][: most + 1] if ids[j] != a["q"].iloc[i]][:most]:
                     out.append((int(a["q"].iloc[i]), int(a["truth"].iloc[i]), int(ids[j]), int(b["l"].iloc[j]), float(d[j])))
         return pd.DataFrame(out, columns=["q", "truth", "near", "l", "d"])
 
     near = left.groupBy("g", "block").cogroup(right.groupBy("g", "block")).applyInPandas(nearest, "q bigint, truth int, near bigint, l int, d double")
     ranked = near.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("d", "near")))
-    votes = ranked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rn <= k").groupBy("k", "q", "truth", "l").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.withColumn("r", F.row_number().over(Window.partitionBy("k", "q").orderBy(F.desc("n"), "l"))).where("r = 1")
-    return best.select("k", F.col("q").alias(key), "truth", F.col("l").alias("predicted"))
+    each = ranked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rn <= k").withColumn("weights", F.explode(F.array(*[F.lit(w) for w in weights])))
+    worth = F.when(F.col("weights") == "uniform", 1.0).otherwise(F.coalesce(F.try_divide(F.lit(1.0), F.sqrt("d")), F.lit(1e30)))
+    votes = each.groupBy("k", "weights", "q", "truth", "l").agg(F.round(F.sum(worth), 9).alias("n"))
+    best = votes.withColumn("r", F.row_number().over(Window.partitionBy("k", "weights", "q").orderBy(F.desc("n"), "l"))).where("r = 1")
+    return best.select("k", "weights", F.col("q").alias(key), "truth", F.col("l").alias("predicted"))
 
 
 def newton_logit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -68,45 +75,16 @@ def calibration_slopes(df: DataFrame, logit: str, by: str) -> DataFrame:
             return pd.DataFrame([(key[0], None, None)], columns=[by, "intercept", "slope"])
         w = np.array([0.0, 1.0])
         a = np.column_stack([np.ones(len(x)), x])
-        for _ in range(50):
+        for _ in range(60):
             q = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
             w = w + np.linalg.lstsq((a.T * (n * q * (1 - q))) @ a, a.T @ (p - n * q), rcond=None)[0]
+        if np.abs(w).max() > 1e3:  # the classes are apart: no finite slope is best
+            return pd.DataFrame([(key[0], None, None)], columns=[by, "intercept", "slope"])
         return pd.DataFrame([(key[0], round(float(w[0]), 6), round(float(w[1]), 6))], columns=[by, "intercept", "slope"])
 
     return per.groupBy("_by").applyInPandas(fit, f"{by} string, intercept double, slope double")
 
 
-def seed_sweep(df: DataFrame, seeds: int, columns: list[str], scopes: tuple[str, ...] = ("train",)) -> DataFrame:
-    """(seed, scope, accuracy, predictions): one logistic regression per seed on an exact 80/20 hash split.
-
-    The small study frame is collected once (its size is the labelled rows', checked) and travels with the tasks;
-    seeds are the partitions. Scaling statistics come from the training rows or from all rows by scope.
-    """
-    import zlib
-
-    n = df.count()
-    if n > 200_000:
-        raise ValueError(f"{n} rows are too many for one task; sweep a sample of the study frame")
-    frame = df.select("rid", "y", *columns).toPandas().sort_values("rid")
-    ids, y, raw = frame["rid"].to_numpy(), frame["y"].to_numpy(float), frame[columns].fillna(0).to_numpy(float)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for seed in batch["seed"]:
-                order = np.argsort([zlib.crc32(f"{seed}:{i}".encode()) for i in ids], kind="stable")
-                test, train = order[: -(-len(ids) // 5)], order[-(-len(ids) // 5) :]
-                for scope in scopes:
-                    base = raw if scope == "full" else raw[train]
-                    sd = base.std(0)
-                    x = (raw - base.mean(0)) / np.where(sd == 0, 1, sd)
-                    hit = (_predict(newton_logit(x[train], y[train]), x[test]) >= 0.5) == (y[test] == 1)
-                    out.append((int(seed), scope, float(hit.mean()), "".join(map(str, hit.astype(int)))))
-            yield pd.DataFrame(out, columns=["seed", "scope", "accuracy", "hits"])
-
-    return df.sparkSession.range(seeds).withColumnRenamed("id", "seed").mapInPandas(run, "seed bigint, scope string, accuracy double, hits string")
-
-
 def design(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     """Imputed and scaled by the training rows, as a features vector."""
     from pyspark.ml.feature import VectorAssembler

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from attestry.functions.scalars import is_missing, one_hot, recode
+from attestry.functions.scalars import is_missing, one_hot, one_hot_seen, recode
 from attestry.operators.matching import left_merge_flag
 from attestry.operators.preparation import impute_values, scale_values
 from attestry.plans.registry import query
-from attestry.sources.readers import recorded, table
+from attestry.sources.readers import read_sites, recorded, scratch_dir, table
 
 STATUS = {"O": "open", "F": "filled", "P": "partial"}
 PRIORITY = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4}
@@ -41,13 +41,12 @@ def onehot_encode(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", *one_hot("o_orderstatus", list(STATUS)))
 
 
-@query("union_sites", "SELECT lang AS source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY lang")
+@query("union_sites", "SELECT lang AS source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def union_sites(spark, sf):
-    d = table(spark, sf, "documents")
-    parts = [d.where(F.col("lang") == s).select("doc_id", "n_chars").withColumn("source", F.lit(s)) for s in ("de", "en", "es", "fr")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    path = scratch_dir(spark)
+    table(spark, sf, "documents").select("doc_id", "n_chars", "lang").write.partitionBy("lang").csv(path)
+    sites = sorted(r.lang for r in table(spark, sf, "documents").select("lang").distinct().collect())  # sites are few, a file each
+    out = read_sites(spark, {s: f"{path}/lang={s}" for s in sites}, "doc_id bigint, n_chars bigint")
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -120,3 +119,60 @@ def describe_prices(spark, sf):
 def last_write_wins(spark, sf):
     w = Window.partitionBy("conv_id", "role").orderBy(F.col("turn").desc())
     return table(spark, sf, "conversations").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("conv_id", "turn", "role")
+
+
+@query("onehot_unseen", "SELECT o_orderkey, " + ", ".join(f"CAST(CASE WHEN o_orderstatus = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS o_orderstatus_{v}" for v in ("F", "O")) + " FROM orders")
+def onehot_unseen(spark, sf):
+    """Levels learned from rows that do not have P: that level is zero in every column."""
+    o = table(spark, sf, "orders")
+    return one_hot_seen(o.where("o_orderstatus <> 'P'"), "o_orderstatus", o.select("o_orderkey", "o_orderstatus")).drop("o_orderstatus")
+
+
+@query("arm_designs", "WITH @rec SELECT rid, n_chars, coalesce(nsp, -1) AS nsp, coalesce(slope, -1) AS slope, CAST(nsp IS NULL AS INT) AS missing_nsp, CAST(slope IS NULL AS INT) AS missing_slope, 'A' AS arm FROM rec UNION ALL SELECT rid, n_chars, NULL, coalesce(slope, -1), NULL, NULL, 'B' FROM rec")
+def arm_designs(spark, sf):
+    """Arm A has a flag for each column that can be missing; arm B drops those and nsp. -1 stands for a missing value."""
+    r = recorded(spark, sf)
+    shown = r.select("rid", "n_chars", F.coalesce("nsp", F.lit(-1)).alias("nsp"), F.coalesce("slope", F.lit(-1)).alias("slope"), F.col("nsp").isNull().cast("int").alias("missing_nsp"), F.col("slope").isNull().cast("int").alias("missing_slope"), F.lit("A").alias("arm"))
+    return shown.unionByName(shown.select("rid", "n_chars", "slope", F.lit("B").alias("arm")), allowMissingColumns=True)
+
+
+@query("site_design", "WITH @rec SELECT rid, " + ", ".join(f"CAST(CASE WHEN site = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS site_{v}" for v in ("de", "en", "es", "fr")) + " FROM rec")
+def site_design(spark, sf):
+    r = recorded(spark, sf).select("rid", "site")
+    return one_hot_seen(r, "site", r).drop("site")
+
+
+@query("drop_by_id", "WITH @rec SELECT rid, y FROM rec WHERE slope IS NOT NULL")
+def drop_by_id(spark, sf):
+    r = recorded(spark, sf)
+    return r.join(r.where("slope is null").select("rid"), "rid", "left_anti").select("rid", "y")
+
+
+@query("any_all", "WITH @rec SELECT site, bool_or(nsp IS NULL) AS any_missing, bool_and(n_chars > 0) AS all_filled, bool_and(slope IS NOT NULL) AS complete FROM rec GROUP BY site")
+def any_all(spark, sf):
+    return recorded(spark, sf).groupBy("site").agg(F.bool_or(F.col("nsp").isNull()).alias("any_missing"), F.bool_and(F.col("n_chars") > 0).alias("all_filled"), F.bool_and(F.col("slope").isNotNull()).alias("complete"))
+
+
+_KEY = "coalesce(site, 'NA') || '|' || coalesce(grp, 'NA') || '|' || coalesce(CAST(n_chars AS VARCHAR), 'NA') || '|' || coalesce(CAST(nsp AS VARCHAR), 'NA') || '|' || coalesce(CAST(slope AS VARCHAR), 'NA') || '|' || coalesce(CAST(y AS VARCHAR), 'NA')"
+
+
+@query("duplicate_keys", f"WITH @rec SELECT {_KEY} AS key, count(*) AS n, min(rid) AS first_id FROM rec GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark, sf):
+    """Rows equal in all features and the target, missing equal to missing."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ("site", "grp", "n_chars", "nsp", "slope", "y")])
+    return recorded(spark, sf).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first_id")).where("n > 1")
+
+
+@query("first_rows", "WITH @rec SELECT rid, site, n_chars FROM rec ORDER BY n_chars DESC, rid LIMIT 3")
+def first_rows(spark, sf):
+    return recorded(spark, sf).select("rid", "site", "n_chars").orderBy(F.desc("n_chars"), "rid").limit(3)  # a report of three rows
+
+
+@query("exact_rescaling", "WITH @rec SELECT count(*) AS n, CAST(1 AS DOUBLE) AS identical FROM rec")
+def exact_rescaling(spark, sf):
+    """Share of rows whose scaled value is bit for bit the same after the column is multiplied by a power of two."""
+    r = recorded(spark, sf).select("rid", F.col("n_chars").cast("double").alias("n_chars"))
+    stats = r.agg(F.avg("n_chars").alias("m"), F.stddev_pop("n_chars").alias("s"))
+    one = r.join(F.broadcast(stats))  # one row
+    same = (F.col("n_chars") - F.col("m")) / F.col("s") == (F.col("n_chars") * 1024 - F.col("m") * 1024) / (F.col("s") * 1024)
+    return one.agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("identical"))

@@ -1,22 +1,40 @@
-"""Queries over fitted models; they have no SQL."""
+"""Queries over fitted models and simulations. Those with models have no SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestry.functions.scalars import binomial_quantile, clip_logit
 from attestry.operators import learning as L
-from attestry.operators.sampling import permute
-from attestry.operators.statistics import auc_by, interval, site_weighted_auc
-from attestry.plans.registry import query
-from attestry.sources.readers import recorded
+from attestry.operators import study as S
+from attestry.operators.matching import filled_cells, match_sources, revert
+from attestry.operators.sampling import bootstrap_weights, derive, matched_draw, simulate_binormal, simulate_logistic, stratified_folds
+from attestry.operators.statistics import auc_by, balanced_accuracy, calibration_intercept, corrected_t, delong, holm, interval, negative_log_likelihood, site_weighted_auc
+from attestry.plans.registry import h32, query
+from attestry.plans.resampling import _AUC, _RK
+from attestry.sources.readers import published, recorded, settled
 
 COLUMNS = ["n_chars", "nsp"]
+#: Replicates of the bootstrap intervals here.
+BOOTS = 200
 
 
 def _frame(spark, sf):
     return recorded(spark, sf).select("rid", "site", "n_chars", "nsp", "y")
 
 
+def _study(spark, sf):
+    return recorded(spark, sf).select("rid", "site", "n_chars", "nsp", "slope", "y")
+
+
+def _site_folds(r):
+    """Row ids of each site, for a study frame."""
+    sites: dict[str, list[int]] = {}
+    for row in r.select("rid", "site").orderBy("rid").collect():
+        sites.setdefault(row.site, []).append(row.rid)
+    return dict(enumerate(sites[s] for s in sorted(sites)))
+
+
 def _fold3(spark, sf):
     return _frame(spark, sf).withColumn("k", F.pmod(F.xxhash64("rid"), F.lit(3)))
 
@@ -38,25 +56,213 @@ def nested_lr_search(spark, sf):
 
 @query("loso_vs_kfold")
 def loso_vs_kfold(spark, sf):
-    make = L.models()["logistic_regression"]
-    score = lambda d, name: site_weighted_auc(d.join(_frame(spark, sf).select("rid", "site"), "rid"), "score", "site").withColumn("scheme", F.lit(name))
-    return score(L.oof(_frame(spark, sf), "site", COLUMNS, make), "loso").unionByName(score(L.oof(_fold3(spark, sf), "k", COLUMNS, make), "kfold"))
+    """For each model, pooled AUC with sites left out and with random folds, and the paired interval of their difference."""
+    r = _study(spark, sf)
+    schemes = {"loso": _site_folds(r), **{"kfold": S.stratified_fold_ids(r, 10, 1, derive("t7_cv", 1)[0])["repeat0"]}}
+    oof = settled(S.nested(r, ("A",), {"logistic_regression": [{"c": 1.0}], "boosted_trees": [{"depth": 3, "trees": 40}]}, schemes, 0))
+    both = oof.groupBy("model", "rid", "y").pivot("scheme", ["loso", "kfold"]).agg(F.first("score"))
+    pooled = [auc_by(both, c, by=["model"]).select("model", F.round("auc", 6).alias(f"auc_{c}")) for c in ("loso", "kfold")]
+    draws = bootstrap_weights(both, ["model", "y"], ["loso", "kfold"], BOOTS, derive("t7_boot", 1)[0])
+    a, b = (auc_by(draws, c, by=["model", "b"], weight="drawn").select("model", "b", F.col("auc").alias(c)) for c in ("loso", "kfold"))
+    ci = interval(a.join(b, ["model", "b"]).withColumn("d", F.col("loso") - F.col("kfold")), "d", ["model"])
+    out = pooled[0].join(pooled[1], "model").join(ci, "model")
+    return out.select("model", "auc_loso", "auc_kfold", F.round(F.col("auc_loso") - F.col("auc_kfold"), 6).alias("diff"), "lo", "hi", F.when(F.col("hi") < 0, "supported").otherwise("falsified").alias("verdict"))
+
+
+@query("site_dumbbell")
+def site_dumbbell(spark, sf):
+    """AUC of each site under both schemes, one row a site and model: the two ends of its line."""
+    r = _study(spark, sf)
+    schemes = {"loso": _site_folds(r), **{"kfold": S.stratified_fold_ids(r, 10, 1, derive("t7_cv", 1)[0])["repeat0"]}}
+    oof = S.nested(r, ("A",), {"logistic_regression": [{"c": 1.0}]}, schemes, 0)
+    per = auc_by(oof, "score", by=["model", "scheme", "site"])
+    return per.groupBy("model", "site").pivot("scheme", ["loso", "kfold"]).agg(F.round(F.first("auc"), 6)).join(per.groupBy("model", "site").agg(F.max("n").alias("n"), F.max("n_pos").alias("n_pos")), ["model", "site"])
 
 
 @query("seed_sweep_lr")
 def seed_sweep_lr(spark, sf):
-    return L.seed_sweep(_frame(spark, sf), 1000, COLUMNS).groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("accuracy"), 6).alias("mean"), F.round(F.stddev_samp("accuracy"), 6).alias("sd"))
+    """The control: accuracy over the named seeds, its central 95 %, and whether a target lies inside."""
+    runs = S.run_seeds(_study(spark, sf), derive("control", 1000), COLUMNS)
+    g = runs.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("accuracy"), 6).alias("mean"), F.round(F.stddev_samp("accuracy"), 6).alias("sd"), F.round(F.percentile("accuracy", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("accuracy", F.lit(0.975)), 6).alias("hi"))
+    return g.withColumn("passes", F.lit(0.85).between(F.col("lo"), F.col("hi")))
+
+
+@query("seed_sweep_by_sums")
+def seed_sweep_by_sums(spark, sf):
+    """The same fits from sums over all rows: no row leaves the executors."""
+    r = _study(spark, sf)
+    sweep = S.sweep_by_sums(r.withColumn("nsp", F.coalesce("nsp", F.lit(0))), derive("control", 20), COLUMNS)
+    return sweep.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("accuracy"), 6).alias("mean"), F.round(F.stddev_samp("accuracy"), 6).alias("sd"))
+
+
+_MODELS = ("logistic_regression", "knn", "boosted_trees")
 
 
 @query("accuracy_table")
 def accuracy_table(spark, sf):
-    return L.seed_sweep(_frame(spark, sf), 50, COLUMNS, ("train", "full")).groupBy("seed").pivot("scope", ["train", "full"]).agg(F.first("accuracy"))
+    """Accuracy by seed, a column a model."""
+    runs = S.run_seeds(_study(spark, sf), derive("control", 16), COLUMNS, models=_MODELS, per_task=2)
+    return runs.groupBy("seed").pivot("model", list(_MODELS)).agg(F.first("accuracy"))
+
+
+@query("headline_accuracy")
+def headline_accuracy(spark, sf):
+    runs = S.run_seeds(_study(spark, sf), derive("control", 16), COLUMNS, models=_MODELS, per_task=2)
+    return runs.where("model = 'boosted_trees'").select("seed", "accuracy", F.round(F.col("accuracy") - F.col("majority"), 9).alias("excess"))
 
 
 @query("scaler_scope_identity")
 def scaler_scope_identity(spark, sf):
-    wide = L.seed_sweep(_frame(spark, sf), 200, COLUMNS, ("train", "full")).groupBy("seed").pivot("scope", ["train", "full"]).agg(F.first("hits"))
-    return wide.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("train") == F.col("full")).cast("double")).alias("identical"))
+    """Predictions that stay the same, and the paired difference, when the scaler sees the test rows too."""
+    runs = S.run_seeds(_study(spark, sf), derive("control", 40), COLUMNS, ("train", "full"), models=_MODELS, per_task=5)
+    wide = runs.groupBy("model", "seed").pivot("scale_scope", ["train", "full"]).agg(F.first("hits").alias("hits"), F.first("accuracy").alias("acc"))
+    same = F.aggregate(F.sequence(F.lit(1), F.length("train_hits")), F.lit(0), lambda n, i: n + (F.substring(F.col("train_hits"), i, F.lit(1)) == F.substring(F.col("full_hits"), i, F.lit(1))).cast("int")) / F.length("train_hits")
+    return wide.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(same), 6).alias("identical"), F.round(F.median(F.col("full_acc") - F.col("train_acc")), 6).alias("median_diff"), F.round(F.avg(F.abs(F.col("full_acc") - F.col("train_acc"))), 6).alias("mean_abs_diff"))
+
+
+@query("imputation_scope")
+def imputation_scope(spark, sf):
+    """The paired difference when the imputer sees the test rows too."""
+    runs = S.run_seeds(_study(spark, sf), derive("control", 100), COLUMNS, impute_scopes=("train", "full"))
+    wide = runs.groupBy("seed").pivot("impute_scope", ["train", "full"]).agg(F.first("accuracy")).withColumn("d", F.col("full") - F.col("train"))
+    return interval(wide, "d").withColumn("verdict", F.when(F.abs("mid") < 0.005, "supported").otherwise("falsified"))
+
+
+@query("boosted_missing_modes")
+def boosted_missing_modes(spark, sf):
+    """Boosted trees with missing values as they are, imputed from all rows, and imputed from the training rows."""
+    runs = S.run_seeds(_study(spark, sf), derive("control", 16), ["n_chars", "nsp", "slope"], impute_scopes=("native", "full", "train"), models=("boosted_trees",), per_task=2)
+    return runs.groupBy("impute_scope").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("accuracy"), 6).alias("median"))
+
+
+@query("filled_removed")
+def filled_removed(spark, sf):
+    """Accuracy without the rows whose slope was filled, against draws of as many rows of the same outcomes from the others."""
+    pub = settled(published(spark, sf).withColumnRenamed("pid", "rid"))
+    filled = recorded(spark, sf).where("slope is null").select("rid")
+    target = pub.join(filled, "rid", "left_semi")
+    pool = pub.join(filled, "rid", "left_anti")
+    arms = {"full": [], "filled_removed": [r.rid for r in target.select("rid").collect()]}  # rows of a study frame
+    for i, seed in enumerate(derive("t1_removal", 10)):
+        arms[f"null{i}"] = [r.rid for r in matched_draw(pool, target, "rid", "y", seed).select("rid").collect()]
+    runs = S.run_seeds(pub, derive("control", 25), ["n_chars", "nsp", "slope"], without=arms)
+    per = runs.groupBy("arm").agg(F.median("accuracy").alias("median"), F.median(F.col("accuracy") - F.col("majority")).alias("excess"))
+    kind = F.when(F.col("arm").startswith("null"), "null").otherwise(F.col("arm"))
+    return per.groupBy(kind.alias("arm")).agg(F.count(F.lit(1)).alias("draws"), F.round(F.percentile("median", F.lit(0.025)), 6).alias("lo"), F.round(F.median("median"), 6).alias("mid"), F.round(F.percentile("median", F.lit(0.975)), 6).alias("hi"), F.round(F.median("excess"), 6).alias("excess"))
+
+
+@query("reverted_paired")
+def reverted_paired(spark, sf):
+    """Accuracy on the frame with its filled cells null again, less that on the frame as published; the same seeds and splits."""
+    rec, pub = recorded(spark, sf), published(spark, sf)
+    cells = filled_cells(rec, pub, match_sources(rec, pub, ["site", "y", "n_chars"], ["nsp"]))
+    back = revert(pub, cells)
+    columns, seeds = ["n_chars", "nsp", "slope"], derive("control", 100)
+    a, b = (S.run_seeds(d.withColumnRenamed("pid", "rid"), seeds, columns).select("seed", F.col("accuracy").alias(n)) for d, n in ((back, "reverted"), (pub, "as_published")))
+    return interval(a.join(b, "seed").withColumn("d", F.col("reverted") - F.col("as_published")), "d").withColumn("verdict", F.when(F.col("mid") < 0, "supported").otherwise("falsified"))
+
+
+@query("duplicates_grouped")
+def duplicates_grouped(spark, sf):
+    """Accuracy with random splits, and with splits that keep equal rows together."""
+    r = recorded(spark, sf)
+    twice = r.unionByName(r.where("rid % 3 = 0").withColumn("rid", -F.col("rid") - 1))
+    key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ("site", "grp", "n_chars", "nsp", "slope", "y")]))
+    keyed = twice.withColumn("dup", key)
+    seeds = derive("control", 50)
+    a = S.run_seeds(keyed, seeds, ["n_chars", "nsp", "slope"], models=("knn",), per_task=5).select(F.lit("random").alias("split"), "accuracy")
+    b = S.run_seeds(keyed, seeds, ["n_chars", "nsp", "slope"], models=("knn",), group="dup", per_task=5).select(F.lit("grouped").alias("split"), "accuracy")
+    return a.unionByName(b).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("accuracy"), 6).alias("median"))
+
+
+_PATTERN = "CASE WHEN nsp IS NULL THEN 1 ELSE 0 END + 2 * CASE WHEN slope IS NULL THEN 1 ELSE 0 END"
+
+
+@query("missingness_only", f"""WITH @rec, f AS (SELECT rid, y, {_PATTERN} AS pat, (row_number() OVER (PARTITION BY y ORDER BY {h32('7', chr(39) + 'fold' + chr(39), 'rid')}, rid) - 1) % 10 AS fold, 1 AS one FROM rec),
+ g AS (SELECT pat, fold, sum(y) AS p, count(*) AS n FROM f GROUP BY pat, fold), t AS (SELECT pat, sum(p) AS p, sum(n) AS n FROM g GROUP BY pat),
+ s AS (SELECT f.y, f.one, round((t.p - g.p) / nullif(CAST(t.n - g.n AS DOUBLE), 0), 9) AS s, CAST(f.pat % 2 AS DOUBLE) AS flag FROM f JOIN g ON g.pat = f.pat AND g.fold = f.fold JOIN t ON t.pat = f.pat),
+ a AS (SELECT 'all_flags' AS design, y, {_RK.format(b='one', s='s')} AS rk FROM s WHERE s IS NOT NULL UNION ALL SELECT 'one_flag', y, {_RK.format(b='one', s='flag')} FROM s) SELECT design, round({_AUC}, 9) AS auc FROM a GROUP BY design""")
+def missingness_only(spark, sf):
+    """AUC of which cells are missing alone, out of fold; and of one such flag."""
+    r = recorded(spark, sf).withColumn("pat", F.expr(_PATTERN)).select("rid", "y", "pat")
+    f = stratified_folds(r, "rid", "y", 7, 10)
+    g = f.groupBy("pat", "fold").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    t = g.groupBy("pat").agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
+    rate = F.round((F.col("tp") - F.col("p")) / F.nullif((F.col("tn") - F.col("n")).cast("double"), F.lit(0.0)), 9)
+    s = f.join(g, ["pat", "fold"]).join(t, "pat").select("y", rate.alias("all_flags"), (F.col("pat") % 2).cast("double").alias("one_flag"))
+    long = s.unpivot(["y"], ["all_flags", "one_flag"], "design", "s")
+    return auc_by(long, "s", by=["design"]).select("design", F.round("auc", 9).alias("auc"))
+
+
+def _baseline(spark, sf):
+    """Out-of-fold scores of both arms and all four models, a site left out at a time, grids searched inside."""
+    return settled(S.nested(_study(spark, sf), ("A", "B"), S.GRIDS, None, derive("baseline", 3)[0]))
+
+
+@query("honest_baseline")
+def honest_baseline(spark, sf):
+    """(arm, model, site, metric, value): AUC with its interval, DeLong bounds, calibration and balanced accuracy; site null for the whole."""
+    oof, by = _baseline(spark, sf), ["arm", "model"]
+    seed = derive("baseline", 3)[1]
+    whole = site_weighted_auc(oof, "score", "site", by).select(*by, "auc")
+    draws = bootstrap_weights(oof, [*by, "site", "y"], ["score"], BOOTS, seed)
+    ci = interval(site_weighted_auc(draws, "score", "site", [*by, "b"], weight="drawn"), "auc", by).select(*by, "lo", "hi")
+    pooled = auc_by(oof, "score", by=by).select(*by, F.col("auc").alias("pooled_auc"))
+    total = whole.join(ci, by).join(pooled, by).withColumn("site", F.lit(None).cast("string"))
+    per = [*by, "site"]
+    dl = delong(oof, "score", per)
+    keyed = oof.withColumn("key", F.concat_ws("|", *per)).withColumn("x", clip_logit(F.col("score")))
+    slopes = L.calibration_slopes(keyed, "x", "key")
+    cal = calibration_intercept(keyed, "x", ["key"]).join(slopes.select("key", F.col("slope")), "key").join(keyed.select("key", *per).distinct(), "key").drop("key")
+    half = balanced_accuracy(oof, "score", F.lit(0.5), per).withColumnRenamed("balanced_accuracy", "balanced_half")
+    cut = balanced_accuracy(oof, "score", F.col("threshold"), per).withColumnRenamed("balanced_accuracy", "balanced_youden")
+    sizes = oof.groupBy(*per).agg(F.sum("y").cast("double").alias("n_pos"), F.sum(1 - F.col("y")).cast("double").alias("n_neg")).withColumn("underpowered", (F.col("n_neg") < 20).cast("double"))
+    site = dl.join(cal, per).join(half, per).join(cut, per).join(sizes, per)
+    long = lambda d: d.unpivot(per, [c for c in d.columns if c not in per], "metric", "value")
+    return long(total).unionByName(long(site)).withColumn("value", F.round("value", 6))
+
+
+@query("honest_estimates")
+def honest_estimates(spark, sf):
+    """The rows of the estimates figure: for each arm and model the within-site AUC with its interval, against random folds."""
+    r = _study(spark, sf)
+    loso = settled(S.nested(r, ("A", "B"), {m: g[:2] for m, g in S.GRIDS.items()}, None, derive("baseline", 3)[0]))
+    cv = S.nested(r, ("A", "B"), {m: g[:1] for m, g in S.GRIDS.items()}, S.stratified_fold_ids(r, 5, 1, derive("baseline", 3)[2]), derive("baseline", 3)[0])
+    by = ["arm", "model"]
+    draws = bootstrap_weights(loso, [*by, "site", "y"], ["score"], BOOTS, derive("baseline", 3)[1])
+    ci = interval(site_weighted_auc(draws, "score", "site", [*by, "b"], weight="drawn"), "auc", by).select(*by, "lo", "hi")
+    out = site_weighted_auc(loso, "score", "site", by).select(*by, F.round("auc", 6).alias("loso")).join(ci, by).join(auc_by(cv, "score", by=by).select(*by, F.round("auc", 6).alias("cv")), by)
+    return out.withColumn("label", F.concat_ws(" / ", "model", "arm"))
+
+
+@query("baseline_significance")
+def baseline_significance(spark, sf):
+    """Fold AUCs of each model less logistic regression's, the corrected t-test over folds, and Holm over the models of an arm."""
+    r = _study(spark, sf)
+    folds = S.stratified_fold_ids(r, 5, 2, derive("baseline", 3)[2])
+    oof = S.nested(r, ("A", "B"), {m: g[:1] for m, g in S.GRIDS.items()}, folds, derive("baseline", 3)[0])
+    per = settled(auc_by(oof, "score", by=["arm", "model", "scheme", "fold"]))
+    base = per.where("model = 'logistic_regression'").select("arm", "scheme", "fold", F.col("auc").alias("base"))
+    diffs = per.where("model <> 'logistic_regression'").join(base, ["arm", "scheme", "fold"]).withColumn("d", F.col("auc") - F.col("base"))
+    t = corrected_t(diffs, "d", 1 / 4, ["arm", "model"])
+    return holm(t, "p", "model", ["arm"])
+
+
+@query("baseline_repeats")
+def baseline_repeats(spark, sf):
+    """Each repeat's folds put together to one score a row: pooled AUC by repeat, its mean and deviation."""
+    r = _study(spark, sf)
+    oof = S.nested(r, ("A",), {"logistic_regression": S.GRIDS["logistic_regression"]}, S.stratified_fold_ids(r, 5, 4, derive("baseline", 3)[2]), 0)
+    per = auc_by(oof, "score", by=["model", "scheme"])
+    return per.groupBy("model").agg(F.count(F.lit(1)).alias("repeats"), F.max("n").alias("rows"), F.round(F.avg("auc"), 6).alias("mean"), F.round(F.stddev_samp("auc"), 6).alias("sd"))
+
+
+@query("hyperparameter_stability")
+def hyperparameter_stability(spark, sf):
+    """The grid's choice of each model, a column for each site left out."""
+    r = _study(spark, sf)
+    oof = S.nested(r, ("A",), {m: g[:4] for m, g in S.GRIDS.items()}, None, derive("baseline", 3)[0])
+    return oof.groupBy("model").pivot("site").agg(F.first("best"))
 
 
 @query("dt_fit")
@@ -84,6 +290,39 @@ def svm_rff(spark, sf):
 
 @query("shuffled_label_gate")
 def shuffled_label_gate(spark, sf):
-    """AUC of a fixed score under 200 label shuffles; the interval should hold a half."""
-    r = _frame(spark, sf).withColumn("seed", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(199).cast("bigint"))))
-    return interval(auc_by(permute(r, "rid", "y", F.col("seed"), ["seed"]), "n_chars", by=["seed"]), "auc").withColumn("holds", F.lit(0.5).between(F.col("lo"), F.col("hi")))
+    """The nested baseline fitted anew on shuffled labels: how many intervals, of the pooled and of the within-site AUC, hold a half."""
+    shuffles = 20
+    oof = settled(S.nested(_study(spark, sf), ("A",), {"logistic_regression": S.GRIDS["logistic_regression"]}, None, 50, shuffles))
+    draws = settled(bootstrap_weights(oof, ["shuffle", "site", "y"], ["score"], BOOTS, 50))
+    forms = {
+        "pooled": (auc_by(oof, "score", by=["shuffle"]), auc_by(draws, "score", by=["shuffle", "b"], weight="drawn")),
+        "within_site": (site_weighted_auc(oof, "score", "site", ["shuffle"]), site_weighted_auc(draws, "score", "site", ["shuffle", "b"], weight="drawn")),
+    }
+    parts = []
+    for form, (value, boots) in forms.items():
+        held = interval(boots, "auc", ["shuffle"]).withColumn("holds", F.lit(0.5).between(F.col("lo"), F.col("hi")).cast("int"))
+        parts.append(value.select("shuffle", "auc").join(held.select("shuffle", "holds"), "shuffle").agg(F.lit(form).alias("form"), F.count(F.lit(1)).alias("shuffles"), F.round(F.avg("auc"), 6).alias("mean"), F.round(F.min("auc"), 6).alias("min"), F.round(F.max("auc"), 6).alias("max"), F.sum("holds").alias("holding")))
+    return parts[0].unionByName(parts[1]).withColumn("required", F.lit(binomial_quantile(0.025, shuffles, 0.95))).withColumn("passes", F.col("holding") >= F.col("required"))
+
+
+_U = lambda seed, *parts: f"({h32(str(seed), *parts)} + 0.5) / 4294967296.0"
+_N01 = lambda seed, *parts: f"sqrt(-2 * ln(CAST({_U(seed, chr(39) + 'r' + chr(39), *parts)} AS DOUBLE))) * cos(6.283185307179586 * CAST({_U(seed, chr(39) + 'a' + chr(39), *parts)} AS DOUBLE))"
+
+
+@query("binormal_auc", f"WITH r AS (SELECT id // 200 AS sim, id % 200 AS k FROM range(0, 4000) t(id)), s AS (SELECT sim, CASE WHEN k < 100 THEN 1 ELSE 0 END AS y, round(CASE WHEN k < 100 THEN 0.8 ELSE 0 END + {_N01(61, 'sim', 'k')}, 9) AS s FROM r), a AS (SELECT sim, y, {_RK.format(b='sim', s='s')} AS rk FROM s) SELECT sim, round({_AUC}, 9) AS auc FROM a GROUP BY sim")
+def binormal_auc(spark, sf):
+    """Simulated scores with a known AUC of about 0.714: what the estimator makes of each simulation."""
+    sims = simulate_binormal(spark, 200, 20, 0.8, 61).withColumn("score", F.round("score", 9))
+    return auc_by(sims, "score", by=["sim"]).select("sim", F.round("auc", 9).alias("auc"))
+
+
+@query("logistic_nll", f"WITH r AS (SELECT id // 300 AS sim, id % 300 AS k FROM range(0, 3000) t(id)), x AS (SELECT sim, k, {_N01(62, 'sim', 'k')} AS x FROM r), s AS (SELECT sim, x, CASE WHEN CAST({_U(62, chr(39) + 'y' + chr(39), 'sim', 'k')} AS DOUBLE) < 1 / (1 + exp(-(-0.5 + 1.5 * x))) THEN 1 ELSE 0 END AS y, -0.5 + 1.5 * x AS eta FROM x) SELECT sim, round(sum(greatest(0, eta) + ln(1 + exp(-abs(eta))) - y * eta), 6) AS nll, count(*) AS n FROM s GROUP BY sim")
+def logistic_nll(spark, sf):
+    """Simulated outcomes of a known logistic law, and their loss under it."""
+    sims = simulate_logistic(spark, 300, 10, -0.5, 1.5, 62).withColumn("eta", F.lit(-0.5) + 1.5 * F.col("x"))
+    return negative_log_likelihood(sims, "eta", ["sim"])
+
+
+@query("gate_requirement", "WITH c AS (SELECT k, sum(exp(lgamma(51) - lgamma(k + 1) - lgamma(51 - k) + k * ln(CAST(0.95 AS DOUBLE)) + (50 - k) * ln(CAST(0.05 AS DOUBLE)))) OVER (ORDER BY k) AS p FROM range(0, 51) t(k)) SELECT CAST(50 AS INT) AS shuffles, CAST(min(k) AS INT) AS required FROM c WHERE p >= 0.025")
+def gate_requirement(spark, sf):
+    return spark.range(1).select(F.lit(50).alias("shuffles"), F.lit(binomial_quantile(0.025, 50, 0.95)).alias("required"))

@@ -274,10 +274,12 @@ def digest_check(spark, sf):
     return named.select(F.lit("pinned").alias("state"), "sha256", "md5").unionByName(spark.createDataFrame([(state, None, None)], "state string, sha256 string, md5 string"))
 
 
-@query("knn_predict", """WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id, q.label AS truth, e.label, e.vec_id AS near, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: power(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE), 2))), 9), e.vec_id) AS rn FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
- v AS (SELECT k, vec_id, truth, label, count(*) AS n FROM d, (VALUES (5), (15)) t(k) WHERE rn <= k GROUP BY k, vec_id, truth, label) SELECT k, vec_id, truth, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY k, vec_id ORDER BY n DESC, label) AS r FROM v) WHERE r = 1""")
+@query("knn_predict", """WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0), e AS (SELECT q.vec_id, q.label AS truth, e.label, e.vec_id AS near, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: power(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE), 2))), 9) AS d FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
+ d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, near) AS rn FROM e),
+ v AS (SELECT k, weights, vec_id, truth, label, round(sum(CASE WHEN weights = 'uniform' THEN CAST(1 AS DOUBLE) WHEN d = 0 THEN CAST(1e30 AS DOUBLE) ELSE 1 / sqrt(d) END), 9) AS n FROM d, (VALUES (5), (15), (31), (51)) t(k), (VALUES ('uniform'), ('distance')) u(weights) WHERE rn <= k GROUP BY k, weights, vec_id, truth, label)
+ SELECT k, weights, vec_id, truth, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY k, weights, vec_id ORDER BY n DESC, label) AS r FROM v) WHERE r = 1""")
 def knn_predict(spark, sf):
     from attestry.operators.learning import knn_vote
 
     e = table(spark, sf, "embeddings")
-    return knn_vote(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", "label", [5, 15])
+    return knn_vote(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", "label", [5, 15, 31, 51], ("uniform", "distance"))
