@@ -1,6 +1,7 @@
 """Hand-computed answers, sentinels and determinism."""
 
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,10 +53,75 @@ def test_derive_is_prefix_stable():
 
 def test_bootstrap_keeps_class_counts(spark):
     df = spark.createDataFrame([(i, i % 3 == 0) for i in range(60)], "k int, y boolean").withColumn("y", F.col("y").cast("int"))
-    got = sampling.bootstrap(df, "k", ["y"], 7, 1).groupBy("b").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+    got = sampling.bootstrap_weights(df, ["y"], ["k"], 7, 1).groupBy("b").agg(F.sum(F.col("y") * F.col("drawn")).alias("p"), F.sum("drawn").alias("n")).collect()
     assert len(got) == 7 and all((r.p, r.n) == (20, 60) for r in got)
 
 
+def test_bootstrap_equals_drawing_rows(spark):
+    """Weights over equal values are those of drawing rows one by one, at any partitioning, and seen counts different rows."""
+    rows = [(i, i % 2, (i * 7) % 5) for i in range(700)]
+    df = spark.createDataFrame(rows, "k int, g int, v int")
+    want = {}
+    for g in (0, 1):
+        line = sorted(v for _, h, v in rows if h == g)
+        for b in range(3):
+            for k in range(len(line)):
+                at = int(hashlib.md5(f"9:{b}:{g}:{k}".encode()).hexdigest()[:8], 16) % len(line)
+                want.setdefault((b, g, line[at]), []).append(at)
+    for n in (1, 5):
+        got = {(r.b, r.g, r.v): (r.drawn, r.seen, r.size) for r in sampling.bootstrap_weights(df.repartition(n), ["g"], ["v"], 3, 9, seen=True).collect()}
+        assert len(got) == 30 and all(got[key] == (len(at), len(set(at)), 70) for key, at in want.items())
+
+
+def test_auc_and_delong_against_all_pairs(spark):
+    """Ties, weights and columns named like the ones used inside."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(g, int(rnd.random() < 0.4), float(rnd.choice([-3, -1.5, 0, 0, 0.25, 2, 1e9]) if g else rnd.gauss(0, 2))) for g in (0, 1) for _ in range(60)]
+    df = spark.createDataFrame(rows, "p int, y int, n double").withColumn("q", F.lit(1))
+    got = {r.p: r for r in statistics.auc_by(df, "n", by=["p"]).collect()}
+    dl = {r.p: r for r in statistics.delong(df, "n", ["p"]).collect()}
+    for g in (0, 1):
+        pos, neg = [s for h, y, s in rows if h == g and y], [s for h, y, s in rows if h == g and not y]
+        psi = [[(a > b) + (a == b) / 2 for b in neg] for a in pos]
+        auc = sum(map(sum, psi)) / len(pos) / len(neg)
+        v1, v0 = [sum(r) / len(neg) for r in psi], [sum(r[j] for r in psi) / len(pos) for j in range(len(neg))]
+        var = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) / (len(v) - 1)
+        assert got[g].auc == pytest.approx(auc) and (got[g].n, got[g].n_pos) == (60, len(pos))
+        assert dl[g].auc == pytest.approx(auc) and dl[g].se == pytest.approx((var(v1) / len(pos) + var(v0) / len(neg)) ** 0.5)
+    one = spark.createDataFrame([(1, 1, 0.1), (1, 1, 0.2), (2, 1, 0.3), (2, 0, 0.1)], "g int, y int, s double")
+    lone = {r.g: r for r in statistics.delong(one, "s", ["g"]).collect()}
+    assert lone[1][1:] == (None, None, None, None) and (lone[2].auc, lone[2].se, lone[2].lo) == (1.0, None, None)
+
+
+def test_youden_and_calibration_of_clashing_names(spark):
+    df = spark.createDataFrame([("a", 0, 0.2), ("a", 1, 0.7), ("a", 1, 0.9), ("a", 0, 0.6), ("b", 1, 0.5)], "n string, y int, p double").withColumn("x", F.col("p"))
+    got = {r.n: (r.threshold, r.j) for r in statistics.youden(df, "p", ["n"]).collect()}
+    assert got == {"a": (0.7, 1.0), "b": (0.5, None)}
+    cal = {r.n: r.intercept for r in statistics.calibration_intercept(df, "p", ["n"]).collect()}
+    assert cal["b"] is None and sum(1 / (1 + math.exp(-(cal["a"] + x))) for x in (0.2, 0.7, 0.9, 0.6)) == pytest.approx(2, abs=1e-5)
+
+
+def test_corrected_t_branches(spark):
+    df = spark.createDataFrame([("flat", 0.0), ("flat", 0.0), ("up", 0.5), ("up", 0.5), ("down", -1.0), ("down", -1.0), ("one", 2.0), ("real", 0.1), ("real", 0.3), ("real", 0.2)], "g string, d double")
+    got = {r.g: (r.t, r.p, r.j) for r in statistics.corrected_t(df, "d", 0.25, ["g"]).collect()}
+    assert got["flat"] == (0.0, 1.0, 2) and got["up"] == (float("inf"), 0.0, 2) and got["down"] == (float("-inf"), 0.0, 2) and got["one"] == (None, None, 1)
+    t = 0.2 / (0.01 * (1 / 3 + 0.25)) ** 0.5
+    assert got["real"][0] == pytest.approx(t) and got["real"][1] == pytest.approx(X.t_two_sided(t, 2), abs=1e-8)
+
+
+def test_mcnemar_of_many_rows(spark):
+    df = spark.range(40000).select(F.lit("g").alias("g"), (F.col("id") % 2 == 0).alias("x"), ((F.col("id") % 2 == 1) & (F.col("id") % 40 != 1)).alias("y"))
+    r = statistics.mcnemar(df, "x", "y", ["g"]).first()
+    n, low = r.n_a + r.n_b, min(r.n_a, r.n_b)
+    top = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) - n * math.log(2)
+    want, term = 0.0, math.exp(top)
+    for k in range(low, -1, -1):
+        want, term = want + term, term * k / (n - k + 1)
+    assert r.p == pytest.approx(min(1, 2 * want), abs=1e-8)
+
+
 def test_matching_unknown_and_ambiguous(spark):
     rec = spark.createDataFrame([(1, "a", 10, 5, 1, 1), (2, "a", 20, None, None, 0), (3, "b", 30, 7, 1, 1), (4, "c", 30, 7, 1, 1)], "rid long, site string, n_chars long, nsp long, slope int, y int")
     pub = spark.createDataFrame([(1, "a", 10, 5, 1, 1), (2, "a", 20, 9, 0, 0), (3, "b", 30, 7, 1, 1), (9, "z", 1, 1, 1, 1)], "pid long, site string, n_chars long, nsp long, slope int, y int")
@@ -78,7 +144,28 @@ def test_modes_and_screening(spark):
     r = survey.modal_values(df, ["v"], "pos").first()
     assert (r.value, r.tied) == ("x", 1)
     rows = spark.createDataFrame([(i, i % 2) for i in range(20)], "p int, inc int")
-    assert survey.screen_until(rows, "p", F.col("inc") == 1, 3).count() == 6
+    assert survey.screen_until(rows, "p", F.col("inc") == 1, 3).count() == 6 and survey.screen_until(rows, "p", F.col("inc") == 1, 30).count() == 20
+
+
+def test_multi_value_modes_need_two(spark):
+    frame = lambda rows: spark.createDataFrame([(r.split(";"),) for r in rows], "v array<string>")
+    got = lambda rows: sorted(r.value for r in survey.multi_value_modes(frame(rows), "v").collect())
+    assert got(["knn;rf", "rf;knn", "svm"]) == ["knn", "rf"]
+    assert got(["a;b;c", "a;d", "a;e;f", "b;c", "d;e;f"]) == ["a", "b", "c", "d", "e", "f"]
+
+
+def test_rubric_kinds(spark):
+    rules = {"u": ("unit",), "f": ("fraction",), "c": ("count",), "m": ("subset", "rf", "knn"), "e": ("one_of", "yes", "no")}
+    df = spark.createDataFrame([(1, 0.5, None, 1, "rf;knn", "yes"), (2, 1.5, 1.0, 0, "", None), (3, None, 0.2, 3, "rf;x", "no")], "k int, u double, f double, c int, m string, e string")
+    bad = {(r.k, r.field): r.value for r in survey.rubric_violations(df, "k", rules).collect()}
+    assert bad == {(2, "u"): "1.5", (2, "f"): "1.0", (2, "c"): "0", (2, "m"): "", (2, "e"): None, (3, "u"): None, (3, "m"): "rf;x"}
+
+
+def test_screening_order_keeps_every_path(spark):
+    rows = [("a/x", "z"), ("a/x", "b"), ("a/x", "z"), ("c/z", "q")]
+    got = [survey.screening_order(spark.createDataFrame(r, "repo string, path string"), "repo", "path", 5) for r in (rows, rows[::-1])]
+    seen = [sorted((r.repo, r.k, r.path, r.position) for r in g.collect()) for g in got]
+    assert seen[0] == seen[1] and [x[:3] for x in seen[0]] == [("a/x", 1, "b"), ("a/x", 2, "z"), ("c/z", 1, "q")] and {x[3] for x in seen[0]} == {1, 2}
 
 
 def test_fetch_takes_the_first_valid_mirror(tmp_path):
@@ -94,4 +181,82 @@ def test_digest_mismatch_raises(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"1")
     found = readers.file_digests(spark, str(tmp_path))
     with pytest.raises(readers.DigestMismatch):
-        readers.verify_digests(found, spark.createDataFrame([("a", "00")], "file string, sha256 string"))
+        readers.verify_digests(found, readers.pins_frame(spark, [readers.Pin("a", (), "sha256", "00")]))
+    readers.verify_digests(found, readers.pins_frame(spark, [readers.Pin("a", (), "md5", hashlib.md5(b"1").hexdigest())]))
+
+
+def test_fetch_all_and_paged_sources(tmp_path):
+    pins = [readers.Pin(n, (f"u/{n}",), "sha256", hashlib.sha256(f"u/{n}".encode()).hexdigest()) for n in ("a", "b")]
+    get = lambda url, dest: dest.write_bytes(url.encode())
+    assert {k: v.read_text() for k, v in readers.fetch_all(pins, tmp_path, get).items()} == {"a": "u/a", "b": "u/b"}
+    (tmp_path / "a").write_bytes(b"x")
+    with pytest.raises(readers.DigestMismatch):
+        readers.fetch_all(pins, tmp_path, get)
+    asked, pauses = [], []
+    page = lambda n: asked.append(n) or [{"n": n}] * (3 if n < 3 else 1)
+    assert len(readers.read_pages(page, 10, 3, lambda: pauses.append(1))) == 7 and asked == [1, 2, 3] and len(pauses) == 2
+
+    def content(path):
+        if "bad" in path:
+            raise OSError("gone")
+        return path
+
+    rows = readers.fetch_notebooks([{"position": p, "k": 1, "repo": "r", "path": q} for p, q in ((1, "a b.ipynb"), (2, "bad"), (9, "c"))], content, 1, 3)
+    assert [(r["file"], r["content"], r["error"]) for r in rows] == [("001-1", "r/contents/a%20b.ipynb", None), ("002-1", None, "gone")]
+
+
+def test_bundles_and_texts_are_read_back(spark, tmp_path):
+    rows = [(s, m, i, i % 2, (i + s) % 2) for s in (1, 2) for m in ("lr", "rf") for i in range(4)]
+    df = spark.createDataFrame(rows, "seed long, model string, row_id long, y int, predicted int")
+    readers.write_predictions(df, str(tmp_path / "p"))
+    assert sorted(tuple(r[c] for c in ("seed", "model", "row_id", "y", "predicted")) for r in readers.read_predictions(spark, str(tmp_path / "p")).collect()) == sorted(rows)
+    readers.write_texts(spark.createDataFrame([("001-1", "### [0] code\nx = 1")], "file string, flat string"), str(tmp_path / "t"), "file", "flat")
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["### [0] code", "x = 1"]
+    assert "model" in readers.console_table(df, 2)
+
+
+def test_sweep_from_sums_equals_the_sweep_in_tasks(spark):
+    from attestry.operators import study
+
+    rows = [(i, int((i * 37 % 11) + (i % 5) > 7), float(i * 37 % 11), float(i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "rid long, y int, a double, b double")
+    one = {r.seed: r.accuracy for r in study.run_seeds(df, [3, 4, 5], ["a", "b"]).collect()}
+    two = {r.seed: r.accuracy for r in study.sweep_by_sums(df, [3, 4, 5], ["a", "b"]).collect()}
+    assert one == pytest.approx(two) and len(one) == 3
+
+
+def test_study_learners_and_designs():
+    import numpy as np
+    import pandas as pd
+
+    from attestry.operators import study
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 2))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    for name, least in (("knn", 0.9), ("boosted_trees", 0.9), ("mlp", 0.9), ("logistic_regression", 0.4)):
+        assert study.auc(y[400:], study.LEARNERS[name](x[:400], y[:400], 1)(x[400:])) > least, name
+    lost = x.copy()
+    lost[::3, 0] = np.nan
+    assert study.auc(y[400:], study.boosted(lost[:400], y[:400], 1)(lost[400:])) > 0.75
+    exact = study.knn(np.array([[0.0], [1.0], [1.1]]), np.array([1.0, 0.0, 0.0]), 0, 3, "distance")(np.array([[0.0], [2.0]]))
+    assert exact[0] == 1 and exact[1] < 0.5
+    train, new = pd.DataFrame({"a": [1.0, 3.0, None], "e": [None, None, None], "c": ["x", "y", None]}), pd.DataFrame({"a": [None, 1e9], "e": [5.0, None], "c": ["z", "x"]})
+    design = study.Design(train.astype({"e": float}), ["a", "e"], ["c"], ["a"])
+    assert design.middle["a"] == 2 and design(new)[0].tolist()[:1] == [0.0] and design(new)[:, 2].tolist() == [1, 0] and design(new)[:, 3:].tolist() == [[0, 0], [1, 0]]
+
+
+def test_nested_baseline_leaves_sites_out_and_does_not_see_them(spark):
+    """Every row is scored once, by a model without its site; a planted value in a held-out site does not move other folds."""
+    from attestry.operators import study
+
+    rows = [(i, "abc"[i % 3], float(i % 17), None if i % 4 == 0 else float(i % 7), i % 2, int((i % 17) > 8 and i % 5 > 0)) for i in range(240)]
+    schema = "rid long, site string, n_chars double, nsp double, slope int, y int"
+    grid = {"logistic_regression": study.GRIDS["logistic_regression"]}
+    run = lambda r: {x.rid: x for x in study.nested(spark.createDataFrame(r, schema), ("A", "B"), grid, None, 7).where("arm = 'A'").collect()}
+    a = run(rows)
+    assert len(a) == 240 and {(x.site, x.fold) for x in a.values()} == {("a", 0), ("b", 1), ("c", 2)}
+    b = run([(i, s, 1e9 if s == "a" else n, p, q, y) for i, s, n, p, q, y in rows])
+    assert all(x.threshold == b[i].threshold for i, x in a.items() if x.site == "a")
+    gate = study.nested(spark.createDataFrame(rows, schema), ("A",), {"logistic_regression": [{"c": 1.0}]}, None, 7, shuffles=3)
+    assert gate.count() == 3 * 240 and gate.groupBy("shuffle").agg(F.sum("y")).distinct().count() == 3
