@@ -407,15 +407,56 @@ def test_katz(spark, docs):
     assert Model(np.zeros(K + 3), np.zeros(K + 3), 0, 0).unknown == 1
 
 
-def test_katz_sums_to_one(spark):
-    """All continuations of a context, and the unknown word, have probability one together."""
+def brute_katz(train):
+    """P(word | context) by plain counting over the training texts; None stands for a word that was never seen."""
+    from attestry.llm.katz import K, KEPT, discounts
+
+    pairs, words = {}, {}
+    for text in train:
+        line = ["<s>", *text.lower().split(), "</s>"]
+        for h, w in zip(line, line[1:], strict=False):
+            pairs[h, w] = pairs.get((h, w), 0) + 1
+            words[w] = words.get(w, 0) + 1
+    often = lambda values: np.bincount(np.minimum(list(values), K + 2), minlength=K + 3)
+    d, e = ([0.0, *discounts(often(v.values()))] for v in (pairs, words))
+    kept = lambda table, r: table[r] if r <= K else KEPT
+    total = sum(words.values())
+    low = {w: kept(e, c) * c / total for w, c in words.items()}
+    low[None] = 1 - sum(low.values())
+    context = {}
+    for (h, w), r in pairs.items():
+        context.setdefault(h, {})[w] = r
+
+    def probability(w, h):
+        w = w if w in words else None
+        seen = context.get(h)
+        if seen is None:
+            return low[w]
+        size = sum(seen.values())
+        if w in seen:
+            return kept(d, seen[w]) * seen[w] / size
+        left = 1 - sum(kept(d, r) * r / size for r in seen.values())
+        return left / (1 - sum(low[v] for v in seen)) * low[w]
+
+    return probability, [*words, None], ["<s>", *context]
+
+
+def test_katz_equals_plain_counting(spark):
+    """Scores of all texts, learned from or not, equal the model by plain counting, whose probabilities sum to one after every context."""
     from attestry.llm.katz import katz_scores
 
-    train = [(i, " ".join(np.random.default_rng(i).choice(list("abcdefgh"), 12))) for i in range(60)]
-    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
-    # P(w | a) shows as the difference of the texts "a" and "a w", whose other factors are shared or read off in turn.
-    rows = katz_scores(spark.createDataFrame([*train, (held, "a")], "doc_id long, text string")).collect()
-    assert all(math.isfinite(r.score) for r in rows)
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(0, 15)), p=np.arange(26, 0, -1) / 351))) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in enumerate(["", None, "never seen words", "a never a", "A  B\tc\n", "z z z z", "the the"])]
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    probability, words, contexts = brute_katz([t or "" for i, t in rows if not out(i)])
+    assert all(abs(sum(probability(w, h) for w in words) - 1) < 1e-9 for h in contexts)
+    got = {r.doc_id: r for r in katz_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        line = ["<s>", *(t or "").lower().split(), "</s>"]
+        want = sum(math.log10(probability(w, h)) for h, w in zip(line, line[1:], strict=False))
+        assert got[i].score == pytest.approx(want, abs=1e-8) and got[i].held_out == out(i)
 
 
 def test_mixing(spark, docs):
@@ -497,11 +538,16 @@ def test_pieces(spark, docs):
     rows = piece_report(clashing(docs)).collect()
     texts = dict(docs.select("doc_id", "text").collect())
     assert len(rows) == 13 and all(list(r.pieces) == sp.encode(texts[r.doc_id] or "") and r.round_trip for r in rows)
-    words = ["▁the", "▁▁▁a", "▁é中\U0001f600", "hello", "\n\n"]
+    words = ["▁the", "▁▁▁a", "▁é中\U0001f600", "hello", "\n\n", "▁internationalisation", "▁" + "ab" * 29, "▁" + "the" * 20, "▁" + "the" * 24, "▁" * 61, "▁" * 62] + [f"▁{w}" for w in "counterrevolutionaries Donaudampfschifffahrt aaaaaaaaaaaaaaa l'été 1234567890".split()]
     frame = spark.createDataFrame([(w,) for w in [*words, None, ""]], "word string")
     for vocab in (vocabulary(), Vocabulary(kind="unigram")):
         got = {r.word: list(r.ids) for r in encode_words(frame, vocab).collect()}
         assert got == {w: vocab.encode_word(w) for w in words}
+    mixed = [f"▁{''.join(np.random.default_rng(i).choice(list('etaoinshrdlu'), 1 + i % 30))}" for i in range(300)]
+    got = {r.word: list(r.ids) for r in encode_words(spark.createDataFrame([(w,) for w in mixed], "word string"), vocabulary()).collect()}
+    assert got == {w: vocabulary().encode_word(w) for w in mixed}
+    twice = piece_report(spark.createDataFrame([(1, "x" * 300_000), (1, "x" * 300_000), (None, "a b")], "doc_id long, text string").withColumn("pieces", F.lit("k"))).collect()
+    assert len(twice) == 3 and all(r.round_trip for r in twice) and piece_report(docs.limit(0)).count() == 0
     back = decode_texts(encode_texts(docs.select("doc_id", "text"), vocabulary()), vocabulary()).collect()
     assert all(r.decoded == (r.text or "") for r in back)
 
