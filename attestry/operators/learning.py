@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators.preparation import impute_values, scale_values
+from attestry.sources.readers import settled
 
 
 def knn_vote(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, ks: list[int], weights: tuple[str, ...] = ("uniform",), block_rows: int = 20_000) -> DataFrame:
@@ -99,9 +100,9 @@ def models(seed: int = 0) -> dict:
     from pyspark.ml import classification as C
 
     return {
-        "decision_tree": lambda: C.DecisionTreeClassifier(maxDepth=15, seed=seed), "logistic_regression": lambda: C.LogisticRegression(regParam=0.01, standardization=False),
-        "random_forest": lambda: C.RandomForestClassifier(numTrees=50, maxDepth=10, seed=seed), "boosted_trees": lambda: C.GBTClassifier(maxDepth=2, maxIter=20, stepSize=0.1, seed=seed),
-        "mlp": lambda: C.MultilayerPerceptronClassifier(layers=[2, 8, 2], maxIter=50, seed=seed), "linear_svm": lambda: C.LinearSVC(maxIter=50, regParam=0.01),
+        "decision_tree": lambda: C.DecisionTreeClassifier(maxDepth=30, seed=seed), "logistic_regression": lambda: C.LogisticRegression(regParam=0.01, standardization=False),
+        "random_forest": lambda: C.RandomForestClassifier(numTrees=100, maxDepth=20, seed=seed), "boosted_trees": lambda: C.GBTClassifier(maxDepth=2, maxIter=20, stepSize=0.1, seed=seed),
+        "mlp": lambda: C.MultilayerPerceptronClassifier(layers=[2, 16, 2], maxIter=50, seed=seed), "linear_svm": lambda: C.LinearSVC(maxIter=50, regParam=0.01),
     }
 
 
@@ -120,7 +121,7 @@ def oof(df: DataFrame, fold: str, columns: list[str], make, transform=lambda d:
     """(rid, fold, y, score): every row scored by the model fitted without its fold. Folds are few, by contract."""
     from pyspark.ml.functions import vector_to_array
 
-    parts = []
+    df, parts = settled(df), []  # every fold reads it several times
     for r in df.select(fold).distinct().orderBy(fold).collect():
         train = df.where(~F.col(fold).eqNullSafe(F.lit(r[0])))
         ready = transform(design(train, train, columns)).persist()
@@ -139,7 +140,7 @@ def nested_search(df: DataFrame, fold: str, columns: list[str], grid: list[float
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    parts = []
+    df, parts = settled(df), []
     for r in df.select(fold).distinct().orderBy(fold).collect():
         train = df.where(F.col(fold) != r[0])
         names = [x[0] for x in train.select(fold).distinct().orderBy(fold).collect()]

@@ -74,7 +74,7 @@ SMALL = 20
 SCOPE = ("de", "en", "fr")
 
 
-def _gap(filled, weight=F.lit(1)):
+def _gap(filled, weight):
     rate = lambda s: F.sum(F.when((F.col("filled") == filled) & (F.col("slope") == s), weight * F.col("y"))) / F.nullif(F.sum(F.when((F.col("filled") == filled) & (F.col("slope") == s), weight)), F.lit(0)).cast("double")
     return rate(1) - rate(0)
 
