@@ -1,6 +1,7 @@
 """Corpus pipeline: quality classifier, near-dedup, secret redaction, source mixing, SentencePiece encoding.
 
-Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents. Null texts count as empty in
+every decision, rows without an id are rows like others, and an empty table gives an empty one. Columns beyond those of documents pass through.
 """
 
 from __future__ import annotations
@@ -17,28 +18,28 @@ from attestry.llm.secrets import fit_field, redact_secrets
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts score as texts of zeros; repeated rows are judged each."""
     return keep_quality(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the smallest id."""
+    """One document of each near-duplicate class stays: the one with the smallest id. Equal rows go down to one; null and empty texts are one class."""
     return drop_near_duplicates(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; each secret becomes a mark, and n_chars follows the text."""
+    """Every document stays; each secret becomes a mark, and n_chars follows the text. Null texts stay null and keep their n_chars."""
     out = redact_secrets(docs, fit_field(docs))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as the mix takes it; one that is taken for less than half its words goes."""
+    """Whole documents, each as often as the mix takes it; one that is taken for less than half its words goes, and so do those without words."""
     return apply_mix(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, round_trip, pieces) of every document left."""
+    """(doc_id, n_pieces, round_trip, pieces) of every document left; null texts have no pieces."""
     return piece_report(docs)
 
 
