@@ -313,7 +313,8 @@ def brute_classes(texts):
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if root[i] != root[j] and min(len(cut[i]), len(cut[j])) >= 0.8 * max(len(cut[i]), len(cut[j])) and len(set(cut[i]) & set(cut[j])) > 0.4 * len(set(cut[i])) and word_similarity(cut[i], cut[j]) >= 0.8 - 1e-12:
+            near = min(len(cut[i]), len(cut[j])) >= 0.8 * max(len(cut[i]), len(cut[j])) and len(set(cut[i]) & set(cut[j])) > 0.4 * len(set(cut[i]))
+            if root[i] != root[j] and (texts[i] == texts[j] or near and word_similarity(cut[i], cut[j]) >= 0.8 - 1e-12):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     return root
@@ -638,3 +639,66 @@ def test_media(spark, docs):
     df = spark.createDataFrame([(1, bytearray(gif), "image/png"), (2, None, "image/png"), (3, bytearray(b""), None)], "id int, content binary, declared string")
     got = {r.id: r for r in sniff_media(df).collect()}
     assert got[1].corrected == "image/gif" and got[1].mismatch and got[2].corrected == "image/png" and not got[3].mismatch
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark, tmp_path_factory):
+    """A folder with documents and labels: good prose, junk, copies, near copies, secrets, nulls, empties, repeated rows, a row without id."""
+    rng, rows = np.random.default_rng(12), []
+    for i in range(300):
+        words = prose(i, int(rng.integers(30, 120))).split()
+        text = " ".join(words) if i % 4 else " | ".join(f"$$$ {w} ###" for w in words)
+        rows.append((i, text, "en", f"s{i % 3}", len(text)))
+    base = rows[1][1].split()
+    rows += [(1000 + k, " ".join([*base[:5], f"new{k}", *base[6:]]), "en", "s0", 1) for k in range(5)] + [(2000, rows[2][1], "en", "s1", 1)]
+    rows += [(3000, prose(5000, 60) + " pwd: Ab3dE5fG7hJ9 " + prose(5001, 20), "en", "s2", 1), (3001, None, "en", "s0", None), (3002, "", "en", "s0", 0), (None, prose(6000, 70), None, None, 5)] + [rows[5]] * 2
+    path = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(250)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path, rows
+
+
+def test_pipeline_stages_against_brute_force(spark, small_corpus):
+    """Each stage on what the one before kept: clean rows stay, decisions take effect, columns stay."""
+    import corpus_pipeline as P
+    import sentencepiece
+
+    from attestry.llm.common import read, write_table
+    from attestry.llm.pieces import MODEL
+
+    path, rows = small_corpus
+    docs = read(spark, path, "documents")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    kept = write_table(P.quality_stage(spark, docs, path))
+    good = sorted(kept.collect(), key=key)
+    assert kept.columns == docs.columns and not any("###" in (r.text or "") for r in good) and sum(r.doc_id is not None and r.doc_id < 300 for r in good) >= 0.9 * 225
+    deduped = write_table(P.near_dedup_stage(spark, kept, path))
+    left = sorted(deduped.collect(), key=key)
+    texts = [r.text or "" for r in good]
+    root, first = brute_classes(texts), {}
+    for r, c in zip(good, root, strict=True):
+        first.setdefault(c, r)
+    assert deduped.columns == docs.columns and {(r.doc_id, r.text or "") for r in left} == {(r.doc_id, r.text or "") for r in first.values()} and len(left) == len(first)
+    clean = write_table(P.secrets_stage(spark, deduped, path))
+    out = sorted(clean.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    assert [r.doc_id for r in out] == [r.doc_id for r in left] and all(r.n_chars == len(r.text) for r in out if r.text is not None)
+    assert [b.doc_id for a, b in zip(left, out, strict=True) if a.text != b.text] == [3000] and "Ab3dE5fG7hJ9" not in next(r.text for r in out if r.doc_id == 3000)
+    mixed = write_table(P.mixing_stage(spark, clean, path))
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in out} and max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 3
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    by_id = {r.doc_id: r.text for r in mixed.collect()}
+    assert all(list(r.pieces) == sp.encode(by_id[r.doc_id]) for r in P.encoding_stage(spark, mixed, path).collect())
+
+
+def test_pipeline_run_and_empty_tables(spark, small_corpus, tmp_path):
+    import corpus_pipeline as P
+
+    path, _ = small_corpus
+    a, b = (sorted((str(r.doc_id), r.n_pieces) for r in P.run(spark, path).collect()) for _ in range(2))
+    assert a == b and len(a) > 100
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0
+    extra = docs.limit(40).withColumn("copy", F.lit("x")).withColumn("row", F.lit(1)).withColumn("_at", F.lit(2))
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, extra, path).columns == extra.columns, name
