@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.scalars import hash32
-from attestry.operators.running import sums_before
+from attestry.operators.running import renamed, same_keys, sums_before
 
 # Fixed value: the root of all named seeds.
 ROOT = 20260922
@@ -35,9 +35,22 @@ def hash_rank(df: DataFrame, by: list[str], h: Column, key: str, out: str) -> Da
 
 
 def hash_split(df: DataFrame, key: str, seed: Column, by: list[str], share: float = 0.2, kind: str = "split") -> DataFrame:
-    """Adds is_test for exactly ceil(share n) rows of each partition of by."""
-    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * share).alias("_k"))
-    return hash_rank(df, by, hash32(seed, kind, F.col(key)), key, "_rank").join(sizes, by).withColumn("is_test", F.col("_rank") <= F.col("_k")).drop("_rank", "_k")
+    """Adds is_test for exactly ceil(share n) rows of each group of by: the first by (hash, key).
+
+    The hashes are counted in 4,096 ranges. Rows of all ranges but the one that holds the border know their side from their hash alone;
+    only that range is ranked, so no row outside it is shuffled.
+    """
+    cut = df.withColumn("_h", hash32(seed, kind, F.col(key))).withColumn("_c", F.shiftright("_h", 20))
+    group = Window.partitionBy(*by)
+    ahead = group.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = ranges.withColumn("_o", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).withColumn("_k", F.ceil(F.sum("_n").over(group) * share))
+    border = ranges.where("_o < _k and _k <= _o + _n").withColumn("_need", F.col("_k") - F.col("_o")).withColumnRenamed("_c", "_edge")
+    sided = cut.join(renamed(border, by, "_edge", "_need"), same_keys(by))
+    sure = sided.where("_c <> _edge").withColumn("is_test", F.col("_c") < F.col("_edge"))
+    close = sided.where("_c = _edge").withColumn("is_test", F.row_number().over(group.orderBy("_h", key)) <= F.col("_need"))
+    columns = [*df.columns, "is_test"]
+    return sure.select(*columns).unionByName(close.select(*columns))
 
 
 def group_split(df: DataFrame, group: str, seed: int, share: float = 0.2) -> DataFrame:
