@@ -294,8 +294,11 @@ def _labelled(text: str, shapes: _Shapes, gaps: _Gaps, planted: list[tuple[int,
     return t, labels, _roles_named(t) & (labels == O)
 
 
-def examples_of(texts: list[str], seed: int = 20240229) -> tuple[list[tuple[Tokens, np.ndarray, int, int]], _Shapes]:
-    """Chains (tokens, labels, from, to) of at most CHAIN tokens: those of the texts as they are, and with planted secrets and decoys."""
+def examples_of(texts: list[str], seed: int = 20240229) -> tuple[list[np.ndarray], _Shapes]:
+    """Chains of at most CHAIN tokens, those of the texts as they are and with planted secrets and decoys: rows shape, before, far, after, kind, label.
+
+    Only these numbers are held, not the texts.
+    """
     rng, shapes, gaps, out = np.random.default_rng(seed), _Shapes(), _Gaps(), []
     for text in texts:
         words = text.split(" ")
@@ -313,13 +316,42 @@ def examples_of(texts: list[str], seed: int = 20240229) -> tuple[list[tuple[Toke
                 part = slice(s, min(t.number, s + CHAIN))
                 # Chains without a secret are many and alike: one in eight of them teaches.
                 if (planted or labels[part].any() or rng.random() < 0.125) and not unsure[part].any():
-                    out.append((t, labels, part.start, part.stop))
+                    out.append(np.stack([t.shape[part], t.before[part], t.far[part], t.after[part], np.full(part.stop - part.start, t.kind), labels[part]]).astype(np.int32))
     if len(out) > TRAIN_CHAINS:
         out = [out[i] for i in np.sort(rng.permutation(len(out))[:TRAIN_CHAINS])]
     return out, shapes
 
 
-def fit(examples: list[tuple[Tokens, np.ndarray, int, int]], shapes: _Shapes, rounds: int = 60, rate: float = 0.4, penalty: float = 2e-5) -> Field:
+#: Chains whose slopes are worked out together.
+_BATCH = 512
+
+
+def _slopes(e: np.ndarray, m: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the log-likelihood of a batch of chains by the scores of its live tokens, and by the moves (forward-backward)."""
+    c, n = e.shape[:2]
+    e[:, 0, I] -= 1e9
+    fwd, bwd = np.zeros((c, n, 3)), np.zeros((c, n, 3))
+    fwd[:, 0] = e[:, 0]
+    for i in range(1, n):
+        x = fwd[:, i - 1, :, None] + m
+        top = x.max(1)
+        fwd[:, i] = np.where(live[:, i, None], top + np.log(np.exp(x - top[:, None]).sum(1)) + e[:, i], fwd[:, i - 1])
+    for i in range(n - 2, -1, -1):
+        x = m + (e[:, i + 1] + bwd[:, i + 1])[:, None, :]
+        top = x.max(2)
+        bwd[:, i] = np.where(live[:, i + 1, None], top + np.log(np.exp(x - top[:, :, None]).sum(2)), 0)
+    z = fwd[:, -1].max(1)
+    z = z + np.log(np.exp(fwd[:, -1] - z[:, None]).sum(1))
+    g = -np.exp(np.minimum(0, fwd + bwd - z[:, None, None]))
+    np.put_along_axis(g, y[:, :, None], np.take_along_axis(g, y[:, :, None], 2) + 1, 2)
+    pair = live[:, 1:]
+    p = fwd[:, :-1, :, None] + m + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]
+    moves = -np.exp(np.minimum(0, p[pair])).sum(0)
+    np.add.at(moves, (y[:, :-1][pair], y[:, 1:][pair]), 1)
+    return g[live], moves
+
+
+def fit(examples: list[np.ndarray], shapes: _Shapes, rounds: int = 60, rate: float = 0.4, penalty: float = 2e-5) -> Field:
     """Penalised maximum likelihood by full gradients (forward-backward over all chains at once) with Adagrad steps."""
     sizes = {"before": 3 * G, "far": 9, "after": 3 * G, "kind": KINDS_OF_TEXT}
     keys = list(shapes.numbers)
@@ -328,14 +360,12 @@ def fit(examples: list[tuple[Tokens, np.ndarray, int, int]], shapes: _Shapes, ro
     for i, k in enumerate(keys):
         holds[i, [names[f] for f in k]] = 1
     c = len(examples)
-    width = np.array([e - s for _, _, s, e in examples], int)
-    column = {name: np.zeros((c, CHAIN), np.int64) for name in ("shape", "before", "far", "after", "kind", "y")}
-    for i, (t, labels, s, e) in enumerate(examples):
-        for name in ("shape", "before", "far", "after"):
-            column[name][i, : e - s] = getattr(t, name)[s:e]
-        column["kind"][i] = t.kind
-        column["y"][i, : e - s] = labels[s:e]
-    y, live = column["y"], np.arange(CHAIN)[None, :] < width[:, None]
+    width = np.array([x.shape[1] for x in examples], int)
+    packed = np.zeros((6, c, CHAIN), np.int32)
+    for i, x in enumerate(examples):
+        packed[:, i, : x.shape[1]] = x
+    column = dict(zip(("shape", "before", "far", "after", "kind"), packed, strict=False))
+    y, live = packed[5].astype(np.int64), np.arange(CHAIN)[None, :] < width[:, None]
     y[:, 0][y[:, 0] == I] = B  # a chain cut inside a secret begins with it
     w = {name: np.zeros((n, 3)) for name, n in (*sizes.items(), ("shape", holds.shape[1]))}
     t = np.zeros((3, 3))
@@ -344,35 +374,19 @@ def fit(examples: list[tuple[Tokens, np.ndarray, int, int]], shapes: _Shapes, ro
     seen = {name: np.full_like(v, 1e-8) for name, v in w.items()}
     seen_t = np.full_like(t, 1e-8)
     total = max(1, int(live.sum()))
-    where = {name: column[name][live] for name in w}
     for _ in range(rounds if c else 0):
         score = {name: (holds @ v if name == "shape" else v) for name, v in w.items()}
-        e = sum(score[name][column[name]] for name in w)
-        e[:, 0, I] -= 1e9
-        m = t + wall
-        fwd, bwd = np.zeros((c, CHAIN, 3)), np.zeros((c, CHAIN, 3))
-        fwd[:, 0] = e[:, 0]
-        for i in range(1, CHAIN):
-            x = fwd[:, i - 1, :, None] + m
-            top = x.max(1)
-            fwd[:, i] = np.where(live[:, i, None], top + np.log(np.exp(x - top[:, None]).sum(1)) + e[:, i], fwd[:, i - 1])
-        for i in range(CHAIN - 2, -1, -1):
-            x = m + (e[:, i + 1] + bwd[:, i + 1])[:, None, :]
-            top = x.max(2)
-            bwd[:, i] = np.where(live[:, i + 1, None], top + np.log(np.exp(x - top[:, :, None]).sum(2)), 0)
-        z = fwd[:, -1].max(1)
-        z = z + np.log(np.exp(fwd[:, -1] - z[:, None]).sum(1))
-        g = -np.exp(np.minimum(0, fwd + bwd - z[:, None, None]))
-        np.put_along_axis(g, y[:, :, None], np.take_along_axis(g, y[:, :, None], 2) + 1, 2)
-        g = g[live]
-        dt = -penalty * t * total
-        pair = live[:, 1:]
-        p = fwd[:, :-1, :, None] + m + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        dt -= np.exp(np.minimum(0, p[pair])).sum(0)
-        np.add.at(dt, (y[:, :-1][pair], y[:, 1:][pair]), 1)
+        sums = {name: np.zeros((len(holds) if name == "shape" else len(v), 3)) for name, v in w.items()}
+        dt, m = -penalty * t * total, t + wall
+        for at in range(0, c, _BATCH):  # a batch of chains at a time: the work space stays small
+            part = slice(at, at + _BATCH)
+            g, moves = _slopes(sum(score[name][column[name][part]] for name in w), m, live[part], y[part])
+            dt += moves
+            for name in w:
+                where = column[name][part][live[part]]
+                sums[name] += np.stack([np.bincount(where, g[:, k], len(sums[name])) for k in (O, B, I)], 1)
         for name, v in w.items():
-            d = np.stack([np.bincount(where[name], g[:, k], len(holds) if name == "shape" else len(v)) for k in (O, B, I)], 1)
-            d = (holds.T @ d if name == "shape" else d) / total - penalty * v
+            d = (holds.T @ sums[name] if name == "shape" else sums[name]) / total - penalty * v
             seen[name] += d**2
             v += rate * d / np.sqrt(seen[name])
         dt /= total
