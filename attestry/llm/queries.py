@@ -69,7 +69,25 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_url_filter, op4_quality_classifier, op5_minhash_near_dedup, op6_lm_scoring, op7_source_mixing, op8_sentencepiece, op9_embedding_near_dedup, op10_media_columns)}
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.align import align_tokenizers
+
+    return align_tokenizers(read(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.exact import exact_duplicates
+
+    return exact_duplicates(read(spark, sf_dir, "documents")).drop("member")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestry.llm.fim import fim_digests
+
+    return fim_digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_url_filter, op4_quality_classifier, op5_minhash_near_dedup, op6_lm_scoring, op7_source_mixing, op8_sentencepiece, op9_embedding_near_dedup, op10_media_columns, op11_cross_tokenizer_alignment, op12_exact_dedup, op13_fill_in_middle)}
 
 ORACLES = {
     "op3_url_filter": r"""
@@ -80,5 +98,21 @@ r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
 f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS verdict FROM h JOIN r
       ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
 SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN f ON h.page_id = f.page_id
+""",
+    "op12_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
+""",
+    "op13_fill_in_middle": r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS x, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+v AS (SELECT doc_id, text, x, len(x) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(x) + 1) AS i, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(x) + 1) AS j,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+                  WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT doc_id, text, n, form, coalesce(array_to_string(x[1:least(i, j)], ''), '') AS p, coalesce(array_to_string(x[least(i, j) + 1:greatest(i, j)], ''), '') AS m,
+             coalesce(array_to_string(x[greatest(i, j) + 1:], ''), '') AS s FROM v)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256 FROM c
 """,
 }
