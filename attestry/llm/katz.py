@@ -30,7 +30,7 @@ FOLDS, HELD = 7, 2
 SAMPLE_ROWS, CODES = 2000, 60_000
 #: A word with more than this share of all tokens is dealt by its context too; there can be 1,024 of them at most.
 HOT = 1024
-CHUNK_ROWS, CHUNK_TOKENS, BUCKET_TOKENS = 6144, 3_000_000, 3_000_000
+CHUNK_ROWS, CHUNK_TOKENS, BUCKET_TOKENS = 6144, 3_000_000, 2_000_000
 END, START = np.uint64(1), np.uint64(2)
 _TOP = 1 << 63
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -51,7 +51,7 @@ class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > len(self.short) + 400_000:
+        if len(self) > len(self.short) + 200_000:
             self.clear()
             self.update(self.short)
         out = self[word] = xxhash.xxh64_intdigest(word) | _TOP
@@ -111,8 +111,8 @@ def _chunks(triples, codes: _Codes, buckets: int, hot: np.ndarray, part: int) ->
 
     def emit(rows: list) -> Iterator[tuple]:
         lengths = np.array([len(r[0]) for r in rows])
-        w = np.array([c for r in rows for c in r[0]], np.uint64)
-        doc = np.repeat(np.arange(len(rows)), lengths)
+        w = np.concatenate([r[0] for r in rows])
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
         h = np.empty_like(w)
         h[1:] = w[:-1]
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -121,14 +121,17 @@ def _chunks(triples, codes: _Codes, buckets: int, hot: np.ndarray, part: int) ->
         chunk = part * 1_000_000 + k
         empty = np.array([r[2] is None for r in rows], np.uint8)
         yield chunk, 0, int(chunk % buckets), pack(np.array([0 if r[2] is None else r[2] for r in rows], np.int64), empty, flags.astype(np.uint8), lengths.astype(np.int64))
+        rows.clear()  # what follows holds each token in a few numbers at a time
         spread = _mix(w * _K1)
         at = np.searchsorted(hot, w)
         common = hot[np.minimum(at, len(hot) - 1)] == w if len(hot) else np.zeros(len(w), bool)
         spread = np.where(common, _mix(spread + _mix(h * _K1)), spread)
-        bucket = (spread >> np.uint64(20)) % np.uint64(buckets)
-        order = np.argsort(_mix(w * _K1 + h), kind="stable")
-        order = order[np.argsort(bucket[order].astype(np.uint16 if buckets < 65536 else np.uint32), kind="stable")]
+        bucket = ((spread >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
+        del spread, at, common
+        order = np.argsort(_mix(w * _K1 + h), kind="stable").astype(np.int32)
+        order = order[np.argsort(bucket[order], kind="stable")]
         w, h, doc, bucket = w[order], h[order], doc[order], bucket[order]
+        del order
         entry = _starts(w, h, doc)
         n = np.diff(np.append(entry, len(w)))
         w, h, doc, bucket = w[entry], h[entry], doc[entry], bucket[entry]
@@ -147,7 +150,7 @@ def _chunks(triples, codes: _Codes, buckets: int, hot: np.ndarray, part: int) ->
     for text, flag, key in triples:
         coded = [codes[t] for t in tokens_of(text)]
         coded.append(int(END))
-        rows.append((coded, flag, key))
+        rows.append((np.array(coded, np.uint64), flag, key))
         size += len(coded)
         if len(rows) >= CHUNK_ROWS or size >= CHUNK_TOKENS:
             yield from emit(rows)
