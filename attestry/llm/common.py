@@ -56,17 +56,20 @@ NO_ID = 1 << 62
 HOT = 1024
 
 
-def join_told(rows: DataFrame, told: DataFrame, key: str, times: str) -> DataFrame:
+def join_told(rows: DataFrame, told: DataFrame, key: str, times: str, keep: bool = False) -> DataFrame:
     """Inner join of rows with one told row a key, which says how many rows hold the key; the column times goes.
 
+    With keep it is a left join and the column times stays, null for keys that are not told.
+
     Keys that hold a large share of all rows, of which there are fewer than HOT, are sent to every task, so that no
     task gets all rows of one key; all other keys are shuffled.
     """
     total = F.broadcast(told.agg(F.sum(times).alias("_all")))  # one row
-    hot = told.join(total).where(F.col(times) * HOT > F.col("_all")).drop("_all", times)
-    cold = told.join(total).where(F.col(times) * HOT <= F.col("_all")).drop("_all", times)
+    gone = ["_all"] if keep else ["_all", times]
+    hot = told.join(total).where(F.col(times) * HOT > F.col("_all")).drop(*gone)
+    cold = told.join(total).where(F.col(times) * HOT <= F.col("_all")).drop(*gone)
     frequent = rows.join(F.broadcast(hot), key)
-    return frequent.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+    return frequent.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left" if keep else "inner"))
 
 
 def hash_sample(df: DataFrame, by: list[str], number: int, rows: int | None = None) -> DataFrame:

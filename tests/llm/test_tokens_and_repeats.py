@@ -199,3 +199,34 @@ def test_pair_bound_covers_all_pairs():
     left, right = sides()
     assert pair_bound(left.bytes, right.bytes) <= PAIRS_SENT
     assert common_ends([1, 3, 6], [2, 3, 5, 6]) == ([1, 2], [1, 3])
+
+
+@pytest.fixture(scope="module")
+def edited():
+    """(words, share of edited words, text, copy): scattered edits to texts of many lengths, all 0.8 alike or more by alignment."""
+    from attestry.llm.near_text import alignment
+
+    rng, out = np.random.default_rng(11), []
+    for words in (60, 120, 400, 1000, 2000):
+        for share in (0.04, 0.07, 0.09, 0.105):
+            while sum(x[:2] == (words, share) for x in out) < 20:
+                text = [f"w{i}" for i in rng.integers(0, 20_000, words)]
+                copy = list(text)
+                for i in rng.choice(words, int(share * words), replace=False):
+                    copy[i] = f"x{rng.integers(1 << 40)}"
+                if alignment([hash(t) for t in text], [hash(t) for t in copy]) >= 0.8:
+                    out.append((words, share, " ".join(text), " ".join(copy)))
+    return out
+
+
+def test_near_text_recall_of_scattered_edits(spark, edited):
+    """At least 0.9 of the pairs of each length and share of edits are found, each pair for itself."""
+    from attestry.llm.near_text import near_duplicates
+
+    rows = [(2 * i + j, pair[2 + j]) for i, pair in enumerate(edited) for j in (0, 1)]
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cells = {}
+    for i, (words, share, _, _) in enumerate(edited):
+        cells.setdefault((words, share), []).append(found[2 * i + 1] == 2 * i)
+        assert found[2 * i] == 2 * i
+    assert {cell: sum(v) / len(v) for cell, v in cells.items() if sum(v) < 0.9 * len(v)} == {}
