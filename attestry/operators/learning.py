@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.operators.preparation import impute_values, scale_values
+from attestry.operators.statistics import calibration
 from attestry.sources.readers import settled
 
 
@@ -66,24 +67,9 @@ def _predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -30, 30)))
 
 
-def calibration_slopes(df: DataFrame, logit: str, by: str) -> DataFrame:
-    """(by, intercept, slope) of the target on the score's logit; pre-aggregated by score, null where a class is missing."""
-    per = df.groupBy(F.col(by).alias("_by"), F.col(logit).alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum("y").cast("double").alias("_p"))
-
-    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
-        x, n, p = (g[c].to_numpy(float) for c in ("_x", "_n", "_p"))
-        if p.sum() in (0, n.sum()):
-            return pd.DataFrame([(key[0], None, None)], columns=[by, "intercept", "slope"])
-        w = np.array([0.0, 1.0])
-        a = np.column_stack([np.ones(len(x)), x])
-        for _ in range(60):
-            q = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            w = w + np.linalg.lstsq((a.T * (n * q * (1 - q))) @ a, a.T @ (p - n * q), rcond=None)[0]
-        if np.abs(w).max() > 1e3:  # the classes are apart: no finite slope is best
-            return pd.DataFrame([(key[0], None, None)], columns=[by, "intercept", "slope"])
-        return pd.DataFrame([(key[0], round(float(w[0]), 6), round(float(w[1]), 6))], columns=[by, "intercept", "slope"])
-
-    return per.groupBy("_by").applyInPandas(fit, f"{by} string, intercept double, slope double")
+def calibration_slopes(df: DataFrame, logit: str, by: list[str]) -> DataFrame:
+    """(by, intercept, slope) of the target on the score's logit."""
+    return calibration(df, logit, by, True)
 
 
 def design(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,6 @@ ROOT = 20260922
 
 def derive(name: str, n: int) -> list[int]:
     """n seeds for a named experiment; the first ones do not depend on n."""
-    import numpy as np
-
     return [int(x) for x in np.random.SeedSequence([ROOT, zlib.crc32(name.encode())]).generate_state(n) >> 1]
 
 
@@ -65,8 +65,8 @@ def stratified_folds(df: DataFrame, key: str, label: str, seed: Column | int, k:
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("bigint")).drop("_rank")
 
 
-#: Positions that one row of a draw's plan stands for, and positions of a cell of the join.
-_DEAL, _CELL = 8192, 256
+#: Positions that one row of a draw's plan stands for, and positions of a cell of the join: a draw meets the values of its cell.
+_DEAL, _CELL = 8192, 2
 
 
 def bootstrap_weights(df: DataFrame, strata: list[str], values: list[str], draws: int, seed: int, seen: bool = False, times: str | None = None) -> DataFrame:
@@ -96,6 +96,63 @@ def bootstrap_weights(df: DataFrame, strata: list[str], values: list[str], draws
     return every.join(out, ["b", *strata, *values], "left").select("b", *strata, *values, F.coalesce("drawn", zero).alias("drawn"), F.coalesce("seen", zero).alias("seen"), F.col("_n").alias("size"))
 
 
+#: Distinct values of a leaf of the splitting tree, and replicates that a task draws for it.
+LEAF, REPLICATES = 1024, 128
+
+
+def _leaf_total(total: int, sizes: np.ndarray, leaf: int, keys: tuple[int, ...]) -> int:
+    """How many of total draws fall to a leaf: from the root down, each node's draws are split by a binomial that its own hash seeds."""
+    low, high, left = 0, len(sizes), total
+    while high - low > 1 and left:
+        mid = (low + high) // 2
+        here, before = int(sizes[low:high].sum()), int(sizes[low:mid].sum())
+        first = int(np.random.Generator(np.random.Philox(np.random.SeedSequence([*keys, low, high]))).binomial(left, before / here)) if here else 0
+        low, high, left = (low, mid, first) if leaf < mid else (mid, high, left - first)
+    return left
+
+
+def split_weights(df: DataFrame, strata: list[str], values: list[str], draws: int, seed: int, times: str | None = None) -> DataFrame:
+    """(b, strata, values, drawn): what bootstrap_weights gives, by a tree of binomials over the cumulative counts of the distinct values.
+
+    The rows of a stratum are drawn with replacement, as many as it has. A replicate's counts are multinomial: its draws are split
+    between halves of the values, and again, down to leaves of LEAF values, whose counts come from one generator a leaf and replicate. So the cost is
+    distinct values x replicates, whatever the number of rows, and every leaf is a task's own work, seeded by where it is in the tree. Strata with nulls are left out.
+    """
+    rows = F.sum(times) if times else F.count(F.lit(1))
+    counts = df.dropna(subset=strata).groupBy(*strata, *values).agg(rows.cast("bigint").alias("_n")).where("_n > 0")
+    hashed = counts.withColumn("_st", F.xxhash64(*strata) if strata else F.lit(0).cast("bigint")).withColumn("_place", F.xxhash64(*values) if values else F.lit(0).cast("bigint"))
+    sizes = hashed.groupBy("_st").agg(F.count(F.lit(1)).alias("_k"))
+    # Leaves are ranges of the values' hash: about LEAF values each, whatever their distribution.
+    leaves = F.greatest(F.lit(1), F.ceil(F.col("_k") / LEAF)).cast("bigint")
+    placed = hashed.join(F.broadcast(sizes), "_st").withColumn("_leaf", F.floor(F.pmod("_place", F.lit(1 << 40)) * leaves / F.lit(1 << 40)).cast("bigint"))  # a row a stratum
+    tops = placed.groupBy("_st", "_leaf").agg(F.sum("_n").alias("_m"), F.max(leaves).alias("_c"))
+    trees = tops.groupBy("_st").agg(F.max("_c").alias("_c"), F.sort_array(F.collect_list(F.struct("_leaf", "_m"))).alias("_sizes"))  # a leaf is LEAF values
+    types = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
+    parts = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // REPLICATES)))
+
+    def draw(held: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if not len(held):
+            return pd.DataFrame(columns=["b", *strata, *values, "drawn"])
+        leaf, part, sizes_ = int(held["_leaf"].iloc[0]), int(held["_part"].iloc[0]), np.zeros(int(tree["_c"].iloc[0]), np.int64)
+        for x in tree["_sizes"].iloc[0]:
+            sizes_[x["_leaf"]] = x["_m"]
+        held = held.sort_values(["_place", "_n"], kind="stable")
+        n, total, st = held["_n"].to_numpy(np.int64), int(sizes_.sum()), int(held["_st"].iloc[0]) & ((1 << 64) - 1)
+        hits, times_, which = [], [], []
+        for b in range(part * REPLICATES, min(draws, (part + 1) * REPLICATES)):
+            keys = (seed, b, st)
+            left = _leaf_total(total, sizes_, leaf, keys)
+            got = np.random.Generator(np.random.Philox(np.random.SeedSequence([*keys, leaf]))).multinomial(left, n / n.sum())
+            hits.append(np.flatnonzero(got))
+            times_.append(got[hits[-1]])
+            which.append(np.full(len(hits[-1]), b, np.int32))
+        return held[[*strata, *values]].iloc[np.concatenate(hits)].assign(b=np.concatenate(which), drawn=np.concatenate(times_))[["b", *strata, *values, "drawn"]]
+
+    schema = ", ".join(["b int", *[f"`{c}` {types[c]}" for c in (*strata, *values)], "drawn bigint"])
+    spread = trees.join(tops.select("_st", "_leaf"), "_st").select(F.col("_st").alias("_st2"), F.col("_leaf").alias("_leaf2"), "_c", "_sizes", parts.alias("_part2"))
+    return placed.withColumn("_part", parts).groupBy("_st", "_leaf", "_part").cogroup(spread.groupBy("_st2", "_leaf2", "_part2")).applyInPandas(draw, schema)
+
+
 def matched_draw(pool: DataFrame, target: DataFrame, key: str, label: str, seed: int) -> DataFrame:
     """Rows of the pool with the target's number of rows in each class, without replacement."""
     want = target.groupBy(label).agg(F.count(F.lit(1)).alias("want"))
@@ -125,21 +182,6 @@ def normal(seed, *parts: Column) -> Column:
     return F.sqrt(-2 * F.ln(uniform(seed, F.lit("r"), *parts))) * F.cos(F.lit(6.283185307179586) * uniform(seed, F.lit("a"), *parts))
 
 
-def simulate_binormal(spark: SparkSession, n: int, sims: int, shift: float, seed: int, share: float = 0.5) -> DataFrame:
-    """(sim, k, y, score): scores normal with unit variance, their mean higher by shift where y is 1."""
-    rows = spark.range(n * sims).select(F.expr(f"id div {n}").alias("sim"), F.expr(f"id % {n}").alias("k"))
-    y = (F.col("k") < int(n * share)).cast("int")
-    return rows.withColumn("y", y).withColumn("score", F.col("y") * F.lit(shift) + normal(seed, F.col("sim"), F.col("k")))
-
-
-def simulate_logistic(spark: SparkSession, n: int, sims: int, intercept: float, slope: float, seed: int) -> DataFrame:
-    """(sim, k, x, y): y is 1 with chance logistic(intercept + slope x) for a standard normal x."""
-    rows = spark.range(n * sims).select(F.expr(f"id div {n}").alias("sim"), F.expr(f"id % {n}").alias("k"))
-    rows = rows.withColumn("x", normal(seed, F.col("sim"), F.col("k")))
-    chance = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("x"))))
-    return rows.withColumn("y", (uniform(seed, F.lit("y"), F.col("sim"), F.col("k")) < chance).cast("int"))
-
-
 def contamination(df: DataFrame, key: str, group: str, test: DataFrame) -> DataFrame:
     """Share of test rows whose group also has a row outside the test set."""
     inside = df.join(test.select(key), key, "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,27 +11,40 @@ from attestry.functions.scalars import log_factorial, normal_quantile, softplus,
 from attestry.operators.running import renamed, same_keys, sums_before
 
 
+def _groups(by: list[str]) -> list[str]:
+    """Private names of the groups: columns may be called anything."""
+    return [f"g{i}" for i in range(len(by))]
+
+
+def _named(by: list[str]) -> list[Column]:
+    return [F.col(g).alias(c) for g, c in zip(_groups(by), by, strict=True)]
+
+
 def _counted(df: DataFrame, score: str, label: str, by: list[str], weight: str | None = None) -> DataFrame:
-    """(by, score, _p, _q): positives and negatives of each distinct score, summed before the shuffle; rows without a score, or with NaN, go."""
+    """(groups, s, p, q): positives and negatives of each distinct score, summed before the shuffle. Rows without a score, with NaN, or without a label go."""
+    g = _groups(by)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(w)).alias("_q"))
+    slim = df.select(*[F.col(c).alias(x) for c, x in zip(by, g, strict=True)], F.col(score).alias("s"), F.col(label).alias("y"), w.alias("w"))
+    known = slim.where(F.col("s").isNotNull() & ~F.isnan(F.col("s").cast("double")) & F.col("y").isNotNull())
+    return known.groupBy(*g, "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0.0).otherwise(F.col("w"))).alias("q"))
 
 
-def _below(counts: DataFrame, score: str, by: list[str]) -> DataFrame:
-    """Adds _pb and _qb, positives and negatives with a lower score in the group."""
-    return sums_before(counts, by, [score], ["_p", "_q"]).withColumnsRenamed({"before__p": "_pb", "before__q": "_qb"})
+def _below(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Adds pb and qb, positives and negatives with a lower score in the group."""
+    return sums_before(counts, _groups(by), ["s"], ["p", "q"]).withColumnsRenamed({"before_p": "pb", "before_q": "qb"})
 
 
 def auc_by(df: DataFrame, score: str, label: str = "y", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """(by, auc, n, n_pos) with ties averaged; null auc where a class is missing. weight counts a row so many times.
+    """(by, auc, n, n_pos) with ties averaged; null auc where a class is missing. weight counts a row so many times. Rows without a label do not count.
 
     Rows are counted by distinct score first, so what is sorted is the distinct scores, in ranges, not the rows of a group.
     """
     by = by or []
-    placed = _below(_counted(df, score, label, by, weight), score, by)
-    won = F.sum(F.col("_p") * (F.col("_qb") + F.col("_q") / 2))
-    pos, neg = F.sum("_p"), F.sum("_q")
-    return placed.groupBy(*by).agg((won / F.nullif(pos * neg, F.lit(0.0))).alias("auc"), (pos + neg).cast("bigint").alias("n"), pos.cast("bigint").alias("n_pos"))
+    placed = _below(_counted(df, score, label, by, weight), by)
+    won = F.sum(F.col("p") * (F.col("qb") + F.col("q") / 2))
+    pos, neg = F.sum("p"), F.sum("q")
+    out = placed.groupBy(*_groups(by)).agg((won / F.nullif(pos * neg, F.lit(0.0))).alias("auc"), (pos + neg).cast("bigint").alias("n"), pos.cast("bigint").alias("n_pos"))
+    return out.select(*_named(by), "auc", "n", "n_pos")
 
 
 def site_weighted_auc(df: DataFrame, score: str, site: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -49,20 +64,20 @@ def interval(df: DataFrame, value: str, by: list[str] | None = None, level: floa
 
 def delong(df: DataFrame, score: str, by: list[str], level: float = 0.95) -> DataFrame:
     """(by, auc, se, lo, hi) from placements, which are the same for all rows of a score; all null where a class is missing, se and bounds where it has one row."""
-    placed = _below(_counted(df, score, "y", by), score, by)
-    sizes = renamed(placed.groupBy(*by).agg(F.sum("_p").alias("_n1"), F.sum("_q").alias("_n0")), by, "_n1", "_n0")
-    n1, n0 = F.col("_n1"), F.col("_n0")
-    v1, v0 = (F.col("_qb") + F.col("_q") / 2) / F.nullif(n0, F.lit(0.0)), (n1 - F.col("_pb") - F.col("_p") / 2) / F.nullif(n1, F.lit(0.0))
+    g = _groups(by)
+    placed = _below(_counted(df, score, "y", by), by)
+    sizes = renamed(placed.groupBy(*g).agg(F.sum("p").alias("n1"), F.sum("q").alias("n0")), g, "n1", "n0")
+    n1, n0 = F.col("n1"), F.col("n0")
+    v1, v0 = (F.col("qb") + F.col("q") / 2) / F.nullif(n0, F.lit(0.0)), (n1 - F.col("pb") - F.col("p") / 2) / F.nullif(n1, F.lit(0.0))
     # Deviations from a half keep the sums of squares small beside each other.
-    s1, q1 = F.sum(F.col("_p") * (v1 - 0.5)), F.sum(F.col("_p") * (v1 - 0.5) * (v1 - 0.5))
-    s0, q0 = F.sum(F.col("_q") * (v0 - 0.5)), F.sum(F.col("_q") * (v0 - 0.5) * (v0 - 0.5))
-    agg = placed.join(sizes, same_keys(by)).groupBy(*by).agg(F.max("_n1").alias("_n1"), F.max("_n0").alias("_n0"), *[x.alias(k) for k, x in (("_s1", s1), ("_q1", q1), ("_s0", s0), ("_q0", q0))])
+    s1, q1 = F.sum(F.col("p") * (v1 - 0.5)), F.sum(F.col("p") * (v1 - 0.5) * (v1 - 0.5))
+    s0, q0 = F.sum(F.col("q") * (v0 - 0.5)), F.sum(F.col("q") * (v0 - 0.5) * (v0 - 0.5))
+    agg = placed.join(sizes, same_keys(g)).groupBy(*g).agg(F.max("n1").alias("n1"), F.max("n0").alias("n0"), *[x.alias(k) for k, x in (("s1", s1), ("q1", q1), ("s0", s0), ("q0", q0))])
     spread = lambda s, q, n: F.greatest(F.lit(0.0), F.col(q) - F.col(s) * F.col(s) / F.nullif(n, F.lit(0.0))) / F.nullif(n - 1, F.lit(0.0)) / F.nullif(n, F.lit(0.0))
-    defined = (n1 > 0) & (n0 > 0)
-    out = agg.withColumn("_a", F.when(defined, F.col("_s1") / n1 + 0.5)).withColumn("_e", F.when((n1 > 1) & (n0 > 1), F.sqrt(spread("_s1", "_q1", n1) + spread("_s0", "_q0", n0))))
+    out = agg.withColumn("a", F.when((n1 > 0) & (n0 > 0), F.col("s1") / n1 + 0.5)).withColumn("e", F.when((n1 > 1) & (n0 > 1), F.sqrt(spread("s1", "q1", n1) + spread("s0", "q0", n0))))
     z = normal_quantile(0.5 + level / 2)
-    low, high = F.col("_a") - z * F.col("_e"), F.col("_a") + z * F.col("_e")
-    return out.select(*by, F.round("_a", 9).alias("auc"), F.round("_e", 9).alias("se"), F.round(F.when(low.isNotNull(), F.greatest(F.lit(0.0), low)), 9).alias("lo"), F.round(F.when(high.isNotNull(), F.least(F.lit(1.0), high)), 9).alias("hi"))
+    low, high = F.col("a") - z * F.col("e"), F.col("a") + z * F.col("e")
+    return out.select(*_named(by), F.round("a", 9).alias("auc"), F.round("e", 9).alias("se"), F.round(F.when(low.isNotNull(), F.greatest(F.lit(0.0), low)), 9).alias("lo"), F.round(F.when(high.isNotNull(), F.least(F.lit(1.0), high)), 9).alias("hi"))
 
 
 def mcnemar(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -88,11 +103,13 @@ def mcnemar(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
 
 
 def holm(df: DataFrame, p: str, key: str, by: list[str] | None = None) -> DataFrame:
-    """Adds p_holm: step-down adjusted and never falling."""
+    """Adds p_holm: step-down adjusted and never falling. A null p stays null and is no hypothesis."""
     w = Window.partitionBy(*(by or []))
-    up = w.orderBy(p, key)
-    scaled = df.withColumn("_s", (F.count(F.lit(1)).over(w) - F.row_number().over(up) + 1) * F.col(p))
-    return scaled.withColumn("p_holm", F.round(F.least(F.lit(1.0), F.max("_s").over(up.rowsBetween(Window.unboundedPreceding, 0))), 9)).drop("_s")
+    up = w.orderBy(F.col(p).asc_nulls_last(), key)
+    scaled = (F.count(p).over(w) - F.row_number().over(up) + 1) * F.col(p)
+    held = df.select("*", F.struct(scaled.alias("s")).alias("__holm"))
+    most = F.max("__holm.s").over(up.rowsBetween(Window.unboundedPreceding, 0))
+    return held.select(*df.columns, F.when(F.col(p).isNotNull(), F.round(F.least(F.lit(1.0), most), 9)).alias("p_holm"))
 
 
 def corrected_t(df: DataFrame, diff: str, ratio: float, by: list[str] | None = None) -> DataFrame:
@@ -112,31 +129,94 @@ def corrected_t(df: DataFrame, diff: str, ratio: float, by: list[str] | None = N
 
 def youden(df: DataFrame, score: str, by: list[str]) -> DataFrame:
     """(by, threshold, j): the threshold with the largest sensitivity + specificity - 1; of equal ones the smallest. j is null where a class is missing."""
-    placed = _below(_counted(df, score, "y", by), score, by)
-    totals = renamed(placed.groupBy(*by).agg(F.sum("_p").alias("_tp"), F.sum("_q").alias("_tq")), by, "_tp", "_tq")
-    tp, tq = F.col("_tp"), F.col("_tq")
-    j = (tp - F.col("_pb")) / F.nullif(tp, F.lit(0.0)) - (tq - F.col("_qb")) / F.nullif(tq, F.lit(0.0))
-    ranked = placed.join(totals, same_keys(by)).select(*by, F.col(score).cast("double").alias("_s"), F.round(j, 9).alias("_j"))
-    best = ranked.groupBy(*by).agg(F.max(F.struct(F.coalesce("_j", F.lit(-2.0)).alias("j"), (-F.col("_s")).alias("s"))).alias("_x"))
-    return best.select(*by, (-F.col("_x.s")).alias("threshold"), F.when(F.col("_x.j") > -2, F.col("_x.j")).alias("j"))
+    g = _groups(by)
+    placed = _below(_counted(df, score, "y", by), by)
+    totals = renamed(placed.groupBy(*g).agg(F.sum("p").alias("tp"), F.sum("q").alias("tq")), g, "tp", "tq")
+    tp, tq = F.col("tp"), F.col("tq")
+    j = (tp - F.col("pb")) / F.nullif(tp, F.lit(0.0)) - (tq - F.col("qb")) / F.nullif(tq, F.lit(0.0))
+    ranked = placed.join(totals, same_keys(g)).select(*g, F.col("s").cast("double").alias("s"), F.round(j, 9).alias("j"))
+    best = ranked.groupBy(*g).agg(F.max(F.struct(F.coalesce("j", F.lit(-2.0)).alias("j"), (-F.col("s")).alias("s"))).alias("x"))
+    return best.select(*_named(by), (-F.col("x.s")).alias("threshold"), F.when(F.col("x.j") > -2, F.col("x.j")).alias("j"))
 
 
-def calibration_intercept(df: DataFrame, logit: str, by: list[str], steps: int = 30) -> DataFrame:
-    """Newton for a in p = logistic(a + logit); null where a class is missing, as no finite a is best there.
+#: A slope or intercept beyond this means that no finite one is best.
+_FAR = 1e3
 
-    Scores are pre-aggregated, so a group carries its distinct logits only.
-    """
-    per = df.groupBy(*by, logit).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum("y").cast("double").alias("_p"))
-    rows = per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(logit).alias("x"), F.col("_n").alias("n"), F.col("_p").alias("p")))).alias("_rows"), F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
 
-    def step(a: Column, _: Column) -> Column:
-        q = lambda r: 1 / (1 + F.exp(-(a + r["x"])))
-        g = F.aggregate("_rows", F.lit(0.0), lambda s, r: s + r["p"] - r["n"] * q(r))
-        h = F.aggregate("_rows", F.lit(0.0), lambda s, r: s + r["n"] * q(r) * (1 - q(r)))
-        return a + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.coalesce(F.try_divide(g, h), F.lit(0.0))))
+def calibration(df: DataFrame, logit: str, by: list[str], slope: bool, steps: int = 60) -> DataFrame:
+    """(by, intercept[, slope]) of p = logistic(a + b logit), with b 1 where no slope is asked for; null where a class is missing or no finite fit is best.
 
-    both = (F.col("_tp") > 0) & (F.col("_tp") < F.col("_tn"))
-    return rows.select(*by, F.when(both, F.round(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step), 6)).alias("intercept"))
+    Newton steps for all groups at once: each is one aggregate of a few sums a group over the distinct logits, and groups that have settled leave. A
+    step that raises the loss is halved. What reaches the driver is a row a group. Rows without a logit or a label do not count.
+    """
+    from attestry.sources.readers import settled
+
+    g, spark = _groups(by), df.sparkSession
+    per = settled(_counted(df, logit, "y", by).withColumn("n", F.col("p") + F.col("q")).drop("q"))
+    found: dict[tuple, tuple] = {}
+    sized = per.groupBy(*g).agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"), F.max(F.when(F.col("p") < F.col("n"), F.col("s"))).alias("neg_hi"), F.min(F.when(F.col("p") > 0, F.col("s"))).alias("pos_lo"), F.min(F.when(F.col("p") < F.col("n"), F.col("s"))).alias("neg_lo"), F.max(F.when(F.col("p") > 0, F.col("s"))).alias("pos_hi"))
+    open_: dict[tuple, dict] = {}
+    for r in sized.collect():
+        key = tuple(r[c] for c in g)
+        apart = slope and r.tp and r.tp < r.tn and (r.pos_lo >= r.neg_hi or r.neg_lo >= r.pos_hi)
+        if not r.tp or r.tp == r.tn or apart:
+            found[key] = (None, None)
+        else:
+            open_[key] = {"at": (0.0, 1.0), "loss": float("inf"), "step": (0.0, 0.0), "last": (0.0, 1.0)}
+    types = dict(per.dtypes)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in g], "a double", "b double"])
+    for _ in range(steps):
+        if not open_:
+            break
+        table = spark.createDataFrame([(*k, *map(float, v["at"])) for k, v in open_.items()], schema)
+        met = per.join(F.broadcast(renamed(table, g, "a", "b")), same_keys(g))  # a row a group
+        eta = F.col("a") + F.col("b") * F.col("s")
+        q = 1 / (1 + F.exp(-eta))
+        x, w, d = F.col("s"), F.col("n") * q * (1 - q), F.col("p") - F.col("n") * q
+        sums = {"d0": d, "d1": d * x, "h00": w, "h01": w * x, "h11": w * x * x, "loss": F.col("n") * softplus(eta) - F.col("p") * eta}
+        for r in met.groupBy(*g).agg(*[F.sum(v).alias(k) for k, v in sums.items()]).collect():
+            key = tuple(r[c] for c in g)
+            state = open_[key]
+            if r.loss > state["loss"] + 1e-9 * abs(state["loss"]):
+                state["step"] = tuple(v / 2 for v in state["step"])
+                state["at"] = tuple(l + v for l, v in zip(state["last"], state["step"], strict=True))
+                if max(map(abs, state["step"])) < 1e-12:
+                    found[key] = state["last"]
+                    del open_[key]
+                continue
+            det = r.h00 * r.h11 - r.h01 * r.h01
+            if slope and det > 1e-12 * max(r.h00 * r.h11, 1e-300):
+                step = ((r.h11 * r.d0 - r.h01 * r.d1) / det, (r.h00 * r.d1 - r.h01 * r.d0) / det)
+            else:
+                step = (r.d0 / max(r.h00, 1e-12), 0.0)
+            step = tuple(max(-2.0, min(2.0, v)) for v in step)
+            state.update(loss=r.loss, last=state["at"], step=step)
+            state["at"] = tuple(l + v for l, v in zip(state["last"], step, strict=True))
+            if max(map(abs, step)) < 1e-10 or max(map(abs, state["at"])) > _FAR:
+                found[key] = state["at"] if max(map(abs, state["at"])) <= _FAR else (None, None)
+                del open_[key]
+    found |= {k: v["at"] for k, v in open_.items()}
+    rows = [(*k, *[None if v is None else round(v, 6) + 0.0 for v in ab]) for k, ab in found.items()]
+    return spark.createDataFrame(rows, schema).select(*_named(by), F.col("a").alias("intercept"), *([F.col("b").alias("slope")] if slope else []))
+
+
+def calibration_intercept(df: DataFrame, logit: str, by: list[str]) -> DataFrame:
+    """(by, intercept) with the score as an offset."""
+    return calibration(df, logit, by, False)
+
+
+def binomial_gate(df: DataFrame, n: str, q: float, p: float) -> DataFrame:
+    """Adds required: the q-quantile of a binomial with column n trials and chance p. Only terms within ten deviations of the mean are summed."""
+    mean, reach = F.col(n) * F.lit(p), F.ceil(10 * F.sqrt(F.col(n) * F.lit(p * (1 - p)))) + 10
+    low = F.greatest(F.lit(0), F.floor(mean - reach)).cast("bigint")
+    term = lambda k: F.exp(log_factorial(F.col(n)) - log_factorial(k) - log_factorial(F.col(n) - k) + k * math.log(p) + (F.col(n) - k) * math.log(1 - p))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("bigint").alias("k"))
+
+    def step(s: Column, k: Column) -> Column:
+        total = s["sum"] + term(k)
+        return F.struct(total.alias("sum"), F.coalesce(s["k"], F.when(total >= q - 1e-12, k)).alias("k"))
+
+    return df.withColumn("required", F.aggregate(F.sequence(low, F.col(n).cast("bigint")), start, step)["k"])
 
 
 def balanced_accuracy(df: DataFrame, score: str, threshold: Column, by: list[str]) -> DataFrame:

@@ -1,339 +1,201 @@
-"""Experiments that fit many models on one study frame: a seed, a fold or a shuffle is a row of work, fitted in a task.
+"""Experiments over many fitted models: seed sweeps, and the nested baseline with its grids searched inside.
 
-The frame travels with the tasks, so it is bounded by STUDY_ROWS rows. For larger frames the sweep is fitted from sums over all rows
-(sweep_by_sums), and the nested search by Spark ML (learning.nested_search).
+Both are lists of runs that the learners of sums fit together; k-nearest neighbours go by nearest. What comes back are scores in long
+form, and only the grid points' mean AUCs, a few numbers a fold, reach the driver.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
-from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.operators.learning import newton_logit
-from attestry.operators.sampling import hash_split
+from attestry.operators.nearest import nearest_rows, vote
+from attestry.operators.sampling import permute, stratified_folds
+from attestry.operators.statistics import auc_by, youden
+from attestry.operators.sums import LEARNERS, SCORES, Blocks, design_rows, pack_rows, scored
+from attestry.sources.readers import settled
 
-STUDY_ROWS = 200_000
 #: Grids of the honest baseline, fixed before any result.
 GRIDS: dict[str, list[dict]] = {
     "logistic_regression": [{"c": c} for c in (0.01, 0.1, 1.0, 10.0)],
     "knn": [{"k": k, "weights": w} for k in (5, 15, 31, 51) for w in ("uniform", "distance")],
-    "boosted_trees": [{"depth": d, "trees": t, "rate": r} for d in (2, 3, 4) for t in (20, 60) for r in (0.05, 0.1)],
-    "mlp": [{"layers": h, "alpha": a} for h in ((16,), (32,), (16, 16)) for a in (1e-4, 1e-2)],
+    "boosted_trees": [{"depth": d, "trees": t, "rate": r} for d in (2, 3, 4) for t in (100, 300) for r in (0.05, 0.1)],
+    "mlp": [{"layers": list(h), "alpha": a} for h in ((16,), (32,), (16, 16)) for a in (1e-4, 1e-2)],
 }
+#: The arms: A keeps a flag for each column that can be missing, B drops those and the column that marks the site even when filled.
+ARMS: dict[str, tuple[list[str], list[str]]] = {"A": (["n_chars", "nsp", "slope"], ["nsp", "slope"]), "B": (["n_chars", "slope"], [])}
+#: Learners whose trees send missing values themselves.
+NATIVE = ("boosted_trees", "random_forest", "decision_tree")
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
+def numbered(df: DataFrame, column: str, out: str) -> tuple[DataFrame, list]:
+    """Adds the place of a column's value among its distinct values, which are few by contract; -1 for null."""
+    values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+    table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"_v {dict(df.dtypes)[column]}, {out} bigint")
+    joined = df.join(F.broadcast(table), F.col(column) == F.col("_v"), "left").drop("_v")
+    return joined.withColumn(out, F.coalesce(out, F.lit(-1).cast("bigint"))), values
 
-def logistic(x, y, seed, c=1.0) -> Callable:
-    w = newton_logit(x, y, 1 / c)
-    return lambda z: _sigmoid(np.column_stack([z, np.ones(len(z))]) @ w)
 
+def seed_runs(seeds: list[int], columns: list[str], **more) -> list[dict]:
+    """A run a seed: a fifth of the rows is tested, chosen by the seed."""
+    return [{"split": s, "columns": columns, **more} for s in seeds]
 
-def knn(x, y, seed, k=5, weights="uniform") -> Callable:
-    """Share of positives among the k nearest, or their share by inverse distance; an exact match then decides alone."""
 
-    def score(z: np.ndarray) -> np.ndarray:
-        out = np.empty(len(z))
-        for s in range(0, len(z), 256):
-            d = ((z[s : s + 256, None, :] - x[None]) ** 2).sum(2)
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dist = np.sqrt(np.take_along_axis(d, near, 1))
-            with np.errstate(divide="ignore"):
-                w = np.ones_like(dist) if weights == "uniform" else 1 / dist
-            same = np.isinf(w).any(1)
-            w[same] = np.isinf(w[same])
-            out[s : s + 256] = (w * y[near]).sum(1) / w.sum(1)
+def run_scores(blocks: Blocks, runs: list[dict], model: str, parts: tuple[int, ...] = (1,), per_task: int = 16) -> DataFrame:
+    """(run, part, key, y, score) of the runs by a model of LEARNERS, or by knn with k and weights of the run."""
+    if model != "knn":
+        return scored(blocks, runs, LEARNERS[model], parts, per_task)
+    # Runs that differ only in k and weights share their neighbours.
+    base = [json.dumps({k: v for k, v in r.items() if k not in ("k", "weights")}, sort_keys=True) for r in runs]
+    first = {b: i for i, b in enumerate(dict.fromkeys(base))}
+    out = blocks.frame.sparkSession.createDataFrame([], SCORES)
+    if not runs:
         return out
+    rows = settled(design_rows(blocks, [json.loads(b) for b in first]))
+    ks, weights = sorted({r["k"] for r in runs}), sorted({r["weights"] for r in runs})
+    told = blocks.frame.sparkSession.createDataFrame([(i, first[b], r["k"], r["weights"]) for i, (b, r) in enumerate(zip(base, runs, strict=True))], "_run int, run int, k int, weights string")
+    for part in parts:
+        asked = rows if part else rows.withColumn("test", F.col("train"))
+        votes = vote(nearest_rows(asked, max(ks)), ks, tuple(weights))
+        mine = votes.join(F.broadcast(told), ["run", "k", "weights"])  # a row a run
+        out = out.unionByName(mine.select(F.col("_run").alias("run"), F.lit(part).alias("part"), "key", "y", "score"))
+    return out
 
-    return score
-
-
-def boosted(x, y, seed, depth=3, trees=60, rate=0.1, bins=24) -> Callable:
-    """Logistic boosting of depth-limited trees over quantile bins; a missing value goes the way that gains more."""
-    cuts = [np.unique(np.nanquantile(c, np.linspace(0, 1, bins)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
-    code = lambda z: np.stack([np.where(np.isnan(c), -1, np.searchsorted(q, c, side="right")) for q, c in zip(cuts, z.T, strict=True)], 1)
-    b, f, made = code(x), np.zeros(len(y)), []
-
-    def grow(rows, g, h, level):
-        value = g[rows].sum() / (h[rows].sum() + 1)
-        if level == depth or len(rows) < 10:
-            return value
-        best = (1e-6, None)
-        base = g[rows].sum() ** 2 / (h[rows].sum() + 1)
-        for j, q in enumerate(cuts):
-            n = len(q) + 2
-            gs, hs = np.bincount(b[rows, j] + 1, g[rows], n), np.bincount(b[rows, j] + 1, h[rows], n)
-            gl, hl = np.cumsum(gs[1:])[:-1], np.cumsum(hs[1:])[:-1]
-            for lost in (True, False):
-                left_g, left_h = (gl + gs[0], hl + hs[0]) if lost else (gl, hl)
-                gain = left_g**2 / (left_h + 1) + (g[rows].sum() - left_g) ** 2 / (h[rows].sum() - left_h + 1) - base
-                if len(gain) and gain.max() > best[0]:
-                    best = (gain.max(), (j, int(gain.argmax()), lost))
-        if best[1] is None:
-            return value
-        j, at, lost = best[1]
-        go = np.where(b[rows, j] < 0, lost, b[rows, j] <= at)
-        return (j, at, lost, grow(rows[go], g, h, level + 1), grow(rows[~go], g, h, level + 1))
-
-    def read(tree, c):
-        if not isinstance(tree, tuple):
-            return np.full(len(c), tree)
-        j, at, lost, a, z = tree
-        return np.where(np.where(c[:, j] < 0, lost, c[:, j] <= at), read(a, c), read(z, c))
-
-    for _ in range(trees):
-        p = _sigmoid(f)
-        tree = grow(np.arange(len(y)), y - p, p * (1 - p), 0)
-        made.append(tree)
-        f = f + rate * read(tree, b)
-    return lambda z: _sigmoid(rate * sum(read(t, c) for c in [code(z)] for t in made))
-
-
-def mlp(x, y, seed, layers=(16,), alpha=1e-4, steps=200) -> Callable:
-    """A small network of rectified units by Adam over all rows; stops when a tenth held aside does not gain for 20 steps."""
-    rng = np.random.default_rng(seed)
-    sizes = [x.shape[1], *layers, 1]
-    w = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:], strict=False)]
-    c = [np.zeros(b) for b in sizes[1:]]
-    aside = np.arange(len(y)) % 10 == 0
-    m = [np.zeros_like(v) for v in (*w, *c)]
-    v2 = [np.zeros_like(v) for v in (*w, *c)]
-
-    def forward(z):
-        acts = [z]
-        for i, (a, b) in enumerate(zip(w, c, strict=True)):
-            z = acts[-1] @ a + b
-            acts.append(np.maximum(0, z) if i + 1 < len(w) else z)
-        return acts
-
-    best, since, kept = np.inf, 0, None
-    for t in range(1, steps + 1):
-        acts = forward(x[~aside])
-        d = (_sigmoid(acts[-1][:, 0]) - y[~aside])[:, None] / max(1, (~aside).sum())
-        grads_w, grads_c = [], []
-        for i in range(len(w) - 1, -1, -1):
-            grads_w.append(acts[i].T @ d + alpha * w[i] / len(y))
-            grads_c.append(d.sum(0))
-            d = (d @ w[i].T) * (acts[i] > 0)
-        for i, (v, g) in enumerate(zip((*w, *c), (*grads_w[::-1], *grads_c[::-1]), strict=True)):
-            m[i], v2[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v2[i] + 0.001 * g * g
-            v -= 0.02 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v2[i] / (1 - 0.999**t)) + 1e-8)
-        if aside.any():
-            p = np.clip(_sigmoid(forward(x[aside])[-1][:, 0]), 1e-9, 1 - 1e-9)
-            loss = -(y[aside] * np.log(p) + (1 - y[aside]) * np.log(1 - p)).mean()
-            if loss < best - 1e-5:
-                best, since, kept = loss, 0, [a.copy() for a in (*w, *c)]
-            elif (since := since + 1) >= 20:
-                break
-    if kept is not None:
-        w[:], c[:] = kept[: len(w)], kept[len(w) :]
-    return lambda z: _sigmoid(forward(z)[-1][:, 0])
-
-
-LEARNERS = {"logistic_regression": logistic, "knn": knn, "boosted_trees": boosted, "mlp": mlp}
-
-
-def auc(y: np.ndarray, s: np.ndarray) -> float:
-    """Ties averaged; nan where a class is missing."""
-    _, at, n = np.unique(s, return_inverse=True, return_counts=True)
-    rank = (np.cumsum(n) - (n - 1) / 2)[at]
-    pos, neg = y.sum(), len(y) - y.sum()
-    return float((rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * neg)) if pos and neg else float("nan")
-
-
-def youden_cut(y: np.ndarray, s: np.ndarray) -> float:
-    """The threshold with the largest sensitivity + specificity - 1, the smallest of equal ones."""
-    values = np.unique(s)
-    j = [((s >= t) & (y == 1)).sum() / max(1, (y == 1).sum()) - ((s >= t) & (y == 0)).sum() / max(1, (y == 0).sum()) for t in values]
-    return float(values[int(np.argmax(np.round(j, 12)))]) if len(values) else 0.5
-
-
-class Design:
-    """Imputes by the median, scales by mean and population deviation, codes categories; all learned from the rows it is made of.
-
-    A column without any value is 0, a constant one is only centred, a level that was not seen is zero in every column.
-    With missing "native", nulls stay for learners that can use them.
-    """
 
-    def __init__(self, frame: pd.DataFrame, numeric: list[str], categories: list[str], flags: list[str], missing: str = "median", scale_rows: pd.DataFrame | None = None):
-        self.numeric, self.flags, self.missing = numeric, flags, missing
-        self.middle = {c: (frame[c].median() if frame[c].notna().any() else 0.0) for c in numeric}
-        base = frame if scale_rows is None else scale_rows
-        filled = np.column_stack([base[c].fillna(self.middle[c]).to_numpy(float) for c in numeric]) if numeric else np.zeros((len(base), 0))
-        self.mean, sd = filled.mean(0), filled.std(0)
-        self.sd = np.where(sd == 0, 1, sd)
-        self.levels = {c: sorted(frame[c].dropna().unique()) for c in categories}
-
-    def __call__(self, frame: pd.DataFrame) -> np.ndarray:
-        parts = []
-        for i, c in enumerate(self.numeric):
-            v = frame[c].to_numpy(float) if self.missing == "native" else frame[c].fillna(self.middle[c]).to_numpy(float)
-            parts.append((v - self.mean[i]) / self.sd[i])
-        parts += [frame[c].isna().to_numpy(float) for c in self.flags]
-        parts += [(frame[c] == level).to_numpy(float) for c, levels in self.levels.items() for level in levels]
-        return np.column_stack(parts) if parts else np.zeros((len(frame), 0))
+def told_runs(df: DataFrame, runs: list[dict], columns: dict[str, str]) -> DataFrame:
+    """Joins each row with chosen fields of its run; columns gives their types. A row a run is sent to all tasks."""
+    rows = [(i, *[r.get(c) for c in columns]) for i, r in enumerate(runs)]
+    schema = ", ".join(["run int", *[f"{c} {t}" for c, t in columns.items()]])
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), "run").drop("run")
 
 
-#: The arms: A keeps a flag for each column that can be missing, B drops those and the column that marks the site even when filled.
-ARMS = {"A": (["n_chars", "nsp", "slope"], ["nsp", "slope"]), "B": (["n_chars", "slope"], [])}
+def accuracy_by(scores: DataFrame, by: list[str], label: str = "y") -> DataFrame:
+    """(by, accuracy, majority, n) at a half."""
+    hit, y = ((F.col("score") >= 0.5).cast("int") == F.col(label)).cast("double"), F.avg(F.col(label).cast("double"))
+    return scores.groupBy(*by).agg(F.avg(hit).alias("accuracy"), F.greatest(y, 1 - y).alias("majority"), F.count(F.lit(1)).alias("n"))
 
 
-def study_frame(df: DataFrame, columns: list[str]) -> pd.DataFrame:
-    """The frame on the driver, in order of rid; more rows than STUDY_ROWS are refused, see the module's docstring."""
-    rows = df.select(*columns).limit(STUDY_ROWS + 1).toPandas()
-    if len(rows) > STUDY_ROWS:
-        raise ValueError(f"more than {STUDY_ROWS} rows: use sweep_by_sums or learning.nested_search")
-    return rows.sort_values("rid", kind="stable").reset_index(drop=True)
+def sweep(blocks: Blocks, seeds: list[int], columns: list[str], model: str = "random_forest", per_task: int = 16, **more) -> DataFrame:
+    """(seed, accuracy, majority, n): the model on an exact 80/20 split for each seed."""
+    runs = seed_runs(seeds, columns, **more)
+    return accuracy_by(told_runs(run_scores(blocks, runs, model, per_task=per_task), runs, {"split": "bigint"}), ["split"]).withColumnRenamed("split", "seed")
 
 
-def _tasks(df: DataFrame, work: list[tuple], schema: str, run: Callable[[tuple], pd.DataFrame]) -> DataFrame:
-    """One row of work after another, each in a task of its own."""
-    spark = df.sparkSession
-    frame = spark.createDataFrame([(i, json.dumps(w)) for i, w in enumerate(work)], "i int, work string").repartition(max(1, len(work)), "i")
+def with_groups(df: DataFrame, group: str, key: str = "rid") -> DataFrame:
+    """Adds the codes that a grouped split needs: group_code, a hash of the group, and head, 1 for the group's first row by key. Null groups are one group."""
+    first = df.groupBy(F.xxhash64(group).alias("group_code")).agg(F.min(key).alias("_first"))
+    return df.withColumn("group_code", F.xxhash64(group)).join(first, "group_code").withColumn("head", (F.col(key) == F.col("_first")).cast("int")).drop("_first")
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for one in batch["work"]:
-                yield run(json.loads(one))
 
-    return frame.mapInPandas(go, schema)
+def with_folds(df: DataFrame, k: int, seeds: list[int], key: str = "rid", label: str = "y") -> DataFrame:
+    """Adds fold0, fold1, ...: stratified folds for each seed."""
+    for i, seed in enumerate(seeds):
+        df = stratified_folds(df, key, label, seed, k).withColumnRenamed("fold", f"fold{i}")
+    return df
 
 
-def split_hash(seed: int, keys: np.ndarray) -> np.ndarray:
-    """The hash that hash_split ranks by."""
-    return np.array([int(hashlib.md5(f"{seed}:split:{k}".encode()).hexdigest()[:8], 16) for k in keys], np.int64)
+def with_shuffles(df: DataFrame, shuffles: int, seed: int, key: str = "rid", label: str = "y") -> DataFrame:
+    """Adds label0, label1, ...: the labels dealt anew, each shuffle over all rows."""
+    long = df.select(key, label, F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))).alias("_s"))
+    dealt = permute(long, key, label, F.col("_s") + F.lit(seed), ["_s"])
+    wide = dealt.groupBy(key).pivot("_s", list(range(shuffles))).agg(F.first(label))
+    return df.join(wide.select(key, *[F.col(str(i)).alias(f"label{i}") for i in range(shuffles)]), key)
 
 
-def run_seeds(df: DataFrame, seeds: list[int], numeric: list[str], scale_scopes: tuple[str, ...] = ("train",), impute_scopes: tuple[str, ...] = ("train",), models: tuple[str, ...] = ("logistic_regression",), group: str | None = None, without: dict[str, list[int]] | None = None, per_task: int = 25) -> DataFrame:
-    """(arm, seed, model, scale_scope, impute_scope, accuracy, majority, hits): each model on an exact 80/20 split of the rows, or of whole groups, for each seed.
+def baseline_blocks(df: DataFrame, folds: int = 0, fold_seeds: list[int] | None = None, shuffles: int = 0, seed: int = 0) -> tuple[Blocks, list]:
+    """The rows of the nested baseline, packed with their site, folds and shuffled labels; and the sites in order of their codes."""
+    rows, sites = numbered(df, "site", "site_code")
+    codes = ["site_code"]
+    if fold_seeds:
+        rows, codes = with_folds(rows, folds, fold_seeds), [*codes, *[f"fold{i}" for i in range(len(fold_seeds))]]
+    if shuffles:
+        rows, codes = with_shuffles(rows, shuffles, seed), [*codes, *[f"label{i}" for i in range(shuffles)]]
+    return pack_rows(rows, sorted({c for a in ARMS.values() for c in a[0]}), codes), sites
 
-    The split is hash_split's. Scopes say whether statistics come from all rows or from the training rows; nulls are imputed by the median, or stay
-    with the scope native, for boosted trees. without names arms, each with the rids that it leaves out; there is one arm, full, if it is not given.
-    hits has a 1 for each test row, in order of rid, that is predicted right.
-    """
-    whole = study_frame(df, ["rid", "y", *numeric, *([group] if group else [])])
-    names = ["arm", "seed", "model", "scale_scope", "impute_scope", "accuracy", "majority", "hits"]
-
-    def run(task: list) -> pd.DataFrame:
-        arm, part, gone = task
-        frame = whole[~whole["rid"].isin(gone)] if gone else whole
-        y, ids = frame["y"].to_numpy(float), frame["rid" if group is None else group].to_numpy()
-        units = ids if group is None else np.array(sorted(frame[group].unique()))
-        out = []
-        for seed in part:
-            first = units[np.lexsort((units, split_hash(seed, units)))][: -(-len(units) // 5)]
-            inside = np.isin(ids, first)
-            train, test = frame[~inside], frame[inside]
-            for impute in impute_scopes:
-                for scale in scale_scopes:
-                    design = Design(frame if impute == "full" else train, numeric, [], [], "native" if impute == "native" else "median", frame if scale == "full" else train)
-                    for model in models:
-                        p = LEARNERS[model](design(train), y[~inside], seed)(design(test))
-                        hit = (p >= 0.5) == (y[inside] == 1)
-                        share = y[inside].mean()
-                        out.append((arm, seed, model, scale, impute, float(hit.mean()), float(max(share, 1 - share)), "".join(map(str, hit.astype(int)))))
-        return pd.DataFrame(out, columns=names)
-
-    arms = without if without is not None else {"full": []}
-    work = [(arm, seeds[i : i + per_task], gone) for arm, gone in arms.items() for i in range(0, len(seeds), per_task)]
-    return _tasks(df, work, "arm string, seed bigint, model string, scale_scope string, impute_scope string, accuracy double, majority double, hits string", run)
-
-
-def sweep_by_sums(df: DataFrame, seeds: list[int], numeric: list[str], steps: int = 12, penalty: float = 1.0) -> DataFrame:
-    """(seed, accuracy) of run_seeds' logistic regression with training scopes, for frames of any size.
-
-    Each Newton step is one aggregate over all rows and seeds; only the sums of a seed, a few numbers, reach the driver. Columns may not hold nulls.
-    """
-    spark, d = df.sparkSession, len(numeric) + 1
-    rows = df.select("rid", F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in numeric]).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    split = hash_split(rows, "rid", F.col("seed"), ["seed"]).persist()
-    train = split.where("not is_test")
-    told = train.groupBy("seed").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(numeric)]).collect()
-    stats = {r.seed: ([r[f"m{i}"] for i in range(d - 1)], [r[f"s{i}"] or 1.0 for i in range(d - 1)]) for r in told}
-    w = {s: np.zeros(d) for s in stats}
-
-    def scored(part: DataFrame) -> DataFrame:
-        table = spark.createDataFrame([(int(s), [float(v) for v in stats[s][0]], [float(v) for v in stats[s][1]], [float(v) for v in w[s]]) for s in stats], "seed bigint, m array<double>, s array<double>, w array<double>")
-        x = [(F.col(c) - F.col("m")[i]) / F.col("s")[i] for i, c in enumerate(numeric)] + [F.lit(1.0)]
-        eta = sum((x[i] * F.col("w")[i] for i in range(1, d)), x[0] * F.col("w")[0])
-        return part.withColumn("seed", F.col("seed").cast("bigint")).join(F.broadcast(table), "seed").select("seed", "y", F.array(*x).alias("x"), (1 / (1 + F.exp(-eta))).alias("p"))  # a row a seed
-
-    for _ in range(steps):
-        x = F.col("x")
-        sums = [F.sum((F.col("y") - F.col("p")) * x[i]).alias(f"g{i}") for i in range(d)] + [F.sum(F.col("p") * (1 - F.col("p")) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
-        ridge, moved = np.diag([penalty] * (d - 1) + [1e-9]), 0.0
-        for r in scored(train).groupBy("seed").agg(*sums).collect():
-            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-            step = np.clip(np.linalg.solve(h + ridge, np.array([r[f"g{i}"] for i in range(d)]) - ridge @ w[r.seed]), -5, 5)
-            w[r.seed], moved = w[r.seed] + step, max(moved, float(np.abs(step).max()))
-        if moved < 1e-9:
-            break
-    out = scored(split.where("is_test")).groupBy("seed").agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy")).collect()
-    split.unpersist()
-    return spark.createDataFrame([(r.seed, r.accuracy) for r in out], "seed bigint, accuracy double")
-
-
-def nested(df: DataFrame, arms: tuple[str, ...], models: dict[str, list[dict]], schemes: dict[str, dict[int, list[int]]] | None, seed: int, shuffles: int = 0) -> DataFrame:
-    """(arm, model, scheme, fold, shuffle, rid, site, y, score, best, threshold): out-of-fold scores with the grid searched inside.
-
-    For every arm, model and outer fold the point of the grid with the best mean AUC over inner folds that leave one site out is
-    fitted on all training rows, first on ties. threshold is Youden's on the training rows. The scheme loso leaves one site out; others come
-    as {name: {fold: test rids}}. With shuffles, the labels are permuted so many times, each a run of its own.
+
+FIELDS = {"arm_": "string", "model": "string", "scheme": "string", "fold": "bigint", "shuffle": "bigint"}
+
+
+def nested(blocks: Blocks, sites: list, arms: tuple[str, ...], models: dict[str, list[dict]], schemes: dict[str, tuple[str, list[int]]], seed: int = 0, shuffles: int = 0, per_task: int = 16) -> DataFrame:
+    """(arm, model, scheme, fold, shuffle, rid, y, score, best, threshold): out-of-fold scores with the grid searched inside.
+
+    schemes name a code column and its folds; loso is the site's. For every arm, model, fold and shuffle the grid point with the best mean AUC over inner folds
+    that leave one site out is fitted on all training rows, first on ties; inner folds of one class are left out. All inner fits of a model share
+    their passes, and so do all outer ones. threshold is Youden's on the training rows.
     """
-    names = sorted({c for a in arms for c in ARMS[a][0]})
-    frame = study_frame(df, ["rid", "site", "y", *names])
-    sites, rids = frame["site"].to_numpy(), frame["rid"].to_numpy()
-    folds = {"loso": {i: rids[sites == s].tolist() for i, s in enumerate(sorted(set(sites)))}} if schemes is None else schemes
-
-    def run(task: list) -> pd.DataFrame:
-        arm, model, scheme, fold, shuffle = task
-        y = frame["y"].to_numpy(float)
-        if shuffles:
-            y = np.random.default_rng(seed + shuffle).permutation(y)
-        numeric, flags = ARMS[arm]
-        missing = "native" if model == "boosted_trees" else "median"
-        inside = np.isin(rids, folds[scheme][fold])
-        train = np.flatnonzero(~inside)
-        inner = sorted(set(sites[train]))
-        grid, means = models[model], []
-        for point in grid:
-            got = []
-            for s in inner if len(grid) > 1 else ():
-                fit_rows, try_rows = train[sites[train] != s], train[sites[train] == s]
-                if not len(fit_rows) or len(set(y[fit_rows])) < 2:
-                    continue
-                design = Design(frame.iloc[fit_rows], numeric, [], flags, missing)
-                got.append(auc(y[try_rows], LEARNERS[model](design(frame.iloc[fit_rows]), y[fit_rows], seed, **point)(design(frame.iloc[try_rows]))))
-            got = [g for g in got if g == g]
-            means.append(np.mean(got) if got else 0.0)
-        point = grid[int(np.argmax(np.round(means, 12)))]
-        design = Design(frame.iloc[train], numeric, [], flags, missing)
-        fitted = LEARNERS[model](design(frame.iloc[train]), y[train], seed, **point)
-        cut = youden_cut(y[train], fitted(design(frame.iloc[train])))
-        out = pd.DataFrame({"rid": rids[inside], "site": sites[inside], "y": y[inside].astype(int), "score": fitted(design(frame[inside]))})
-        return out.assign(arm=arm, model=model, scheme=scheme, fold=fold, shuffle=shuffle, best=json.dumps(point), threshold=cut)[["arm", "model", "scheme", "fold", "shuffle", "rid", "site", "y", "score", "best", "threshold"]]
-
-    work = [(a, m, s, f, k) for a in arms for m in models for s in folds for f in folds[s] for k in range(max(1, shuffles))]
-    return _tasks(df, work, "arm string, model string, scheme string, fold bigint, shuffle bigint, rid bigint, site string, y int, score double, best string, threshold double", run)
-
-
-def stratified_fold_ids(df: DataFrame, k: int, repeats: int, seed: int) -> dict[str, dict[int, list[int]]]:
-    """{repeat<r>: {fold: rids}} of repeated stratified folds, for nested; the frame is a study frame."""
-    ranked = df.select("rid", "y", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r"))
-    from attestry.operators.sampling import stratified_folds
-
-    rows = stratified_folds(ranked, "rid", "y", F.col("r") + seed % 1000, k, ["r"]).select("rid", "r", "fold").collect()
-    out: dict[str, dict[int, list[int]]] = {}
-    for row in sorted(rows, key=lambda v: (v.r, v.fold, v.rid)):
-        out.setdefault(f"repeat{row.r}", {}).setdefault(int(row.fold), []).append(row.rid)
-    return out
+    out = []
+    for model, grid in models.items():
+        outer = [
+            {"columns": ARMS[a][0], "flags": ARMS[a][1], "arm_": a, "model": model, "scheme": s, "fold": f, "shuffle": k, "seed": seed, "code": c, **({"impute": "native"} if model in NATIVE else {}), **({"label": f"label{k}"} if shuffles else {})}
+            for a in arms for s, (c, folds) in schemes.items() for f in folds for k in range(max(1, shuffles))
+        ]
+        inner, of = [], []
+        for o, run in enumerate(outer if len(grid) > 1 else []):
+            left = [s for s in range(len(sites)) if (run["code"], s) != ("site_code", run["fold"])]
+            for p, point in enumerate(grid):
+                for s in left:
+                    inner.append({**run, **point, "train_not": [[run["code"], run["fold"]], ["site_code", s]], "test_is": [["site_code", s]], "test_not": [[run["code"], run["fold"]]]})
+                    of.append({"outer": o, "point": p})
+        best = [0] * len(outer)
+        if inner:
+            scores = run_scores(blocks, inner, model, per_task=per_task)
+            told = told_runs(auc_by(scores, "score", by=["run"]), of, {"outer": "int", "point": "int"})
+            means: dict[int, list] = {}
+            for r in told.groupBy("outer", "point").agg(F.round(F.avg("auc"), 12).alias("m")).collect():
+                means.setdefault(r.outer, []).append((-(r.m or 0.0), r.point))
+            best = [min(means.get(o, [(0.0, 0)]))[1] for o in range(len(outer))]
+        runs = [{**run, **grid[b], "best": json.dumps(grid[b]), "train_not": [[run["code"], run["fold"]]], "test_is": [[run["code"], run["fold"]]]} for run, b in zip(outer, best, strict=True)]
+        scores = settled(run_scores(blocks, runs, model, (0, 1), per_task))
+        cut = youden(scores.where("part = 0"), "score", ["run"]).select("run", "threshold")
+        tested = scores.where("part = 1").join(F.broadcast(cut), "run", "left")  # a row a run
+        out.append(told_runs(tested.select("run", F.col("key").alias("rid"), "y", "score", "threshold"), runs, {**FIELDS, "best": "string"}).withColumnRenamed("arm_", "arm"))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def site_scheme(sites: list) -> dict[str, tuple[str, list[int]]]:
+    return {"loso": ("site_code", list(range(len(sites))))}
+
+
+def fold_schemes(folds: int, repeats: int) -> dict[str, tuple[str, list[int]]]:
+    return {f"repeat{r}": (f"fold{r}", list(range(folds))) for r in range(repeats)}
+
+
+def named_sites(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds the site of each row by its key."""
+    return df.join(rows.select("rid", "site"), "rid")
+
+
+def same_share(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by, identical): the share of tested rows that two sets of scores (by, key, score) predict alike."""
+    other = b.select(*by, "key", (F.col("score") >= 0.5).alias("_other"))
+    met = a.select(*by, "key", (F.col("score") >= 0.5).alias("_one")).join(other, [*by, "key"])
+    return met.groupBy(*by).agg(F.avg((F.col("_one") == F.col("_other")).cast("double")).alias("identical"))
+
+
+def arm_codes(df: DataFrame, drops: dict[str, DataFrame], key: str = "rid") -> DataFrame:
+    """Adds a code column for each arm: 1 for the rows it keeps, 0 for those it drops."""
+    long = None
+    for name, gone in drops.items():
+        part = gone.select(key, F.lit(name).alias("_arm"))
+        long = part if long is None else long.unionByName(part)
+    flags = long.groupBy(key).agg(F.collect_set("_arm").alias("_gone"))
+    has = lambda name: F.coalesce(F.array_contains("_gone", name), F.lit(False))
+    return df.join(flags, key, "left").select(*df.columns, *[(~has(name)).cast("int").alias(name) for name in drops])
+
+
+def matched_drops(pool: DataFrame, target: DataFrame, draws: int, seeds: list[int], key: str = "rid", label: str = "y") -> DataFrame:
+    """(key, draw): for each draw as many rows of the pool as the target has in each class, without replacement; all draws in one shuffle."""
+    from attestry.functions.scalars import hash32
+    from attestry.operators.sampling import hash_rank
+
+    want = target.groupBy(label).agg(F.count(F.lit(1)).alias("_want"))
+    each = pool.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_seed", F.element_at(F.array(*[F.lit(int(s)) for s in seeds[:draws]]), F.col("draw") + 1))
+    ranked = hash_rank(each, ["draw", label], hash32(F.col("_seed"), "matched", F.col(key)), key, "_rank")
+    return ranked.join(F.broadcast(want), label).where("_rank <= _want").select(key, "draw")  # a row a class
 
 

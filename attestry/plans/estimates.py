@@ -122,11 +122,18 @@ def calibration_intercept(spark, sf):
     return T.calibration_intercept(r, "x", ["site"])
 
 
-@query("calibration_slope")
+_Q = "1 / (1 + exp(-(it.a + it.b * x.x)))"
+
+
+@query("calibration_slope", f"""WITH RECURSIVE @rec, x AS (SELECT site, y, ln({_P} / (1 - {_P})) AS x FROM rec), it AS (SELECT site, 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b FROM (SELECT DISTINCT site FROM rec)
+ UNION ALL SELECT site, k + 1, a + greatest(-2, least(2, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01))), b + greatest(-2, least(2, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)))
+  FROM (SELECT it.site, it.k, it.a, it.b, sum(x.y - {_Q}) AS g0, sum((x.y - {_Q}) * x.x) AS g1, sum({_Q} * (1 - {_Q})) AS h00, sum({_Q} * (1 - {_Q}) * x.x) AS h01, sum({_Q} * (1 - {_Q}) * x.x * x.x) AS h11
+        FROM it JOIN x ON x.site = it.site WHERE it.k < 30 GROUP BY it.site, it.k, it.a, it.b))
+ SELECT site, round(a, 6) AS intercept, round(b, 6) AS slope FROM it WHERE k = 30""")
 def calibration_slope(spark, sf):
     from attestry.operators.learning import calibration_slopes
 
-    return calibration_slopes(recorded(spark, sf).withColumn("x", clip_logit((F.col("n_chars") % 97 + 1).cast("double") / 99)), "x", "site")
+    return calibration_slopes(recorded(spark, sf).withColumn("x", clip_logit((F.col("n_chars") % 97 + 1).cast("double") / 99)), "x", ["site"])
 
 
 _CORRECT = "correct AS (SELECT rid, m, CASE WHEN (n_chars > m) = (y = 1) THEN 1 ELSE 0 END AS c FROM rec, (VALUES (100), (300), (1000), (3000)) t(m))"

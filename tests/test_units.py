@@ -213,50 +213,3 @@ def test_bundles_and_texts_are_read_back(spark, tmp_path):
     readers.write_texts(spark.createDataFrame([("001-1", "### [0] code\nx = 1")], "file string, flat string"), str(tmp_path / "t"), "file", "flat")
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["### [0] code", "x = 1"]
     assert "model" in readers.console_table(df, 2)
-
-
-def test_sweep_from_sums_equals_the_sweep_in_tasks(spark):
-    from attestry.operators import study
-
-    rows = [(i, int((i * 37 % 11) + (i % 5) > 7), float(i * 37 % 11), float(i % 5)) for i in range(400)]
-    df = spark.createDataFrame(rows, "rid long, y int, a double, b double")
-    one = {r.seed: r.accuracy for r in study.run_seeds(df, [3, 4, 5], ["a", "b"]).collect()}
-    two = {r.seed: r.accuracy for r in study.sweep_by_sums(df, [3, 4, 5], ["a", "b"]).collect()}
-    assert one == pytest.approx(two) and len(one) == 3
-
-
-def test_study_learners_and_designs():
-    import numpy as np
-    import pandas as pd
-
-    from attestry.operators import study
-
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(600, 2))
-    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
-    for name, least in (("knn", 0.9), ("boosted_trees", 0.9), ("mlp", 0.9), ("logistic_regression", 0.4)):
-        assert study.auc(y[400:], study.LEARNERS[name](x[:400], y[:400], 1)(x[400:])) > least, name
-    lost = x.copy()
-    lost[::3, 0] = np.nan
-    assert study.auc(y[400:], study.boosted(lost[:400], y[:400], 1)(lost[400:])) > 0.75
-    exact = study.knn(np.array([[0.0], [1.0], [1.1]]), np.array([1.0, 0.0, 0.0]), 0, 3, "distance")(np.array([[0.0], [2.0]]))
-    assert exact[0] == 1 and exact[1] < 0.5
-    train, new = pd.DataFrame({"a": [1.0, 3.0, None], "e": [None, None, None], "c": ["x", "y", None]}), pd.DataFrame({"a": [None, 1e9], "e": [5.0, None], "c": ["z", "x"]})
-    design = study.Design(train.astype({"e": float}), ["a", "e"], ["c"], ["a"])
-    assert design.middle["a"] == 2 and design(new)[0].tolist()[:1] == [0.0] and design(new)[:, 2].tolist() == [1, 0] and design(new)[:, 3:].tolist() == [[0, 0], [1, 0]]
-
-
-def test_nested_baseline_leaves_sites_out_and_does_not_see_them(spark):
-    """Every row is scored once, by a model without its site; a planted value in a held-out site does not move other folds."""
-    from attestry.operators import study
-
-    rows = [(i, "abc"[i % 3], float(i % 17), None if i % 4 == 0 else float(i % 7), i % 2, int((i % 17) > 8 and i % 5 > 0)) for i in range(240)]
-    schema = "rid long, site string, n_chars double, nsp double, slope int, y int"
-    grid = {"logistic_regression": study.GRIDS["logistic_regression"]}
-    run = lambda r: {x.rid: x for x in study.nested(spark.createDataFrame(r, schema), ("A", "B"), grid, None, 7).where("arm = 'A'").collect()}
-    a = run(rows)
-    assert len(a) == 240 and {(x.site, x.fold) for x in a.values()} == {("a", 0), ("b", 1), ("c", 2)}
-    b = run([(i, s, 1e9 if s == "a" else n, p, q, y) for i, s, n, p, q, y in rows])
-    assert all(x.threshold == b[i].threshold for i, x in a.items() if x.site == "a")
-    gate = study.nested(spark.createDataFrame(rows, schema), ("A",), {"logistic_regression": [{"c": 1.0}]}, None, 7, shuffles=3)
-    assert gate.count() == 3 * 240 and gate.groupBy("shuffle").agg(F.sum("y")).distinct().count() == 3
