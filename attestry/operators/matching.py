@@ -8,29 +8,60 @@ from pyspark.sql import functions as F
 CELLS = ("nsp", "slope")
 
 
+def _masked(df: DataFrame, tolerant: list[str]) -> DataFrame:
+    """Adds _mask: bit i is 1 where the row holds tolerant key i."""
+    bits = [F.when(F.col(k).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(tolerant)]
+    return df.withColumn("_mask", sum(bits[1:], bits[0]) if bits else F.lit(0))
+
+
 def compatible_pairs(rec: DataFrame, pub: DataFrame, equal: list[str], tolerant: list[str]) -> DataFrame:
-    """Pairs that agree on the never-null keys and on each tolerant key unless the recorded side lacks it.
+    """Pairs that agree on the equal keys, which neither side may lack, and on each tolerant key unless the recorded side lacks it.
 
-    The equal keys make this a hash or merge join; the tolerant ones are its residual condition.
+    One equi-join, whichever keys are missing: recorded rows are told apart by the mask of tolerant keys that they hold, a published row is
+    repeated for each mask that occurs, and both sides meet on the mask and the keys it holds. A recorded row that holds no key at all fits every
+    published row; such rows are left out here, and match_sources counts them.
     """
-    on = [F.col(f"r.{k}") == F.col(f"p.{k}") for k in equal] + [F.col(f"r.{k}").isNull() | (F.col(f"r.{k}") == F.col(f"p.{k}")) for k in tolerant]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return pub.alias("p").join(rec.alias("r"), cond).select("p.pid", "r.rid", F.col("r.site").alias("site"), F.col("r.slope").alias("rec_slope"), F.col("p.slope").alias("pub_slope"), F.col("r.y").alias("rec_y"), F.col("p.y").alias("pub_y"))
+    masked = _masked(rec, tolerant)
+    masks = sorted(r[0] for r in masked.select("_mask").distinct().collect())  # as many as patterns of missing keys
+    masks = [m for m in masks if m or equal]
+    if not masks:
+        return rec.join(pub.limit(0), F.lit(False)).select(pub["pid"], rec["rid"], rec["site"].alias("site"), rec["slope"].alias("rec_slope"), pub["slope"].alias("pub_slope"), rec["y"].alias("rec_y"), pub["y"].alias("pub_y"))
+    left = masked.where(F.col("_mask").isin(masks)).select(
+        F.col("_mask").alias("r_mask"), *[F.col(k).alias(f"r_e{i}") for i, k in enumerate(equal)], *[F.col(k).alias(f"r_t{i}") for i, k in enumerate(tolerant)], "rid", "site", F.col("slope").alias("rec_slope"), F.col("y").alias("rec_y")
+    )
+    right = pub.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("p_mask"))
+    right = right.select(
+        "p_mask", *[F.col(k).alias(f"p_e{i}") for i, k in enumerate(equal)], *[F.when(F.col("p_mask").bitwiseAND(F.lit(1 << i)) > 0, F.col(k)).alias(f"p_t{i}") for i, k in enumerate(tolerant)],
+        "pid", F.col("slope").alias("pub_slope"), F.col("y").alias("pub_y"), sum([F.when((F.col("p_mask").bitwiseAND(F.lit(1 << i)) > 0) & F.col(k).isNull(), 1).otherwise(0) for i, k in enumerate(tolerant)], F.lit(0)).alias("_lost"),
+    ).where("_lost = 0")  # fmt: skip  a published row that lacks a key of the mask fits none of its rows
+    cond = F.col("r_mask") == F.col("p_mask")
+    for i in range(len(equal)):
+        cond = cond & (F.col(f"r_e{i}") == F.col(f"p_e{i}"))
+    for i in range(len(tolerant)):
+        cond = cond & F.col(f"r_t{i}").eqNullSafe(F.col(f"p_t{i}"))
+    return right.join(left, cond).select("pid", "rid", "site", "rec_slope", "pub_slope", "rec_y", "pub_y")
 
 
 def match_sources(rec: DataFrame, pub: DataFrame, equal: list[str], tolerant: list[str]) -> DataFrame:
-    """(pid, n_candidates, source, rid, slopes): source if all candidates agree, rid only if the pair is each other's only one."""
+    """(pid, n_candidates, source, rid, slopes): source if all candidates agree, rid only if the pair is each other's only one.
+
+    Recorded rows without any key are candidates of every published row: they are counted, not joined. With more than one published row they pair with none.
+    """
     pairs = compatible_pairs(rec, pub, equal, tolerant)
     per_p, per_r = Window.partitionBy("pid"), Window.partitionBy("rid")
     counted = pairs.withColumn("np", F.count(F.lit(1)).over(per_p)).withColumn("nr", F.count(F.lit(1)).over(per_r))
     told = counted.groupBy("pid").agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.when(F.min("site") == F.max("site"), F.min("site")).alias("source"),
+        F.count(F.lit(1)).alias("n_candidates"), F.min("site").alias("lo"), F.max("site").alias("hi"),
         *[F.max(F.when((F.col("np") == 1) & (F.col("nr") == 1), F.col(c))).alias(c) for c in ("rid", "rec_slope", "rec_y")],
     )
-    base = pub.select("pid", F.col("slope").alias("pub_slope"), F.col("y").alias("pub_y"))
-    return base.join(told, "pid", "left").select("pid", F.coalesce("n_candidates", F.lit(0)).cast("bigint").alias("n_candidates"), F.coalesce("source", F.lit("unknown")).alias("source"), "rid", "rec_slope", "pub_slope", "rec_y", "pub_y")
+    base = pub.select("pid", F.col("slope").alias("pub_slope"), F.col("y").alias("pub_y")).join(told, "pid", "left")
+    none = F.coalesce("n_candidates", F.lit(0)).cast("bigint")
+    if not equal:
+        bare = _masked(rec, tolerant).where("_mask = 0").agg(F.count(F.lit(1)).alias("n_bare"), F.min("site").alias("bare_lo"), F.max("site").alias("bare_hi"))
+        base = base.join(F.broadcast(bare))  # one row
+        alone = F.col("n_bare") == 0
+        base = base.withColumns({"n_candidates": none + F.col("n_bare"), "lo": F.least("lo", "bare_lo"), "hi": F.greatest("hi", "bare_hi")}).withColumns({c: F.when(alone, F.col(c)) for c in ("rid", "rec_slope", "rec_y")})
+    return base.select("pid", F.coalesce("n_candidates", F.lit(0)).cast("bigint").alias("n_candidates"), F.coalesce(F.when(F.col("lo") == F.col("hi"), F.col("lo")), F.lit("unknown")).alias("source"), "rid", "rec_slope", "pub_slope", "rec_y", "pub_y")
 
 
 def filled_cells(rec: DataFrame, pub: DataFrame, matches: DataFrame, columns: tuple[str, ...] = CELLS) -> DataFrame:

@@ -26,12 +26,14 @@ def seeds(spark: SparkSession, n: int) -> DataFrame:
 
 
 def hash_rank(df: DataFrame, by: list[str], h: Column, key: str, out: str) -> DataFrame:
-    """Adds the rank of (h, key) within by, exactly, in two levels: 4,096 ranges of the 32-bit hash are counted, then ranked inside."""
+    """Adds the rank of (h, key) within by, exactly, in two levels: 4,096 ranges of the 32-bit hash are counted, then ranked inside. Nulls in by are groups of their own."""
     cut = df.withColumn("_h", h).withColumn("_c", F.shiftright("_h", 20))
     ahead = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    offsets = cut.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
     inside = Window.partitionBy(*by, "_c").orderBy("_h", key)
-    return cut.withColumn("_r", F.row_number().over(inside)).join(offsets, [*by, "_c"]).withColumn(out, F.col("_r") + F.col("_o")).drop("_h", "_c", "_r", "_o")
+    told = renamed(offsets.withColumnRenamed("_c", "_to"), by, "_to", "_o")
+    met = cut.withColumn("_r", F.row_number().over(inside)).join(told, same_keys(by) & (F.col("_c") == F.col("_to")))
+    return met.select(*df.columns, (F.col("_r") + F.col("_o")).alias(out))
 
 
 def hash_split(df: DataFrame, key: str, seed: Column, by: list[str], share: float = 0.2, kind: str = "split") -> DataFrame:
@@ -54,13 +56,14 @@ def hash_split(df: DataFrame, key: str, seed: Column, by: list[str], share: floa
 
 
 def group_split(df: DataFrame, group: str, seed: int, share: float = 0.2) -> DataFrame:
-    """Adds is_test for ceil(share g) of the groups, whole; the groups are ranked in ranges of their hash."""
+    """Adds is_test for ceil(share g) of the groups, whole; the groups are ranked in ranges of their hash. Rows without a group are one group."""
     groups = df.select(group).distinct().withColumn("_all", F.lit(0))
-    return df.join(hash_split(groups, group, F.lit(seed), ["_all"], share, "group").select(group, "is_test"), group)
+    told = hash_split(groups, group, F.lit(seed), ["_all"], share, "group")
+    return df.join(renamed(told, [group], "is_test"), same_keys([group])).select(*df.columns, "is_test")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, seed: Column | int, k: int, by: list[str] | None = None) -> DataFrame:
-    """Adds fold 0..k-1, balanced within each class."""
+    """Adds fold 0..k-1, balanced within each class; rows without a label are a class too."""
     ranked = hash_rank(df, [*(by or []), label], hash32(seed, "fold", F.col(key)), key, "_rank")
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("bigint")).drop("_rank")
 
@@ -160,10 +163,11 @@ def matched_draw(pool: DataFrame, target: DataFrame, key: str, label: str, seed:
 
 
 def permute(df: DataFrame, key: str, label: str, seed: Column, by: list[str]) -> DataFrame:
-    """The label column dealt anew within by: rank by one hash meets rank by another, both in ranges of the hash."""
+    """The label column dealt anew within by: rank by one hash meets rank by another, both in ranges of the hash. Null labels are dealt like others."""
     a = hash_rank(df.drop(label), by, hash32(seed, "place", F.col(key)), key, "_rank")
     b = hash_rank(df.select(*by, key, label, seed.alias("_seed")), by, hash32(F.col("_seed"), "perm", F.col(key)), key, "_rank")
-    return a.join(b.select(*by, label, "_rank"), [*by, "_rank"]).drop("_rank")
+    told = renamed(b.withColumnRenamed("_rank", "_at"), by, label, "_at")
+    return a.join(told, same_keys(by) & (F.col("_rank") == F.col("_at"))).select(*[c for c in df.columns if c != label], label)
 
 
 def second_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
@@ -187,3 +191,52 @@ def contamination(df: DataFrame, key: str, group: str, test: DataFrame) -> DataF
     inside = df.join(test.select(key), key, "left_semi")
     outside = df.join(test.select(key), key, "left_anti").select(group).distinct().withColumn("hit", F.lit(1))
     return inside.join(outside, group, "left").agg(F.count(F.lit(1)).alias("n_test"), F.count("hit").alias("n_hit"), F.round(F.count("hit") / F.nullif(F.count(F.lit(1)), F.lit(0)), 9).alias("share"))
+
+
+def split_edges(df: DataFrame, key: str, seeds: list[int], share: float = 0.2, kind: str = "split") -> DataFrame:
+    """(i, seed, edge, edge_key, n_test): the last test row of hash_split for each seed, by (hash, key); i numbers the seeds.
+
+    Hashes are counted in 4,096 ranges a seed; only rows of the range that holds the border are ranked.
+    """
+    table = df.sparkSession.createDataFrame([(i, int(s)) for i, s in enumerate(seeds)], "i int, seed bigint")
+    each = df.select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(int(s)).cast("bigint").alias("seed")) for i, s in enumerate(seeds)])).alias("_s")).select("_key", "_s.i", hash32(F.col("_s.seed"), kind, F.col("_key")).alias("_h"))
+    each = each.withColumn("_c", F.shiftright("_h", 20))
+    group = Window.partitionBy("i")
+    ahead = group.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = each.groupBy("i", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = ranges.withColumn("_o", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).withColumn("n_test", F.ceil(F.sum("_n").over(group) * share).cast("bigint"))
+    border = ranges.where("_o < n_test and n_test <= _o + _n").select("i", "_c", "_o", "n_test")
+    close = each.join(F.broadcast(border), ["i", "_c"])  # a row a seed
+    last = close.withColumn("_r", F.row_number().over(group.orderBy("_h", "_key")) + F.col("_o")).where("_r = n_test")
+    return last.join(F.broadcast(table), "i").select("i", "seed", F.col("_h").alias("edge"), F.col("_key").alias("edge_key"), "n_test")
+
+
+def contamination_by_seed(df: DataFrame, key: str, group: str, seeds: list[int], share: float = 0.2) -> DataFrame:
+    """(seed, n_test, n_hit, share): for each seed's split, the test rows whose group also has a row outside the test set.
+
+    Only rows of groups of two or more can be hit. Each of those rows gets one bit a seed, in words of 64; a group's rows outside the test set are
+    or-ed into one bitmap, and a row's hits are its own bits under that. So all seeds share one shuffle of the groups. Null groups are one group.
+    """
+    from attestry.sources.readers import settled
+
+    edges = settled(split_edges(df, key, seeds, share))
+    some = df.select(F.col(key).alias("_key"), F.xxhash64(group).alias("_g"))
+    shared = some.groupBy("_g").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_g")
+    words = edges.groupBy(F.expr("i div 64").alias("word")).agg(F.collect_list(F.struct((F.col("i") % 64).alias("bit"), "seed", "edge", "edge_key")).alias("cuts"))
+    rows = some.join(shared, "_g", "left_semi").withColumn("word", F.explode(F.sequence(F.lit(0), F.lit((len(seeds) - 1) // 64)))).withColumn("word", F.col("word").cast("bigint"))
+    one = F.lit(1).cast("bigint")
+    flag = lambda x: F.call_function("shiftleft", one, x["bit"].cast("int"))
+
+    def test(x: Column) -> Column:
+        h = hash32(x["seed"], "split", F.col("_key"))
+        return (h < x["edge"]) | ((h == x["edge"]) & (F.col("_key") <= x["edge_key"]))
+
+    bits = F.aggregate("cuts", F.lit(0).cast("bigint"), lambda a, x: F.when(test(x), a.bitwiseOR(flag(x))).otherwise(a))
+    every = F.aggregate("cuts", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(flag(x)))
+    told = settled(rows.join(F.broadcast(words), "word").select("_g", "word", bits.alias("inside"), every.alias("every")))  # a row for 64 seeds
+    outside = told.groupBy("_g", "word").agg(F.bit_or(F.col("every").bitwiseAND(F.bitwise_not("inside"))).alias("outside"))
+    hits = told.join(outside, ["_g", "word"]).select("word", F.col("inside").bitwiseAND(F.col("outside")).alias("hit")).where("hit <> 0")
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("hit", b) == 1)
+    each = hits.select("word", F.explode(set_bits).alias("bit")).groupBy((F.col("word") * 64 + F.col("bit")).alias("i")).agg(F.count(F.lit(1)).alias("n_hit"))
+    hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
+    return edges.withColumn("i", F.col("i").cast("bigint")).join(each, "i", "left").select("seed", "n_test", hit.alias("n_hit"), F.round(hit / F.col("n_test"), 9).alias("share"))

@@ -18,19 +18,26 @@ def screening_order(df: DataFrame, group: str, path: str, seed: int) -> DataFram
 
 
 def screen_until(df: DataFrame, position: str, included: Column, n: int) -> DataFrame:
-    """Rows up to and with the n-th included one; before counts the included ones ahead of each. Positions are unique numbers.
+    """Rows up to and with the n-th included one; before counts the included ones ahead of each. Positions are unique numbers, or structs of numbers.
 
     The n-th included row is found first, so that only rows up to it are summed, and those in ranges of the position.
     """
     flagged = df.withColumn("_in", F.coalesce(included.cast("bigint"), F.lit(0)))
     first = flagged.where("_in = 1").orderBy(position).limit(n).agg(F.when(F.count(F.lit(1)) == n, F.max(position)).alias("_last"))
     near = flagged.join(F.broadcast(first)).where(F.col("_last").isNull() | (F.col(position) <= F.col("_last"))).drop("_last")  # one row
-    return sums_before(near, [], [position], ["_in"]).withColumn("before", F.col("before__in").cast("bigint")).drop("_in", "before__in")
+    order = [f"{position}.{c}" for c in near.schema[position].dataType.names] if near.schema[position].dataType.typeName() == "struct" else [position]
+    held = near.select(*near.columns, *[F.col(c).alias(f"_at{i}") for i, c in enumerate(order)])
+    out = sums_before(held, [], [f"_at{i}" for i in range(len(order))], ["_in"]).withColumn("before", F.col("before__in").cast("bigint"))
+    return out.select(*df.columns, "before")
 
 
 def override(df: DataFrame, changes: DataFrame, key: list[str], value: str) -> DataFrame:
-    """df with its value column taken from changes (key, value) where those name the row; a change to null makes it null."""
-    told = changes.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(value).alias("_value"), F.lit(True).alias("_told"))
+    """df with its value column taken from changes (key, value) where those name the row; a change to null makes it null.
+
+    Rows stay as many as they are: of several changes for one key the greatest value counts, null last. Keys with nulls name no row.
+    """
+    last = changes.groupBy(*key).agg(F.max(value).alias(value))
+    told = last.select(*[F.col(k).alias(f"_{k}") for k in key], F.col(value).alias("_value"), F.lit(True).alias("_told"))
     cond = F.lit(True)
     for k in key:
         cond = cond & (F.col(k) == F.col(f"_{k}"))
@@ -48,7 +55,7 @@ def screen_records(order: DataFrame, records: DataFrame, copies: DataFrame, grou
     placed = placed.join(order.select(F.col(group).alias("_g"), F.col(path).alias("_p"), "position", "k"), ["position", "k"])
     copied = placed.join(copies.select("file", F.lit(True).alias("_copy")), "file", "left").withColumn("_copy", F.coalesce("_copy", F.lit(False)) & (F.col("decision") == "include"))
     decided = copied.withColumn("criterion", F.when(F.col("_copy"), "E4")).withColumn("decision", F.when(F.col("_copy"), "exclude").otherwise(F.col("decision")))
-    decided = decided.select("file", "position", "k", F.col("_g").alias(group), F.col("_p").alias(path), "decision", "criterion", F.col(path).eqNullSafe(F.col("_p")).alias("known"), (F.col("position") * 1_000_000 + F.col("k")).alias("_at"))
+    decided = decided.select("file", "position", "k", F.col("_g").alias(group), F.col("_p").alias(path), "decision", "criterion", F.col(path).eqNullSafe(F.col("_p")).alias("known"), F.struct("position", "k").alias("_at"))
     return screen_until(decided, "_at", F.col("decision") == "include", n).drop("_at")
 
 

@@ -166,13 +166,3 @@ def duplicate_keys(spark, sf):
 @query("first_rows", "WITH @rec SELECT rid, site, n_chars FROM rec ORDER BY n_chars DESC, rid LIMIT 3")
 def first_rows(spark, sf):
     return recorded(spark, sf).select("rid", "site", "n_chars").orderBy(F.desc("n_chars"), "rid").limit(3)  # a report of three rows
-
-
-@query("exact_rescaling", "WITH @rec SELECT count(*) AS n, CAST(1 AS DOUBLE) AS identical FROM rec")
-def exact_rescaling(spark, sf):
-    """Share of rows whose scaled value is bit for bit the same after the column is multiplied by a power of two."""
-    r = recorded(spark, sf).select("rid", F.col("n_chars").cast("double").alias("n_chars"))
-    stats = r.agg(F.avg("n_chars").alias("m"), F.stddev_pop("n_chars").alias("s"))
-    one = r.join(F.broadcast(stats))  # one row
-    same = (F.col("n_chars") - F.col("m")) / F.col("s") == (F.col("n_chars") * 1024 - F.col("m") * 1024) / (F.col("s") * 1024)
-    return one.agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("identical"))

@@ -9,7 +9,7 @@ from attestry.operators import learning as L
 from attestry.operators import study as S
 from attestry.operators.matching import filled_cells, match_sources, revert
 from attestry.operators.nearest import nearest_rows, vote
-from attestry.operators.sampling import split_weights, derive, normal, stratified_folds, uniform
+from attestry.operators.sampling import contamination_by_seed, derive, normal, split_weights, stratified_folds, uniform
 from attestry.operators.statistics import auc_by, balanced_accuracy, binomial_gate, calibration_intercept, corrected_t, delong, holm, interval, negative_log_likelihood, site_weighted_auc
 from attestry.operators.sums import pack_rows
 from attestry.plans.registry import h32, query
@@ -229,6 +229,22 @@ def duplicates_grouped(spark, sf):
     return out
 
 
+_SEEDS = 1000
+_CONTAMINATION = f"""WITH @rec, t AS (SELECT * FROM rec UNION ALL SELECT -rid - 1, site, grp, n_chars, nsp, slope, y FROM rec WHERE rid % 3 = 0),
+ s AS (SELECT seed, rid, dense_rank() OVER (ORDER BY site, grp, n_chars, nsp, slope, y) AS g, row_number() OVER (PARTITION BY seed ORDER BY {h32("seed", "'split'", "rid")}, rid) <= ceil(0.2 * count(*) OVER (PARTITION BY seed)) AS test FROM t, range(0, {_SEEDS}) r(seed)),
+ c AS (SELECT seed, g, sum(CASE WHEN test THEN 1 ELSE 0 END) AS n_in, sum(CASE WHEN test THEN 0 ELSE 1 END) AS n_out FROM s GROUP BY seed, g),
+ p AS (SELECT seed, sum(n_in) AS n_test, sum(CASE WHEN n_out > 0 THEN n_in ELSE 0 END) AS n_hit, round(sum(CASE WHEN n_out > 0 THEN n_in ELSE 0 END) / CAST(sum(n_in) AS DOUBLE), 9) AS share FROM c GROUP BY seed)
+ SELECT count(*) AS seeds, CAST(sum(n_hit) AS BIGINT) AS hits, round(quantile_cont(share, 0.025), 9) AS lo, round(quantile_cont(share, 0.5), 9) AS mid, round(quantile_cont(share, 0.975), 9) AS hi FROM p"""
+
+
+@query("contamination_by_seed", _CONTAMINATION)
+def contamination_all_seeds(spark, sf):
+    """Over 1,000 seeds: the share of test rows with an equal row outside the test set."""
+    per = contamination_by_seed(settled(_twice(spark, sf)), "rid", "dup", list(range(_SEEDS)))
+    p = lambda q: F.round(F.percentile("share", F.lit(q)), 9)
+    return per.agg(F.count(F.lit(1)).alias("seeds"), F.sum("n_hit").alias("hits"), p(0.025).alias("lo"), p(0.5).alias("mid"), p(0.975).alias("hi"))
+
+
 _KNN_SQL = """WITH @rec, d AS (SELECT a.rid, a.y AS truth, b.rid AS near, b.y, (a.n_chars - b.n_chars) * (a.n_chars - b.n_chars) + (a.k - b.k) * (a.k - b.k) AS d
   FROM (SELECT rid, site, n_chars, coalesce(nsp, 0) AS k, y FROM rec) a JOIN (SELECT rid, site, n_chars, coalesce(nsp, 0) AS k, y FROM rec) b ON a.site <> b.site),
  r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, near) AS rn FROM d)

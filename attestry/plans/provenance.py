@@ -100,3 +100,27 @@ def fill_gap_ci(spark, sf):
     held = [F.coalesce(F.sum(F.when((F.col("filled") == f) & (F.col("slope") == s), F.col("rows"))), F.lit(0)) for f in (1, 0) for s in (1, 0)]
     whole = counts.agg(_gap(1, F.col("rows")).alias("gf"), _gap(0, F.col("rows")).alias("go"), (F.least(*held) < SMALL).cast("int").alias("small_group"))
     return whole.join(F.broadcast(ci)).select(F.round("gf", 9).alias("gap_filled"), F.round("go", 9).alias("gap_observed"), F.round(F.col("gf") - F.col("go"), 9).alias("difference"), "lo", "hi", "n", "small_group")  # one row each
+
+
+#: Recorded rows whose every key may be missing.
+_LOOSE = """loose AS (SELECT rid, CASE WHEN rid % 11 <> 0 THEN site END AS site, CASE WHEN rid % 13 <> 0 THEN grp END AS grp, CASE WHEN rid % 5 <> 0 THEN n_chars END AS n_chars, nsp, slope,
+  CASE WHEN rid % 17 <> 0 THEN y END AS y FROM rec WHERE rid % 11 <> 0 OR rid % 5 <> 0 OR rid % 13 <> 0)"""
+_TOLERANT = ["site", "grp", "n_chars", "nsp", "slope", "y"]
+_LOOSE_PAIRS = "pairs AS (SELECT p.pid, r.rid, r.site, r.slope AS rec_slope, p.slope AS pub_slope, r.y AS rec_y, p.y AS pub_y FROM pub p JOIN loose r ON " + " AND ".join(f"(r.{k} IS NULL OR r.{k} = p.{k})" for k in _TOLERANT) + ")"
+
+
+def _loose(spark, sf):
+    keep = lambda c, n: F.when(F.col("rid") % n != 0, F.col(c)).alias(c)
+    rec = recorded(spark, sf).where("rid % 11 <> 0 or rid % 5 <> 0 or rid % 13 <> 0")
+    return rec.select("rid", keep("site", 11), keep("grp", 13), keep("n_chars", 5), "nsp", "slope", keep("y", 17))
+
+
+@query("compatible_all_tolerant", f"WITH @rec, @pub, {_LOOSE}, {_LOOSE_PAIRS} SELECT pid, rid FROM pairs")
+def compatible_all_tolerant(spark, sf):
+    """Pairs where any key may be missing on the recorded side."""
+    return M.compatible_pairs(_loose(spark, sf), published(spark, sf), [], _TOLERANT).select("pid", "rid")
+
+
+@query("match_all_tolerant", f"WITH @rec, @pub, {_LOOSE}, {_LOOSE_PAIRS}, {_MATCH} SELECT pid, n_candidates, source, rid FROM m")
+def match_all_tolerant(spark, sf):
+    return M.match_sources(_loose(spark, sf), published(spark, sf), [], _TOLERANT).select("pid", "n_candidates", "source", "rid")

@@ -213,3 +213,73 @@ def test_bundles_and_texts_are_read_back(spark, tmp_path):
     readers.write_texts(spark.createDataFrame([("001-1", "### [0] code\nx = 1")], "file string, flat string"), str(tmp_path / "t"), "file", "flat")
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["### [0] code", "x = 1"]
     assert "model" in readers.console_table(df, 2)
+
+
+def test_matching_with_every_key_tolerant_equals_the_dense_matrix(spark):
+    rng = __import__("random").Random(3)
+    some = lambda *v: rng.choice([None, *v])
+    rec = [(i, some("a", "b"), some(1, 2), some(5, 6, 7), some(0, 1), some(0, 1)) for i in range(60)] + [(90, "a", None, None, None, None)]
+    pub = [(i, rng.choice("ab"), rng.choice((1, 2)), rng.choice((5, 6, 7, None)), rng.choice((0, 1)), rng.choice((0, 1))) for i in range(40)]
+    columns = "site string, n_chars long, nsp long, slope int, y int"
+    for bare in ([], [(99, None, None, None, None, None)]):
+        r, p = spark.createDataFrame(rec + bare, "rid long, " + columns), spark.createDataFrame(pub, "pid long, " + columns)
+        keys = ["site", "n_chars", "nsp", "slope", "y"]
+        fits = {(a[0], b[0]) for a in pub for b in rec if any(v is not None for v in b[1:]) and all(v is None or v == w for v, w in zip(b[1:], a[1:], strict=True))}
+        df = matching.compatible_pairs(r, p, [], keys)
+        assert {(x.pid, x.rid) for x in df.collect()} == fits
+        plan = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        whole = fits | {(a[0], b[0]) for a in pub for b in rec + bare if all(v is None for v in b[1:])}
+        got = {x.pid: x for x in matching.match_sources(r, p, [], keys).collect()}
+        for a in pub:
+            mine = [i for q, i in whole if q == a[0]]
+            pair = mine[0] if len(mine) == 1 and sum(i == mine[0] for _, i in whole) == 1 else None
+            assert (got[a[0]].n_candidates, got[a[0]].rid) == (len(mine), pair)
+
+
+@pytest.mark.parametrize("values", ["id + 1000000000", "pow(1.001, id)", "if(id % 2 = 0, 5, id)", "-id * id"])
+def test_ranges_of_running_sums_are_even(spark, values):
+    from attestry.operators.running import order_range, range_cuts, sums_before
+
+    df = spark.range(40_000).select(F.expr(values).cast("double").alias("v")).distinct().withColumn("n", F.lit(1))
+    sizes = [r["count"] for r in df.join(F.broadcast(range_cuts(df, "v"))).groupBy(order_range(F.col("v"))).count().collect()]
+    assert max(sizes) <= 4 * sum(sizes) / 1024 + 8
+    assert all(r.before_n == i for i, r in enumerate(sums_before(df, [], ["v"], ["n"]).orderBy("v").limit(2000).collect()))
+
+
+def test_contamination_by_seed_equals_splits_one_by_one(spark):
+    df = spark.createDataFrame([(i, None if i % 9 == 0 else f"g{i % 23}" if i % 3 else f"own{i}") for i in range(140)], "rid long, dup string")
+    seeds = [5, 11, *range(100, 170)]
+    got = {r.seed: (r.n_test, r.n_hit) for r in sampling.contamination_by_seed(df, "rid", "dup", seeds).collect()}
+    assert len(got) == len(seeds)
+    rows = [tuple(r) for r in df.collect()]
+    for seed in seeds[:12]:
+        ranked = sorted(rows, key=lambda r: (int(hashlib.md5(f"{seed}:split:{r[0]}".encode()).hexdigest()[:8], 16), r[0]))
+        test, rest = ranked[:28], {g for _, g in ranked[28:]}
+        assert got[seed] == (28, sum(g in rest for _, g in test))
+
+
+def test_null_groups_and_labels_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2, None if i % 5 == 0 else f"g{i % 7}") for i in range(60)], "rid long, y int, g string")
+    folds = sampling.stratified_folds(df, "rid", "y", 3, 5).collect()
+    assert len(folds) == 60 and {r.fold for r in folds if r.y is None} == {0, 1, 2, 3, 4}
+    split = sampling.group_split(df, "g", 3).collect()
+    assert len(split) == 60 and len({r.is_test for r in split if r.g is None}) == 1 and len({r.g for r in split if r.is_test}) == 2
+    dealt = sampling.permute(df.withColumn("b", F.lit(None).cast("int")), "rid", "y", F.lit(1), ["b"]).collect()
+    count = lambda rows: sorted(str(r.y) for r in rows)
+    assert len(dealt) == 60 and count(dealt) == count(df.collect())
+
+
+def test_overrides_and_places(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, v string")
+    told = spark.createDataFrame([(1, "x"), (1, "y"), (2, None), (None, "z")], "k long, v string")
+    assert sorted(map(tuple, survey.override(df, told, ["k"], "v").collect()), key=str) == [(1, "y"), (2, None), (None, "c")]
+    rows = spark.createDataFrame([(2, 1, "include"), (1, 2_000_001, "include"), (1, 1, "exclude"), (3, 1, "include")], "p long, k long, d string").withColumn("at", F.struct("p", "k"))
+    got = survey.screen_until(rows, "at", F.col("d") == "include", 2).collect()
+    assert {(r.p, r.k): r.before for r in got} == {(1, 1): 0, (1, 2_000_001): 0, (2, 1): 1}
+
+
+def test_json_is_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", [1, 2])], "id long, name string, more array<int>")
+    readers.write_json(df, str(tmp_path / "j"))
+    assert spark.read.schema(df.schema).json(str(tmp_path / "j")).collect() == df.collect()
