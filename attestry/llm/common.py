@@ -56,20 +56,28 @@ NO_ID = 1 << 62
 HOT = 1024
 
 
-def join_told(rows: DataFrame, told: DataFrame, key: str, times: str, keep: bool = False) -> DataFrame:
+def join_told(rows: DataFrame, told: DataFrame, key: str, times: str) -> DataFrame:
     """Inner join of rows with one told row a key, which says how many rows hold the key; the column times goes.
 
-    With keep it is a left join and the column times stays, null for keys that are not told.
-
     Keys that hold a large share of all rows, of which there are fewer than HOT, are sent to every task, so that no
     task gets all rows of one key; all other keys are shuffled.
     """
     total = F.broadcast(told.agg(F.sum(times).alias("_all")))  # one row
-    gone = ["_all"] if keep else ["_all", times]
-    hot = told.join(total).where(F.col(times) * HOT > F.col("_all")).drop(*gone)
-    cold = told.join(total).where(F.col(times) * HOT <= F.col("_all")).drop(*gone)
+    hot = told.join(total).where(F.col(times) * HOT > F.col("_all")).drop("_all", times)
+    cold = told.join(total).where(F.col(times) * HOT <= F.col("_all")).drop("_all", times)
     frequent = rows.join(F.broadcast(hot), key)
-    return frequent.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left" if keep else "inner"))
+    return frequent.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+#: Parts that the rows of every key are dealt into where a key may be hot and its told row is narrow.
+PARTS = 16
+
+
+def join_dealt(rows: DataFrame, told: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join of rows with one narrow told row a key: the rows of a key are dealt into PARTS by a hash of a column, and the told row goes to each."""
+    left = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    right = told.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return left.join(right, [key, "_part"], how).drop("_part")
 
 
 def hash_sample(df: DataFrame, by: list[str], number: int, rows: int | None = None) -> DataFrame:

@@ -275,6 +275,8 @@ def decoy(rng: np.random.Generator) -> str:
         lambda: f"{rng.integers(1990, 2040)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", lambda: f"+{rng.integers(1, 99)}-{rng.integers(100, 999)}-{rng.integers(1000000, 9999999)}", lambda: f"{word()}.{word()}{rng.integers(0, 99)}@{word()}.com",
         lambda: f"https://www.{word()}.com/{word()}/{word()}-{word()}-{rng.integers(0, 9999)}?id={rng.integers(0, 99999)}", lambda: word() + word().capitalize() + word().capitalize(), lambda: f"/{word()}/{word()}/{word()}_{rng.integers(0, 99)}.txt", lambda: f"{word()}_{word()}_{word()}",
         lambda: f"{rng.integers(10**8, 10**16)}", lambda: word().upper() + "-" + str(rng.integers(100, 99999)), lambda: f"the token of {word()} is a {word()}", lambda: f"key {word()} and {word()}-{word()}", lambda: f"v{rng.integers(0, 9)}.{rng.integers(0, 99)}.{rng.integers(0, 99)}-{word()}",
+        lambda: f"https://{word()}.com/{draw('letters', 3, 8)}{rng.integers(10, 999)}{draw('letters', 3, 8)}{rng.integers(10, 999)}{draw('letters', 3, 8)}",
+        lambda: "".join(f"{draw('letters', 2, 2).upper()}{rng.integers(10, 99)}" for _ in range(int(rng.integers(2, 4)))), lambda: word() + "".join(word().capitalize() for _ in range(int(rng.integers(3, 7)))) + str(rng.integers(1, 10)),
         lambda: f"the bearer of {word()} {word()}", lambda: f"{word()}{rng.integers(1, 999)}", lambda: word() * 4, lambda: f"pass the {word()} to {word()}",
     ]
     return made[int(rng.integers(0, len(made)))]()

@@ -230,3 +230,37 @@ def test_near_text_recall_of_scattered_edits(spark, edited):
         cells.setdefault((words, share), []).append(found[2 * i + 1] == 2 * i)
         assert found[2 * i] == 2 * i
     assert {cell: sum(v) / len(v) for cell, v in cells.items() if sum(v) < 0.9 * len(v)} == {}
+
+
+def test_secrets_leave_urls_identifiers_and_product_numbers(spark):
+    """Of each kind of decoy at most 1 in 50 is taken for a secret, while keys among the same words are found."""
+    import random
+    import string
+
+    from attestry.llm.secrets import fit_field, spans_of
+
+    field = fit_field(spark.read.parquet(f"{SF}/documents.parquet"))
+    r = random.Random(4)
+    words = "get user name from http request handler parse value order item list make index total count first last".split()
+    some = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    kinds = {
+        "identifier": lambda: (lambda w: w[0] + "".join(x.capitalize() for x in w[1:]) + str(r.randint(1, 9)))(r.sample(words, r.randint(3, 7))),
+        "product": lambda: "".join(r.choice(string.ascii_uppercase) + r.choice(string.ascii_uppercase) + str(r.randint(10, 99)) for _ in range(3)),
+        "url": lambda: f"https://example.com/{some(20)}/page", "key": lambda: some(32), "prefixed": lambda: "ghp_" + some(36), "told": lambda: "pwd: " + some(10),
+    }
+    found = {kind: sum(bool(spans_of(f"we looked at {make()} in the long list of the things there", field)[1]) for _ in range(100)) for kind, make in kinds.items()}
+    assert max(found[k] for k in ("identifier", "product", "url")) <= 2
+    assert min(found[k] for k in ("key", "prefixed", "told")) >= 92
+
+
+def test_base_spans_of_documents_equal_plain_matching(documents):
+    """Every base span of the documents, by patterns written anew."""
+    from attestry.llm.secrets import base_spans
+
+    assign = re.compile("(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?[ ]*[:=][ ]*[\"']?([A-Za-z0-9+/_.=-]+)")
+    for r in documents.select("text").collect():
+        text = r.text or ""
+        want = [(m.start(), "assign", m.end()) for m in assign.finditer(text) if len(m.group(1)) >= 6]
+        want += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+        want += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+        assert base_spans(text) == sorted(want, key=lambda s: (s[0], ("assign", "access", "hex").index(s[1])))
