@@ -52,7 +52,8 @@ class ByteSide:
         special = {x["content"] for x in told.get("added_tokens", [])}
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in entry): i for entry, i in told["model"]["vocab"].items() if entry not in special}
-        self.encode = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        model = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.join = model.encode_ordinary, model.decode_bytes
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for raw, i in ranks.items():
             self.bytes[i] = raw
@@ -73,6 +74,9 @@ class PieceSide:
     def encode(self, text: str) -> list[int]:
         return self._encode(text[1:], num_threads=1)
 
+    def join(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
 
 @lru_cache(maxsize=2)
 def sides(byte_path: str = BYTE_MODEL, piece_path: str = PIECE_MODEL) -> tuple[ByteSide, PieceSide]:
@@ -108,34 +112,45 @@ def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return at_a, at_b
 
 
+class _Named(dict):
+    """The group of one A and one B token as text, by its link; forgets all when it holds too many."""
+
+    def __missing__(self, link: int) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[link] = f"{link >> 32}|{link & 0xFFFFFFFF}"
+        return out
+
+
 class Aligner:
     """Groups and links of one text after another."""
 
     def __init__(self, left: ByteSide, right: PieceSide):
         self.left, self.right = left, right
         self.size_a, self.size_b = (np.array([len(x) for x in side.bytes], np.int64) for side in (left, right))
-        self.names = [str(i) for i in range(max(len(left.bytes), len(right.bytes)))]
+        self.names, self.pairs = [str(i) for i in range(max(len(left.bytes), len(right.bytes)))], _Named()
 
-    def __call__(self, text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-        """(A ids, B ids, positions of the last token of each group in A, in B); all empty if a side does not give the bytes of the text back."""
-        none: tuple = ([], [], [], [])
+    def __call__(self, text: str) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """(A ids, B ids, positions of the last token of each group in A, in B, links as A id * 2^32 + B id); all empty if a side does not give the bytes of the text back."""
+        none = np.zeros(0, np.int64)
         if not text:
-            return none
+            return [], [], none, none, none
         spaced = " " + text
         raw = spaced.encode("utf-8", "surrogatepass")
         a, b = self.left.encode(spaced), self.right.encode(spaced)
-        if b"".join(map(self.left.bytes.__getitem__, a)) != raw or b"".join(map(self.right.bytes.__getitem__, b)) != raw:
-            return none
-        return a, b, *common_ends(np.cumsum(self.size_a[a]).tolist(), np.cumsum(self.size_b[b]).tolist())
+        if self.left.join(a) != raw or self.right.join(b) != raw:
+            return [], [], none, none, none
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        at_a, at_b = (np.array(x, np.int64) for x in common_ends(self.size_a[ids_a].cumsum().tolist(), self.size_b[ids_b].cumsum().tolist()))
+        return a, b, at_a, at_b, ids_a[at_a] << 32 | ids_b[at_b]
 
-    def groups(self, a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> str:
+    def groups(self, a: list[int], b: list[int], at_a: np.ndarray, at_b: np.ndarray, links: np.ndarray) -> str:
         """The groups in order as a1,a2|b1;a3|b2,b3."""
-        x, y = list(map(self.names.__getitem__, a)), list(map(self.names.__getitem__, b))
-        out, i, j = [], 0, 0
-        for p, q in zip(at_a, at_b, strict=True):
-            left = x[p] if i == p else ",".join(x[i : p + 1])
-            out.append(left + "|" + (y[q] if j == q else ",".join(y[j : q + 1])))
-            i, j = p + 1, q + 1
+        out = list(map(self.pairs.__getitem__, links.tolist()))
+        first_a, first_b = np.append(0, at_a[:-1] + 1), np.append(0, at_b[:-1] + 1)
+        name, more = self.names.__getitem__, np.flatnonzero((first_a < at_a) | (first_b < at_b))  # groups of more than a token on a side
+        for g, i, p, j, q in zip(more.tolist(), first_a[more].tolist(), (at_a[more] + 1).tolist(), first_b[more].tolist(), (at_b[more] + 1).tolist(), strict=True):
+            out[g] = ",".join(map(name, a[i:p])) + "|" + ",".join(map(name, b[j:q]))
         return ";".join(out)
 
 
@@ -150,9 +165,8 @@ def aligned_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for start in range(0, len(batch), _TEXTS):
                 part, out = batch.iloc[start : start + _TEXTS], []
                 for at, ident, text in zip(part["at"], part["id"], part["text"], strict=True):
-                    a, b, at_a, at_b = align(text)
-                    digest = hashlib.sha256(align.groups(a, b, at_a, at_b).encode()).hexdigest() if a else ""
-                    links = np.array(a, np.int64)[at_a] << 32 | np.array(b, np.int64)[at_b]
+                    a, b, at_a, at_b, links = align(text)
+                    digest = hashlib.sha256(align.groups(a, b, at_a, at_b, links).encode()).hexdigest() if a else ""
                     pairs, times = np.unique(links, return_counts=True)
                     # Every common end is the end of one token a side: as many links as groups.
                     out.append((at, ident, len(a), len(b), len(at_a), len(links), digest, pairs, times))
