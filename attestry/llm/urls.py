@@ -107,7 +107,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.05) ->
     side, rest = 0, {0: pool.where("own = 0").select("key"), 1: pool.where("own = 1").select("key")}
     while rest[side].limit(1).count():  # rest[0]: unlisted keys that all levels so far take; rest[1]: listed ones
         levels.append(build_level(rest[side], len(levels), rate if len(levels) > 1 else 0.5))
-        rest[1 - side] = rest[1 - side].where(takes(F.col("key"), len(levels) - 1, levels[-1]))
+        rest[1 - side] = with_bitmaps(rest[1 - side], {"": levels[-1:]}).where(takes(F.col("key"), len(levels) - 1, levels[-1], F.col("_maps")[0])).select("key")
         side = 1 - side
     drop_table(pool)
     return levels
@@ -148,10 +148,11 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RU
     lengths = sorted({n for r in listed.select("n", "m").distinct().collect() for n in r})
     host, path = host_and_path(F.col(url_col))
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    split = df.select(*kept, host.alias("host"), path.alias("path"))
+    # The row goes along as a struct, so that no column of it can clash.
+    split = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host.alias("host"), path.alias("path"))
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
     numbers = {r.said: r["n"] for r in listed.groupBy("said").agg(F.count(F.lit(1)).alias("n")).collect()}
-    columns = [*kept, "host", "path", "rule"]
+    columns = ["row.*", "host", "path", "rule"]
     told = F.coalesce(F.col("verdict"), F.lit(unlisted)).alias("verdict")
     # Later levels hold a small share of the first one's keys; four times the first is more than all of them.
     if 4 * sum(level_bits(n, 0.025) for n in numbers.values()) > 8 * most_bytes:

@@ -264,3 +264,12 @@ def test_base_spans_of_documents_equal_plain_matching(documents):
         want += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
         want += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
         assert base_spans(text) == sorted(want, key=lambda s: (s[0], ("assign", "access", "hex").index(s[1])))
+
+
+def test_judged_rows_keep_columns_of_any_name(spark):
+    from attestry.llm.urls import judge_urls
+
+    df = spark.createDataFrame([(1, "http://a.net/x", "m", "b", "r")], "page_id long, url string, _maps string, _best string, row string")
+    for most in (1 << 20, 1):
+        got = judge_urls(df.withColumn("rule", F.lit("old")).withColumn("a.b", F.lit(1)), most_bytes=most).first()
+        assert (got._maps, got._best, got.row, got["a.b"], got.host, got.rule, got.verdict) == ("m", "b", "r", 1, "a.net", "net/", "block")
