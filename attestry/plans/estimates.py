@@ -129,7 +129,8 @@ _Q = "1 / (1 + exp(-(it.a + it.b * x.x)))"
  UNION ALL SELECT site, k + 1, a + greatest(-2, least(2, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01))), b + greatest(-2, least(2, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)))
   FROM (SELECT it.site, it.k, it.a, it.b, sum(x.y - {_Q}) AS g0, sum((x.y - {_Q}) * x.x) AS g1, sum({_Q} * (1 - {_Q})) AS h00, sum({_Q} * (1 - {_Q}) * x.x) AS h01, sum({_Q} * (1 - {_Q}) * x.x * x.x) AS h11
         FROM it JOIN x ON x.site = it.site WHERE it.k < 30 GROUP BY it.site, it.k, it.a, it.b))
- SELECT site, round(a, 6) AS intercept, round(b, 6) AS slope FROM it WHERE k = 30""")
+ SELECT it.site, CASE WHEN ok THEN round(a, 6) END AS intercept, CASE WHEN ok THEN round(b, 6) END AS slope FROM it JOIN (SELECT site, min(y) < max(y) AND min(CASE WHEN y = 1 THEN x END) < max(CASE WHEN y = 0 THEN x END)
+   AND min(CASE WHEN y = 0 THEN x END) < max(CASE WHEN y = 1 THEN x END) AS ok FROM x GROUP BY site) g ON g.site = it.site WHERE k = 30""")
 def calibration_slope(spark, sf):
     from attestry.operators.learning import calibration_slopes
 
