@@ -120,7 +120,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         "block", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(stop - 1) div {block_words}")))
     )
     words = F.least("stop", (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
-    got = pieces.join(plan, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(words * F.col("passes")).cast("bigint").alias("taken"))
+    # A row a block: few bytes when shuffled, many in a broadcast, so it is never sent through the driver.
+    got = pieces.join(plan.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(words * F.col("passes")).cast("bigint").alias("taken"))
     with_words = laid.where("size > 0").join(got, ["sid", "start"], "left")
     none = laid.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))
     columns = [F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), *([F.col("own").alias(keep)] if keep else [])]
