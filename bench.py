@@ -8,7 +8,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-NAMES = ["site_weighted_auc", "match_sources", "filled_cells", "fill_table", "fill_gap_ci", "bootstrap_auc_ci", "site_weighted_auc_ci", "delong_ci", "winners_curse", "hash_split_sizes", "contamination", "duplicate_groups", "seed_sweep_lr", "knn_predict", "modal_pipeline", "calibration_intercept", "paired_auc_diff", "label_permutation", "screening_order", "survey_summary", "lr_oof_loso", "loso_vs_kfold", "filled_removed", "svm_rff"]
+NAMES = ["site_weighted_auc", "match_sources", "filled_cells", "fill_table", "fill_gap_ci", "bootstrap_auc_ci", "site_weighted_auc_ci", "delong_ci", "winners_curse", "hash_split_sizes", "contamination", "duplicate_groups", "seed_sweep_lr", "knn_predict", "modal_pipeline", "calibration_intercept", "paired_auc_diff", "label_permutation", "screening_order", "survey_summary", "lr_oof_loso", "loso_vs_kfold", "filled_removed", "svm_rff", "headline_accuracy", "knn_oof_loso", "contamination_by_seed", "match_all_tolerant"]
 
 
 def main() -> None:
