@@ -1,4 +1,4 @@
-"""Learners. Grouped Arrow functions fit many small models at once; Spark ML fits where the pipeline is the subject."""
+"""Learners by Spark ML, and nearest neighbours of a stated query set; many models at once are fitted in sums."""
 
 from __future__ import annotations
 
@@ -50,23 +50,6 @@ def knn_vote(queries: DataFrame, rows: DataFrame, key: str, vector: str, label:
     return best.select("k", "weights", F.col("q").alias(key), "truth", F.col("l").alias("predicted"))
 
 
-def newton_logit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights of an l2-penalised logistic regression; the last is the intercept, unpenalised."""
-    a = np.column_stack([x, np.ones(len(x))])
-    w, ridge = np.zeros(a.shape[1]), np.diag([penalty] * x.shape[1] + [1e-9])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + ridge, a.T @ (y - p) - ridge @ w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-10:
-            break
-    return w
-
-
-def _predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ w, -30, 30)))
-
-
 def calibration_slopes(df: DataFrame, logit: str, by: list[str]) -> DataFrame:
     """(by, intercept, slope) of the target on the score's logit."""
     return calibration(df, logit, by, True)
