@@ -77,7 +77,8 @@ def join_dealt(rows: DataFrame, told: DataFrame, key: str, by: str, how: str = "
     """Join of rows with one narrow told row a key: the rows of a key are dealt into PARTS by a hash of a column, and the told row goes to each."""
     left = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
     right = told.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return left.join(right, [key, "_part"], how).drop("_part")
+    # Merged, as the told rows are many although each is narrow.
+    return left.join(right.hint("merge"), [key, "_part"], how).drop("_part")
 
 
 def hash_sample(df: DataFrame, by: list[str], number: int, rows: int | None = None) -> DataFrame:
