@@ -2,17 +2,18 @@
 
 A text is a sequence of words. Its k-mers are five-word shingles, each labelled with its occurrence. A sketch draws the
 ROW shingles with the least hashes and keeps their order in the text, so its chance to agree falls with edits and with
-moved passages alike. Texts that agree in any of BANDS sketches, or in any of PAIR_BANDS sketches of word pairs, of which scattered edits leave
-more, are candidates; a banded alignment of their words then gives the exact similarity: aligned / (len a + len b - aligned), an order-keeping Jaccard of words. An edited word costs
+moved passages alike. Texts that agree in any of BANDS sketches, or in any of WORD_BANDS sketches of single labelled words, of which no kind of
+edit leaves less than the similarity, are candidates; a banded alignment of their words then gives the exact similarity: aligned / (len a + len b - aligned), an order-keeping Jaccard of words. An edited word costs
 one word, not the five shingles that hold it, so a copy with scattered edits stays alike.
 
 Of short texts a sketch would agree too rarely or never, so their candidates are exact: alike texts share one of the
 rarest word pairs of each (a prefix filter). They are the texts of SHORT words and those that can be alike to one.
 
 Equal texts are joined first and sketched once. Each text is first compared with the smallest leader of all its buckets,
-then with the leaders of each, which puts most of a group of copies into one class by a line of pairs. Then, in every bucket that still holds several classes, all
-members outside its largest class are compared with all members of other classes. So every pair of a bucket is compared
-or of one class already, and no bucket is cut off.
+then with the leader of each, which puts most of a group of copies into one class by a line of pairs. What is then outside its leader's class meets
+some leaders of its own. Last, in every bucket that still holds several classes, all members outside its largest class are compared with all members of
+other classes. So every pair of a bucket is compared or of one class already, and no bucket is cut off. Only pairs and members outside
+a large class leave the joins, so a large class costs no more than its rows in each round.
 
 Before texts are fetched, a candidate must pass an exact bound: bitmaps of word counts modulo 2 differ in no more bits
 than the two texts differ in words, so too many different bits prove a similarity below the least.
@@ -21,6 +22,7 @@ than the two texts differ in words, so too many different bits prove a similarit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from attestry.llm.common import NO_ID, connected_components, drop_table, join_dealt, join_told, text_of, write_table
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Two texts that share a part J of their shingles in order agree in some sketch with chance 1 - (1 - J ** row) ** bands. Sketches of
-#: shingles find texts that share most of them: 0.99 at J 0.8. Scattered edits that leave words 0.8 alike leave J 0.4 of the shingles but 0.67 of the word
-#: pairs; sketches of pairs find those: 0.98 at J 0.67. Texts that share a passage of a quarter of their pairs meet with chance 0.01.
+#: Sketches of shingles in text order find texts that share a part J of their shingles with chance 1 - (1 - J ** ROW) ** BANDS. Scattered edits that leave words 0.8
+#: alike leave far less of the shingles (and 0.5 of the word pairs, where words were only put in). Sketches of labelled words hold for all edits: aligned words are common to
+#: both multisets, so their Jaccard is the similarity at least, and two texts of similarity 0.8 meet with chance 0.9995 or more (0.9998 where they are long).
 ROW, BANDS = 6, 16
-PAIR_ROW, PAIR_BANDS = 6, 40
+WORD_ROW, WORD_BANDS = 8, 48
 #: A key with more than this share of all members is joined apart; there can be fewer than so many of them. SPLIT: parts of such a bucket in the last round.
 HOT, SPLIT = 1024, 32
 #: Pairs with a text of at most so many words are found by prefixes, all others by sketches.
@@ -102,8 +104,8 @@ def shingles(w: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return h
 
 
-def sketch(h: np.ndarray, bands: int = BANDS, row: int = ROW, first: int = 0) -> list[int]:
-    """One key a band, from band first on: a hash of the row least shingles in text order."""
+def sketch(h: np.ndarray, bands: int = BANDS, row: int = ROW, first: int = 0, ordered: bool = True) -> list[int]:
+    """One key a band, from band first on: a hash of the row least shingles, in text order or as a set."""
     if not len(h):
         return []
     take = min(row, len(h))
@@ -114,10 +116,15 @@ def sketch(h: np.ndarray, bands: int = BANDS, row: int = ROW, first: int = 0) ->
         least = h[None, :] * seeds[:, None]
         least ^= least >> np.uint64(32)
         least *= _K2
-        at = np.sort(np.argpartition(least, take - 1, axis=1)[:, :take], axis=1) if take < len(h) else np.tile(np.arange(take), (len(seeds), 1))
+        if not ordered:
+            drawn = np.sort(np.partition(least, take - 1, axis=1)[:, :take], axis=1)
+        elif take < len(h):
+            drawn = h[np.sort(np.argpartition(least, take - 1, axis=1)[:, :take], axis=1)]
+        else:
+            drawn = np.tile(h, (len(seeds), 1))
         key = np.arange(first + s, first + s + len(seeds), dtype=np.uint64)
         for i in range(take):
-            key = _mix(key * _K1 + h[at[:, i]])
+            key = _mix(key * _K1 + drawn[:, i])
         out[s : s + len(seeds)] = key
     return out.view(np.int64).tolist()
 
@@ -198,9 +205,9 @@ def _sketched(df: DataFrame, id_col: str, text_col: str, least: float) -> DataFr
             for text in batch:
                 w = word_hashes(text, words)
                 n = len(w)
-                pairs = shingles(w, 2)
-                keys = sketch(shingles(w)) + sketch(pairs, PAIR_BANDS, PAIR_ROW, BANDS) if n > SHORT else []
-                rows.append((n, keys, pairs.view(np.int64).tolist() if n * least <= SHORT else [], parity(shingles(w, 1))))
+                single = shingles(w, 1)
+                keys = sketch(shingles(w)) + sketch(single, WORD_BANDS, WORD_ROW, BANDS, ordered=False) if n > SHORT else []
+                rows.append((n, keys, shingles(w, 2).view(np.int64).tolist() if n * least <= SHORT else [], parity(single)))
             yield pd.DataFrame(rows, columns=["n", "keys", "items", "p"])
 
     text = text_of(text_col)
@@ -234,14 +241,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return full.select(*pairs.columns, alike("ta", "tb").alias("alike"))
 
 
-def _leaders(active: DataFrame, number: int) -> DataFrame:
-    """(key, b, m, led, q): the first members of each bucket by id, with size, class and parity; two steps, so that no bucket meets in one task."""
-    if number == 1:
-        return active.groupBy("key", "hot").agg(F.min(F.struct("id", "n", "class", "p")).alias("x")).select("key", "hot", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.class").alias("led"), F.col("x.p").alias("q"))
-    salted = active.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+def _led() -> list[Column]:
+    return [F.col("id").alias("b"), F.col("n").alias("m"), F.col("class").alias("led"), F.col("p").alias("q")]
+
+
+def _leaders(named: DataFrame) -> DataFrame:
+    """(key, hot, b, m, led, q): the first member by id of each bucket that holds several classes, with size, class and parity."""
+    first = named.groupBy("key", "hot").agg(F.min(F.struct("id", "n", "class", "p")).alias("x"), F.min("class").alias("y"), F.max("class").alias("z"))
+    return first.where("y < z").select("key", "hot", "x.*").select("key", "hot", *_led())
+
+
+def _some_leaders(others: DataFrame, number: int = 8) -> DataFrame:
+    """The same for the first few members of each bucket; two steps, so that no bucket meets in one task."""
+    salted = others.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     first = salted.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy("id"))).where(F.col("r") <= number)
     top = first.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= number)
-    return top.select("key", "hot", F.col("id").alias("b"), F.col("n").alias("m"), F.col("class").alias("led"), F.col("p").alias("q"))
+    return top.select("key", "hot", *_led())
+
+
+def _outside(named: DataFrame, told: DataFrame) -> DataFrame:
+    """The members outside the class (key, most) that is told of their bucket; members of a bucket without one are left out."""
+    return join_dealt(named, told, "key", "id").where("class <> most")
 
 
 def _by_leaders(active: DataFrame, lead: DataFrame) -> DataFrame:
@@ -250,11 +270,12 @@ def _by_leaders(active: DataFrame, lead: DataFrame) -> DataFrame:
     return cold.unionByName(active.where("hot").drop("hot").join(F.broadcast(lead.where("hot").drop("hot")), "key"))
 
 
-def _by_others(ranked: DataFrame, others: DataFrame) -> DataFrame:
+def _by_others(named: DataFrame, others: DataFrame) -> DataFrame:
     """Members with others of their bucket; hot buckets are dealt over SPLIT parts of their members, to each of which all others go."""
-    salted = ranked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SPLIT))).otherwise(F.lit(0).cast("bigint")))
+    salted = named.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SPLIT))).otherwise(F.lit(0).cast("bigint")))
     parts = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("hot"), F.lit(SPLIT - 1)).otherwise(F.lit(0)).cast("bigint"))
-    return salted.drop("hot").join(others.withColumn("salt", F.explode(parts)).drop("hot"), ["key", "salt"]).drop("salt")
+    dealt = others.withColumn("salt", F.explode(parts)).select("key", "salt", "most", *_led())
+    return salted.drop("hot").join(dealt, ["key", "salt"]).drop("salt")
 
 
 def _compared(met: DataFrame, done: DataFrame | None, texts: DataFrame, parts: int, least: float) -> DataFrame:
@@ -304,42 +325,42 @@ def _text_classes(df: DataFrame, id_col: str, text_col: str, least: float) -> tu
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Two texts of one class need no comparison: the answer is the class.
     sized = (F.col("class") != F.col("led")) & (F.least("n", "m") >= F.greatest("n", "m") * least) & _may_reach(least)
-    done, classes, rounds = None, None, []
-    active = members.withColumn("class", F.col("id"))
-    for number in (0, 1, 8):
-        lead = write_table(_leaders(active, max(1, number)))
-        met = _by_leaders(active, lead).where(sized & (F.col("id") > F.col("b")))
-        if not number:
-            met = met.groupBy("id").agg(F.min(F.struct("b", "class", "led")).alias("x")).select("id", "x.*")
-        fresh = _compared(met, done, texts, parts, least)
+    classes, rounds = None, []
+
+    def compare(met: DataFrame) -> None:
+        """Compares the pairs (id, b) that no round had; links join classes."""
+        nonlocal classes
+        fresh = _compared(met, reduce(DataFrame.unionByName, rounds) if rounds else None, texts, parts, least)
         rounds.append(fresh)
-        done = fresh if done is None else done.unionByName(fresh)
         # A round without links leaves the classes as they are.
         if classes is None or fresh.where("alike").limit(1).count():
             classes = _merged(classes, fresh)
-        named = _classed(members, classes)
-        mixed = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("key")
-        following = named.join(mixed, "key", "left_semi")
-        if number == 1:
-            led = lead.select("key", F.col("b").alias("id")).join(classes.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("class"))
-            following = following.join(led, ["key", "class"], "left_anti")
-        following = write_table(following)
-        drop_table(lead)
-        drop_table(active)
-        active = following
+
+    later = F.col("id") > F.col("b")
+    named = members.withColumn("class", F.col("id"))
+    lead = write_table(_leaders(named))
+    met = _by_leaders(named, lead).where(sized & later)
+    compare(met.groupBy("id").agg(F.min(F.struct("b", "class", "led")).alias("x")).select("id", "x.*"))
+    drop_table(lead)
+    named = write_table(_classed(members, classes))
+    lead = write_table(_leaders(named))
+    compare(_by_leaders(named, lead).where(sized & later))
+    drop_table(named)
+    first = _classed(lead.select("key", F.col("b").alias("id")), classes).select("key", F.col("class").alias("most"))
+    others = write_table(_outside(_classed(members, classes), first).drop("most"))
+    compare(_by_leaders(others, _some_leaders(others)).where(sized & later))
+    drop_table(lead)
+    drop_table(others)
     # The last round leaves no pair of a bucket out: what is not of its largest class meets all of the other classes.
-    sizes = active.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "class")).alias("x")).select("key", F.col("x.class").alias("most"))
-    ranked = write_table(active.join(largest, "key"))
-    others = ranked.where("class <> most").select("key", "hot", F.col("id").alias("b"), F.col("n").alias("m"), F.col("class").alias("led"), F.col("p").alias("q"))
+    named = write_table(_classed(members, classes))
+    sizes = named.groupBy("key", "class").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "class")).alias("x"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", F.col("x.class").alias("most"))
+    others = write_table(_outside(named, largest))
     # Two members outside the largest class would meet twice.
-    once = (F.col("class") == F.col("most")) | (F.col("id") > F.col("b"))
-    met = _by_others(ranked, others).where(sized & once).select(F.greatest("id", "b").alias("id"), F.least("id", "b").alias("b"), "class", "led")
-    fresh = _compared(met, done, texts, parts, least)
-    rounds.append(fresh)
-    if fresh.where("alike").limit(1).count():
-        classes = _merged(classes, fresh)
-    for table in (active, ranked, members, texts, *rounds):
+    once = (F.col("class") == F.col("most")) | later
+    met = _by_others(named, others).where(sized & once)
+    compare(met.select(F.greatest("id", "b").alias("id"), F.least("id", "b").alias("b"), "class", "led"))
+    for table in (named, others, members, texts, *rounds):
         drop_table(table)
     told = distinct.select("copy", "id", "rows").join(classes.withColumnRenamed("node", "id"), "id", "left")
     told = write_table(told.select("copy", F.coalesce("component", "id").alias("component"), "rows"))
