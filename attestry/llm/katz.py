@@ -15,6 +15,7 @@ about the distinct pairs of each chunk of texts, and nothing but scalars reaches
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ SAMPLE_ROWS, CODES = 2000, 60_000
 #: A word with more than this share of all tokens is dealt by its context too; there can be 1,024 of them at most.
 HOT = 1024
 CHUNK_ROWS, CHUNK_TOKENS, BUCKET_TOKENS = 6144, 3_000_000, 2_000_000
+#: Tokens whose bucket is found at a time.
+BLOCK = 1 << 18
 END, START = np.uint64(1), np.uint64(2)
 _TOP = 1 << 63
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -109,54 +112,54 @@ def _chunks(triples, codes: _Codes, buckets: int, hot: np.ndarray, part: int) ->
     """Packed rows of chunks of texts: one of kind 0 with the texts' ids, and one of kind 1 for each bucket."""
     k = 0
 
-    def emit(rows: list) -> Iterator[tuple]:
-        lengths = np.array([len(r[0]) for r in rows])
-        w = np.concatenate([r[0] for r in rows])
-        doc = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-        h = np.empty_like(w)
-        h[1:] = w[:-1]
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        h[first] = START
+    def emit(rows: list, tokens: array) -> Iterator[tuple]:
+        lengths = np.array([r[0] for r in rows])
         flags = np.array([r[1] for r in rows], bool)
         chunk = part * 1_000_000 + k
         empty = np.array([r[2] is None for r in rows], np.uint8)
         yield chunk, 0, int(chunk % buckets), pack(np.array([0 if r[2] is None else r[2] for r in rows], np.int64), empty, flags.astype(np.uint8), lengths.astype(np.int64))
-        rows.clear()  # what follows holds each token in a few numbers at a time
-        spread = _mix(w * _K1)
-        at = np.searchsorted(hot, w)
-        common = hot[np.minimum(at, len(hot) - 1)] == w if len(hot) else np.zeros(len(w), bool)
-        spread = np.where(common, _mix(spread + _mix(h * _K1)), spread)
-        bucket = ((spread >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
-        del spread, at, common
-        order = np.argsort(_mix(w * _K1 + h), kind="stable").astype(np.int32)
-        order = order[np.argsort(bucket[order], kind="stable")]
-        w, h, doc, bucket = w[order], h[order], doc[order], bucket[order]
-        del order
-        entry = _starts(w, h, doc)
-        n = np.diff(np.append(entry, len(w)))
-        w, h, doc, bucket = w[entry], h[entry], doc[entry], bucket[entry]
-        pair = _starts(w, h)
-        width = np.diff(np.append(pair, len(w)))
-        learned = np.add.reduceat(np.where(flags[doc], 0, n), pair)
-        edges = np.searchsorted(bucket[pair], np.arange(buckets + 1))
-        entries = np.append(pair, len(w))
+        words = np.frombuffer(tokens, np.uint64)
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
+        before[np.cumsum(lengths) - lengths] = START
+        texts = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+        bucket = np.empty(len(words), np.uint16 if buckets < 65536 else np.uint32)
+        for s in range(0, len(words), BLOCK):  # in blocks and then bucket by bucket, so that few numbers a token are held at a time
+            w, h = words[s : s + BLOCK], before[s : s + BLOCK]
+            spread = _mix(w * _K1)
+            if len(hot):
+                common = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w
+                spread[common] = _mix(spread[common] + _mix(h[common] * _K1))
+            bucket[s : s + BLOCK] = (spread >> np.uint64(20)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable").astype(np.int32)
+        edges = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
+        del bucket
         for b in range(buckets):
-            s, e = edges[b], edges[b + 1]
-            if s < e:
-                i, j = entries[s], entries[e]
-                yield chunk, 1, b, pack(w[pair[s:e]], h[pair[s:e]], learned[s:e].astype(np.uint32), _small(width[s:e]), _small(doc[i:j]), _small(n[i:j]))
-
-    rows, size = [], 0
+            at = order[edges[b] : edges[b + 1]]
+            if not len(at):
+                continue
+            w, h = words[at], before[at]
+            at = at[np.argsort(_mix(w * _K1 + h), kind="stable")]
+            w, h, doc = words[at], before[at], texts[at]
+            entry = _starts(w, h, doc)
+            n = np.diff(np.append(entry, len(w)))
+            w, h, doc = w[entry], h[entry], doc[entry]
+            pair = _starts(w, h)
+            width = np.diff(np.append(pair, len(w)))
+            learned = np.add.reduceat(np.where(flags[doc], 0, n), pair)
+            yield chunk, 1, b, pack(w[pair], h[pair], learned.astype(np.uint32), _small(width), _small(doc), _small(n))
+
+    rows, tokens = [], array("Q")
     for text, flag, key in triples:
-        coded = [codes[t] for t in tokens_of(text)]
-        coded.append(int(END))
-        rows.append((np.array(coded, np.uint64), flag, key))
-        size += len(coded)
-        if len(rows) >= CHUNK_ROWS or size >= CHUNK_TOKENS:
-            yield from emit(rows)
-            rows, size, k = [], 0, k + 1
+        own = tokens_of(text)
+        tokens.extend(map(codes.__getitem__, own))
+        tokens.append(int(END))
+        rows.append((len(own) + 1, flag, key))
+        if len(rows) >= CHUNK_ROWS or len(tokens) >= CHUNK_TOKENS:
+            yield from emit(rows, tokens)
+            rows, tokens, k = [], array("Q"), k + 1
     if rows:
-        yield from emit(rows)
+        yield from emit(rows, tokens)
 
 
 def _bucket(rows: pd.DataFrame, buckets: int, hot: dict[int, int]) -> Iterator[tuple]:

@@ -288,3 +288,27 @@ def test_near_text_recall_of_lost_words(spark):
     found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     lost = [i for i in range(0, len(rows), 2) if found[i + 1] != i]
     assert all(found[i] == i for i in range(0, len(rows), 2)) and len(lost) <= 1
+
+
+def chunk_bytes_a_token(katz):
+    """The most memory that cutting a chunk into buckets holds beside its texts, in bytes a token."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"word{i}" for i in range(500)])
+    texts = [(" ".join(vocabulary[rng.integers(0, 500, 2000)]), i % 7 == 2, i) for i in range(600)]
+    codes = katz._Codes({w.encode(): i + 16 for i, w in enumerate(vocabulary.tolist())})
+    tracemalloc.start()
+    try:
+        made = sum(1 for _ in katz._chunks(texts, codes, 8, np.arange(16, 48, dtype=np.uint64), 0))
+        return made, tracemalloc.get_traced_memory()[1] / (600 * 2001)
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_chunks_hold_few_bytes_a_token():
+    """Two numbers of eight bytes, and little more: executors run two of these tasks beside Spark."""
+    from attestry.llm import katz
+
+    made, size = chunk_bytes_a_token(katz)
+    assert made == 9 and size < 45
