@@ -228,8 +228,26 @@ def _prefixes(short: DataFrame, least: float) -> DataFrame:
     return ordered.select("id", "n", F.explode(taken).alias("x")).select("id", "n", "x.key")
 
 
+def _buckets(banded: DataFrame) -> DataFrame:
+    """(key, hot, id), written: the buckets of several members. Of buckets that hold the same ids one stays, as each would meet the same pairs.
+
+    Two near copies share most of their sketches, so nearly all buckets are such repeats. Equal number, least and largest id, xor and sum of hashes
+    tell that two buckets hold the same ids; they add up in parts, so that no bucket comes to one task.
+    """
+    shared = write_table(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"))
+    held = write_table(join_dealt(banded, shared, "key", "id").select("key", "id"))
+    told = [F.count(F.lit(1)).alias("members"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor(F.xxhash64("id")).alias("either"), F.sum(F.shiftright(F.xxhash64("id", F.lit(1)), 32)).alias("all")]
+    sets = held.groupBy("key").agg(*told).groupBy("members", "least", "most", "either", "all").agg(F.min("key").alias("key"))
+    kept = write_table(sets.select("key", "members"))
+    every = kept.agg(F.sum("members")).first()[0] or 0
+    out = write_table(join_dealt(held, kept.select("key", (F.col("members") * HOT > every).alias("hot")), "key", "id").select("key", "hot", "id"))
+    for table in (shared, held, kept):
+        drop_table(table)
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Adds whether the pair (a, b) is alike."""
+    """Adds whether the pair (a, b) is alike. Only texts of pairs are moved: where these are few, none but they leave their tasks."""
 
     @F.pandas_udf("boolean")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -237,6 +255,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         for left, right in batches:
             yield pd.Series([alignment(cut[x], cut[y], least) >= least for x, y in zip(left, right, strict=True)], dtype=bool)
 
+    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return full.select(*pairs.columns, alike("ta", "tb").alias("alike"))
 
@@ -283,7 +302,11 @@ def _compared(met: DataFrame, done: DataFrame | None, texts: DataFrame, parts: i
     # Few bytes a pair but much work: a set number of partitions, which adaptive planning does not merge into one.
     pairs = met.select(F.col("id").alias("a"), "b", "class", "led").repartition(parts, "a", "b").dropDuplicates(["a", "b"])
     pairs = pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    return write_table(_verified(pairs, texts, least))
+    # Written first, so that Spark knows how few they are before it moves texts.
+    pairs = write_table(pairs)
+    out = write_table(_verified(pairs, texts, least))
+    drop_table(pairs)
+    return out
 
 
 def _merged(classes: DataFrame | None, fresh: DataFrame) -> DataFrame:
@@ -312,11 +335,10 @@ def _text_classes(df: DataFrame, id_col: str, text_col: str, least: float) -> tu
     distinct = write_table(distinct)
     prefixed = write_table(_prefixes(distinct.select("copy", "id", "n", "items").where(F.size("items") > 0), least))
     banded = distinct.select("id", F.explode("keys").alias("key")).unionByName(prefixed.select("id", "key"))
-    shared = write_table(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    every = shared.agg(F.sum("members")).first()[0] or 0
-    shared = shared.withColumn("hot", F.col("members") * HOT > every)
+    buckets = _buckets(banded)
     # An id that two texts share is one row in either's buckets: what either links to, both do.
-    members = write_table(join_dealt(banded, shared.select("key", "hot"), "key", "id").join(distinct.select("id", "n", "p"), "id").select("key", "hot", "id", "n", "p"))
+    members = write_table(buckets.join(distinct.select("id", "n", "p"), "id").select("key", "hot", "id", "n", "p"))
+    drop_table(buckets)
     drop_table(prefixed)
     wanted = members.select("id").distinct()
     named = df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))

@@ -312,3 +312,34 @@ def test_lm_chunks_hold_few_bytes_a_token():
 
     made, size = chunk_bytes_a_token(katz)
     assert made == 9 and size < 45
+
+
+def test_near_text_buckets_of_the_same_texts_are_one(spark, monkeypatch):
+    """Two near copies share most of their sketches; they meet in one bucket, not in each."""
+    from attestry.llm import near_text
+
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:200], "changed", *words[201:]])), (3, " ".join(f"v{i}" for i in range(400)))]
+    written, write = [], near_text.write_table
+
+    def seen(df):
+        out = write(df)
+        if out.columns == ["key", "hot", "id", "n", "p"]:
+            written.append(sorted(r.id for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(near_text, "write_table", seen)
+    found = {r.doc_id: r.component_id for r in near_text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+    assert written == [[1, 2]]
+
+
+def test_near_text_buckets_keep_every_set_of_ids(spark):
+    from attestry.llm.near_text import _buckets
+
+    sets = [(1, 2, 3), (1, 2, 3), (3, 2, 1), (1, 2), (1, 3), (1, 1, 4), (1, 2, 2, 4), (1, 3, 3, 4), (1, 4), (9,), (5, 6, 8), (5, 7, 8), tuple(range(200)), tuple(range(200))]
+    rows = [(i, key) for key, ids in enumerate(sets) for i in ids]
+    out = {}
+    for r in _buckets(spark.createDataFrame(rows, "id long, key long")).collect():
+        out.setdefault(r.key, []).append(r.id)
+    assert sorted(sorted(x) for x in out.values()) == sorted(list(x) for x in {tuple(sorted(x)) for x in sets if len(x) > 1})
