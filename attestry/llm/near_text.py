@@ -285,7 +285,7 @@ def _outside(named: DataFrame, told: DataFrame) -> DataFrame:
 
 def _by_leaders(active: DataFrame, lead: DataFrame) -> DataFrame:
     """Members with the leaders of their bucket; those of hot keys are sent to all tasks: fewer than HOT keys, a few leaders each."""
-    cold = active.where("not hot").drop("hot").join(lead.where("not hot").drop("hot"), "key")
+    cold = active.where("not hot").drop("hot").join(lead.where("not hot").drop("hot").hint("merge"), "key")
     return cold.unionByName(active.where("hot").drop("hot").join(F.broadcast(lead.where("hot").drop("hot")), "key"))
 
 

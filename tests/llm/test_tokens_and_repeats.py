@@ -343,3 +343,20 @@ def test_near_text_buckets_keep_every_set_of_ids(spark):
     for r in _buckets(spark.createDataFrame(rows, "id long, key long")).collect():
         out.setdefault(r.key, []).append(r.id)
     assert sorted(sorted(x) for x in out.values()) == sorted(list(x) for x in {tuple(sorted(x)) for x in sets if len(x) > 1})
+
+
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    """Each scan and each broadcast takes megabytes of the driver, however small the tables are; rounds come by the dozen."""
+    from attestry.llm import common
+
+    plans, write = [], common.write_table
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(common, "write_table", seen)
+    found = {r.node: r.component for r in common.connected_components(spark.createDataFrame([(1, 2), (2, 3), (4, 3), (9, 8), (7, 7)], "a long, b long")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
+    assert not [p for p in plans if "Broadcast" in p]
+    assert max(p.count("Scan parquet") for p in plans) <= 8
