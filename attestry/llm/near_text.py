@@ -355,7 +355,7 @@ def _text_classes(df: DataFrame, id_col: str, text_col: str, least: float) -> tu
         fresh = _compared(met, reduce(DataFrame.unionByName, rounds) if rounds else None, texts, parts, least)
         rounds.append(fresh)
         # A round without links leaves the classes as they are.
-        if classes is None or fresh.where("alike").limit(1).count():
+        if classes is None or not fresh.where("alike").isEmpty():
             classes = _merged(classes, fresh)
 
     later = F.col("id") > F.col("b")

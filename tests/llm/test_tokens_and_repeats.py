@@ -360,3 +360,28 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
     assert not [p for p in plans if "Broadcast" in p]
     assert max(p.count("Scan parquet") for p in plans) <= 8
+
+
+def test_components_make_few_exchanges_and_no_round_on_stars(spark, monkeypatch):
+    """Each exchange holds a thread of the driver for a minute; near-dedup on a small table made more of them in a minute than the driver had memory for."""
+    from attestry.llm import common
+
+    plans, write = [], common.write_table
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(common, "write_table", seen)
+    found = {r.node: r.component for r in common.connected_components(spark.createDataFrame([(1, 2), (3, 1), (1, 3), (7, 8), (5, 5)], "a long, b long")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    assert len(plans) == 2
+    plans.clear()
+    edges = [(i, i + 1) for i in range(40)] + [(i, 100 + i % 7) for i in range(100, 140)] + [(200 + i, 200 + j) for i in range(9) for j in range(9)]
+    found = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    head = {i: i for i in [*range(41), *range(100, 140), *range(200, 209)]}
+    for _ in head:
+        for a, b in edges:
+            head[a] = head[b] = min(head[a], head[b])
+    assert found == head
+    assert max(p.count("Exchange") for p in plans) <= 4 and len(plans) > 2
