@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.scalars import clip_logit
 from attestry.operators import statistics as T
+from attestry.operators.replicates import replicate_aucs
 from attestry.operators.sampling import bootstrap_weights
 from attestry.plans.registry import h32, query
 from attestry.plans.resampling import _AUC, _RK
@@ -51,9 +52,8 @@ def bootstrap_auc_ci(spark, sf):
 
 @query("paired_auc_diff", f"WITH @rec, {_draws(22, ['y'], 'n_chars, sp')}, r AS (SELECT b, y, {_RK.format(b='b', s='n_chars')} AS rk, {_RK.format(b='b', s='sp')} AS rk2 FROM draws), a AS (SELECT b, {_AUC} - {_AUC.replace('rk', 'rk2')} AS d FROM r GROUP BY b) SELECT {_CI.format(v='d')} FROM a")
 def paired_auc_diff(spark, sf):
-    draws = bootstrap_weights(_base(spark, sf), ["y"], ["n_chars", "sp"], 200, 22)
-    a, b = T.auc_by(draws, "n_chars", by=["b"], weight="drawn"), T.auc_by(draws, "sp", by=["b"], weight="drawn")
-    return T.interval(a.select("b", "auc").join(b.select("b", F.col("auc").alias("auc2")), "b").withColumn("d", F.col("auc") - F.col("auc2")), "d")
+    drawn = replicate_aucs(_base(spark, sf).select("y", "n_chars", "sp"), ["y"], ["n_chars", "sp"], 200, 22)
+    return T.interval(drawn.withColumn("d", F.col("auc_n_chars") - F.col("auc_sp")), "d")
 
 
 @query("site_weighted_auc_ci", f"WITH @rec, {_draws(23, ['site', 'y'], 'n_chars')}, r AS (SELECT b, site, y, {_RK.format(b='b, site', s='n_chars')} AS rk FROM draws), s AS (SELECT b, site, {_AUC} AS auc, count(*) AS n FROM r GROUP BY b, site), a AS (SELECT b, sum(auc * n) / nullif(sum(CASE WHEN auc IS NOT NULL THEN n END), 0) AS auc FROM s GROUP BY b) SELECT {_CI.format(v='auc')} FROM a")
