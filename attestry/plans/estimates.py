@@ -46,8 +46,7 @@ def _base(spark, sf):
 
 @query("bootstrap_auc_ci", f"WITH @rec, {_draws(21, ['y'], 'n_chars')}, r AS (SELECT b, y, {_RK.format(b='b', s='n_chars')} AS rk FROM draws), a AS (SELECT b, {_AUC} AS auc FROM r GROUP BY b) SELECT {_CI.format(v='auc')} FROM a")
 def bootstrap_auc_ci(spark, sf):
-    draws = bootstrap_weights(recorded(spark, sf).select("y", "n_chars"), ["y"], ["n_chars"], 200, 21)
-    return T.interval(T.auc_by(draws, "n_chars", by=["b"], weight="drawn"), "auc")
+    return T.interval(replicate_aucs(recorded(spark, sf).select("y", "n_chars"), ["y"], ["n_chars"], 200, 21), "auc_n_chars")
 
 
 @query("paired_auc_diff", f"WITH @rec, {_draws(22, ['y'], 'n_chars, sp')}, r AS (SELECT b, y, {_RK.format(b='b', s='n_chars')} AS rk, {_RK.format(b='b', s='sp')} AS rk2 FROM draws), a AS (SELECT b, {_AUC} - {_AUC.replace('rk', 'rk2')} AS d FROM r GROUP BY b) SELECT {_CI.format(v='d')} FROM a")
