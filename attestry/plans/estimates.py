@@ -57,8 +57,7 @@ def paired_auc_diff(spark, sf):
 
 @query("site_weighted_auc_ci", f"WITH @rec, {_draws(23, ['site', 'y'], 'n_chars')}, r AS (SELECT b, site, y, {_RK.format(b='b, site', s='n_chars')} AS rk FROM draws), s AS (SELECT b, site, {_AUC} AS auc, count(*) AS n FROM r GROUP BY b, site), a AS (SELECT b, sum(auc * n) / nullif(sum(CASE WHEN auc IS NOT NULL THEN n END), 0) AS auc FROM s GROUP BY b) SELECT {_CI.format(v='auc')} FROM a")
 def site_weighted_auc_ci(spark, sf):
-    draws = bootstrap_weights(recorded(spark, sf).select("site", "y", "n_chars"), ["site", "y"], ["n_chars"], 200, 23)
-    return T.interval(T.site_weighted_auc(draws, "n_chars", "site", ["b"], weight="drawn"), "auc")
+    return T.interval(replicate_aucs(recorded(spark, sf).select("site", "y", "n_chars"), ["site", "y"], ["n_chars"], 200, 23, site="site"), "site_n_chars")
 
 
 @query("delong_ci", f"""WITH @rec, z AS (SELECT site, y, sum(y) OVER (PARTITION BY site) AS n1, sum(1 - y) OVER (PARTITION BY site) AS n0, ({_RK.format(b='site', s='n_chars')}) - ({_RK.format(b='site, y', s='n_chars')}) AS d FROM rec),
