@@ -298,3 +298,33 @@ def test_binomial_gate(spark):
 
     got = {r.n: r.required for r in statistics.binomial_gate(spark.createDataFrame([(n,) for n in (1, 20, 50, 400)], "n long"), "n", 0.025, 0.95).collect()}
     assert got == {n: binomial_quantile(0.025, n, 0.95) for n in (1, 20, 50, 400)}
+
+
+@pytest.mark.parametrize(("learner", "point"), [(sums.forest, {"trees": 5, "impute": "native"}), (sums.forest, {"trees": 3, "depth": 3, "impute": "train"}), (sums.decision_tree, {"impute": "full"}), (sums.boosted, {"trees": 3, "depth": 2, "impute": "native"})])
+def test_trees_from_cells_equal_trees_from_rows(packed, monkeypatch, learner, point):
+    runs = [{"columns": c, "split": s, **point} for s, c in ((3, NUMERIC), (4, ["a", "b"]))]
+    read = lambda x: {(r.run, r.part, r.key): r.score for r in sums.scored(x, runs, learner, (0, 1), 2).collect()}
+    monkeypatch.setattr(sums, "CELLS", 0)
+    want = read(packed[1])  # level by level, driven from here
+    monkeypatch.undo()
+    for blocks in packed:
+        got = read(blocks)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def test_bags_are_the_poisson_weights_of_the_hash():
+    keys = np.arange(5000)
+    u = (sums.mixed(8, keys[:, None], np.arange(40)[None, :]) >> np.uint64(11)).astype(float) / float(1 << 53)
+    assert (sums.bagged(8, keys, 40) == np.searchsorted(sums._POISSON, u, side="right")).all()
+
+
+def test_passes_of_many_blocks_do_not_grow_with_the_runs(packed, spark):
+    """Forests of many blocks need as many jobs for eight chunks of runs as for one."""
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for n in (1, 8):
+        spark.sparkContext.setJobGroup(f"runs{n}", "")
+        for learner, point in ((sums.forest, {"trees": 3, "impute": "native"}), (sums.logistic, {})):
+            sums.scored(packed[1], [{"columns": NUMERIC, "split": 1, **point}] * n, learner, (1,), 1)
+        jobs.append(len(tracker.getJobIdsForGroup(f"runs{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
