@@ -328,3 +328,12 @@ def test_passes_of_many_blocks_do_not_grow_with_the_runs(packed, spark):
         jobs.append(len(tracker.getJobIdsForGroup(f"runs{n}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
+
+
+def test_runs_of_one_design_share_it_and_keep_their_scores(packed):
+    """Grid points and shuffles of one design are prepared once; alone or together, their scores are the same."""
+    base = {"columns": NUMERIC, "flags": ["b"], "train_not": [["site_code", 1]], "test_is": [["site_code", 1]]}
+    runs = [{**base, "c": 0.1}, {**base, "c": 10.0}, {**base, "c": 10.0, "train_not": [["site_code", 2]], "test_is": [["site_code", 2]]}, {**base, "c": 10.0}]
+    assert sums.View(runs, NUMERIC).like.tolist() == [0, 0, 2, 0]
+    read = lambda r, n: {(x.run, x.key): x.score for x in sums.scored(packed[0], r, sums.logistic, (1,), n).collect()}
+    assert read(runs, 4) == read(runs, 1)
